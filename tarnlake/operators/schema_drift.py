@@ -167,10 +167,11 @@ def type_alternatives(schemas: DataFrame, paths: DataFrame | None = None) -> Dat
 def branches(value: Column, declared: Column, canonical: Column) -> Column:
     """A text value as one branch of a tagged union, with its canonical form.
 
-    ``tag`` names the branch that holds it: whole, real, flag, instant or text; a value that isn't of its declared type
+    ``tag`` names the branch that holds it: whole, real, flag, instant (ISO text, or milliseconds since 1970) or text; a value that isn't of its declared type
     goes to text with ``conforms`` false; ``null`` has no branch. ``canonical`` is null where the conversion fails.
     """
-    whole, real, flag, instant = value.try_cast("long"), value.try_cast("double"), value.try_cast("boolean"), F.try_to_timestamp(value)
+    whole, real, flag = value.try_cast("long"), value.try_cast("double"), value.try_cast("boolean")
+    instant = F.when(value.rlike(r"^-?\d{9,}$"), F.timestamp_millis(whole)).otherwise(F.try_to_timestamp(value))
     exact = value.try_cast("decimal(38,9)")
     tag = (
         F.when(value.isNull(), F.lit("null"))
