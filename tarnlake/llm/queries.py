@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import encoding, mixing
+from tarnlake.llm import encoding, mixing, similar_vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.nearest_pairs(_table(spark, d, "vector_blocks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(_table(spark, d, "documents"))
 
@@ -26,7 +30,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
