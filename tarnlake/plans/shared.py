@@ -36,3 +36,13 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs far more than moving the rows.
+
+    A table of many files is left as it is; one that a few tasks would read is spread by the hash of its ``keys`` columns,
+    which gives the same partitions when a lost one is computed again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
