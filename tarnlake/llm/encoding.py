@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.plans.shared import spread
+
 FOLDER = os.environ.get("TARNLAKE_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
 #: Fixed value: the pattern that this vocabulary's public tokenizer splits texts with before merging.
@@ -103,7 +105,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text), key).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:
@@ -119,4 +121,4 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", fold
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, "tokens"])
 
     kinds = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(count, f"{kinds}, tokens bigint")
+    return spread(documents.select(*keep, F.col(text).alias("__text")), keep[0]).mapInArrow(count, f"{kinds}, tokens bigint")

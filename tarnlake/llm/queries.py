@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import encoding, mixing, similar_vectors
+from tarnlake.llm import abuse, encoding, mixing, similar_vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,8 +29,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, d), _table(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found_documents(_table(spark, d, "documents"), _table(spark, d, "doc_labels"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(_table(spark, d, "documents"), _table(spark, d, "doc_labels"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
