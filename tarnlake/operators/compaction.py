@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
@@ -153,7 +154,8 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
     marked = listed.mapInArrow(read_layouts, "path string, length bigint, layout string").withColumn("folder", folder)
     totals = marked.groupBy("folder", "layout").agg(F.greatest(F.ceil(F.sum("length") / F.lit(target)), F.lit(1)).alias("bins"))
     binned = salted_join(marked, totals, ["folder", "layout"], F.col("path")).withColumn("bin", F.pmod(F.xxhash64("path"), F.col("bins")))
-    prefix = source.rstrip("/")
+    bare = lambda p: re.sub("^file:/+", "/", p).rstrip("/")
+    prefix = bare(source)
 
     def copy_blocks(key: tuple, table: pa.Table) -> pa.Table:
         import pyarrow as pa
@@ -171,7 +173,7 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
                     yield file, length
 
         counts = blocks.merge(opened(), sink)
-        inside = folder.split(prefix, 1)[-1].strip("/")
+        inside = bare(folder).removeprefix(prefix).strip("/")
         path = "/".join(x for x in (out.rstrip("/"), inside, f"part-{mark[:12]}-{number:05d}.parquet") if x)
         write_whole(path, sink.getvalue(), uuid.uuid4().hex)
         return pa.table({"folder": [inside], "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
