@@ -172,7 +172,7 @@ def _aggregate(fn: str, w: WindowCall, over: str) -> str:
 
 def _mode(values: str) -> str:
     """The most frequent of an array without nulls; of equally frequent ones the smallest."""
-    counted = f"transform(array_sort(array_distinct({values})), v -> struct(-size(filter({values}, u -> u = v)) AS n, v AS v))"
+    counted = f"transform(array_sort(array_distinct({values})), `__lv` -> struct(-size(filter({values}, `__lu` -> `__lu` = `__lv`)) AS n, `__lv` AS v))"
     return f"array_min({counted}).v"
 
 
@@ -195,15 +195,15 @@ def _excluding(fn: str, w: WindowCall, frame: Frame, part: str, order: str, plac
         return f"CASE WHEN {n} > 0 THEN {s}{f' / {n}' if fn == 'avg' else ''} END"
     row = name()
     helpers[row] = f"row_number() OVER ({part}ORDER BY {places or '1'})"
-    keep = {"current-row": f"e.r <> {row}", "group": f"e.g <> {peer}", "ties": f"e.g <> {peer} OR e.r = {row}"}[frame.exclude]
-    rows = f"filter(collect_list(struct({row} AS r, {peer} AS g, {x} AS v)) {over}, e -> {keep})"
-    values = f"transform({rows}, e -> e.v)"
+    keep = {"current-row": f"`__le`.r <> {row}", "group": f"`__le`.g <> {peer}", "ties": f"`__le`.g <> {peer} OR `__le`.r = {row}"}[frame.exclude]
+    rows = f"filter(collect_list(struct({row} AS r, {peer} AS g, {x} AS v)) {over}, `__le` -> {keep})"
+    values = f"transform({rows}, `__le` -> `__le`.v)"
     if fn in VALUE:
         if w.ignore_nulls:
-            values = f"filter({values}, v -> v IS NOT NULL)"
+            values = f"filter({values}, `__lv` -> `__lv` IS NOT NULL)"
         at = {"first_value": "1", "last_value": "-1"}.get(fn) or w.args[1]
         return f"try_element_at({values}, {at})"
-    there = f"filter({values}, v -> v IS NOT NULL)"
+    there = f"filter({values}, `__lv` -> `__lv` IS NOT NULL)"
     if fn == "count":
         return f"CAST(size({there}) AS BIGINT)"
     if fn == "count_distinct":
@@ -214,7 +214,7 @@ def _excluding(fn: str, w: WindowCall, frame: Frame, part: str, order: str, plac
         return f"try_element_at({there}, {'-1' if fn == 'last' else '1'})"
     if fn == "mode":
         return _mode(there)
-    total = f"aggregate({there}, CAST(0 AS DOUBLE), (a, v) -> a + v)"
+    total = f"aggregate({there}, CAST(0 AS DOUBLE), (`__la`, `__lv`) -> `__la` + `__lv`)"
     if fn == "sum":
         return f"CASE WHEN size({there}) > 0 THEN {total} END"
     if fn == "avg":
@@ -225,7 +225,7 @@ def _excluding(fn: str, w: WindowCall, frame: Frame, part: str, order: str, plac
         pick = lambda i: f"element_at(array_sort({there}), CAST({i} AS INT) + 1)"
         return f"CASE WHEN size({there}) > 0 THEN {pick(f'floor{at}')} + ({at} - floor{at}) * ({pick(f'ceil{at}')} - {pick(f'floor{at}')}) END"
     mean = f"({total} / size({there}))"
-    spread = f"aggregate({there}, CAST(0 AS DOUBLE), (a, v) -> a + (v - {mean}) * (v - {mean}))"
+    spread = f"aggregate({there}, CAST(0 AS DOUBLE), (`__la`, `__lv`) -> `__la` + (`__lv` - {mean}) * (`__lv` - {mean}))"
     sample = fn.endswith("samp")
     variance = f"CASE WHEN size({there}) > {1 if sample else 0} THEN {spread} / (size({there}) - {1 if sample else 0}) END"
     return f"sqrt({variance})" if fn.startswith("stddev") else variance

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tarnlake.errors import LakeError
 from tarnlake.functions import expr as X
+from tarnlake.functions.text import unescaped
 from tarnlake.plans.compile import Compiler, quoted
 from tarnlake.sources import avro, readers
 from tarnlake.sources.storage import local_path, open_read
@@ -212,7 +213,7 @@ class Table:
 
     def _read(self, files: list[File], wanted: dict[str, tuple[list[str], T.DataType]]) -> DataFrame:
         paths = [f.path for f in files]
-        marks = [F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("__path"), F.col("_metadata.row_index").alias("__pos")]
+        marks = [F.regexp_replace(unescaped(F.col("_metadata.file_path")), "^file:/+", "/").alias("__path"), F.col("_metadata.row_index").alias("__pos")]
         if not files:
             empty = ", ".join([*(f"{quoted(n)} {t.simpleString()}" for n, (_, t) in wanted.items()), "__path string", "__pos bigint"])
             return self.spark.createDataFrame([], empty)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import expr as X
 from tarnlake.functions import geometry
+from tarnlake.functions.text import unescaped
 from tarnlake.plans.compile import quoted
 
 
@@ -20,12 +22,13 @@ def build_index(spark: SparkSession, paths: list[str], columns: list[str], boxes
         parts.append(F.struct(F.min(minx).alias("minx"), F.min(miny).alias("miny"), F.max(maxx).alias("maxx"), F.max(maxy).alias("maxy")).alias(f"b_{name}"))
     parts += [F.sort_array(F.collect_set(quoted(c))).alias(f"h_{c}") for c in cells or []]
     out = []
-    for r in df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*parts).collect():
+    for r in df.groupBy(unescaped(F.col("_metadata.file_path")).alias("path")).agg(*parts).collect():
         entry: dict[str, Any] = {"path": r["path"], "columns": {c: r[f"c{i}"].asDict() for i, c in enumerate(columns)}}
         if boxes:
             entry["bbox"] = {n: r[f"b_{n}"].asDict() for n in boxes}
         if cells:
             entry["h3"] = {c: r[f"h_{c}"] for c in cells}
+        entry["path"] = re.sub("^file:/+", "file:/", entry["path"])  # as the file system's client names it
         out.append(entry)
     return sorted(out, key=lambda e: e["path"])
 

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 from typing import BinaryIO
-from urllib.parse import unquote, urlparse
 
 
 def local_path(uri: str) -> str | None:
-    """The path of a ``file:`` URI or plain path; None for other schemes."""
-    parsed = urlparse(uri)
-    if parsed.scheme == "file":
-        return unquote(parsed.path)
-    return uri if not parsed.scheme else None
+    """The path of a ``file:`` or plain path; None for other schemes. Escapes stay, as in the paths that Hadoop's client gives."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return None if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:/", uri) else uri
 
 
 def open_read(uri: str) -> tuple[BinaryIO, int]:

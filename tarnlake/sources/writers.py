@@ -128,7 +128,7 @@ def manifest_of(df: DataFrame, path: str, job_id: str = "data", plan_fingerprint
     listed = df.sparkSession.createDataFrame(files, "path string, size bigint")
     entries = []
     for r in listed.mapInPandas(count, "path string, size bigint, n bigint").collect():
-        values = {k: unquote(unquote(v)) for k, v in (part.split("=", 1) for part in r["path"].split("/")[:-1] if "=" in part)}
+        values = {k: unquote(v) for k, v in (part.split("=", 1) for part in r["path"].split("/")[:-1] if "=" in part)}
         entries.append({"taskId": job_id, "outputPath": r["path"], "partitionValues": values, "rowCount": r["n"], "byteSize": r["size"]})
     return output_manifest(job_id, plan_fingerprint, entries)
 
