@@ -258,12 +258,20 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     return df.select(*[(F.trim(F.col(quoted(n))).cast(k) if k != "string" else F.col(quoted(n))).alias(n) for n, k in zip(names, kinds)])
 
 
+def _is_json(line: str) -> bool:
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
 def read_json(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
     """A JSON array of objects, one object, or an object per line; a row that is no object is an error."""
     lines = _head(spark, path)
     start = lines[0].lstrip()[:1] if lines else ""
     if format == "auto":
-        whole = start == "[" or (start == "{" and not all(line.lstrip().startswith("{") and line.rstrip().endswith("}") for line in lines))
+        whole = start == "[" or (start == "{" and not all(map(_is_json, lines)))
         format = "json" if whole else "ndjson"
     if format == "ndjson":
         odd = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").rlike(r"^\s*\{")).limit(1).count()
