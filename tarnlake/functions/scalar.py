@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
-from tarnlake.functions.text import SPACE
+from tarnlake.functions.text import stripped
 
 #: Option letters of the regular expression functions.
 OPTIONS = frozenset("cigmnpsl")
@@ -22,7 +22,7 @@ PARTS = ("year", "month", "day", "hour")
 
 def trim(s: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return stripped(s)
 
 
 def substr(s: Column, start: Column, length: Column) -> Column:

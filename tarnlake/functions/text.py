@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's ``\s`` is ASCII only.
 SPACE = r"[\s\p{Z}\x85\x1c-\x1f]"
+#: The same characters, for functions that take a set of them.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
     """``c`` without white space at its ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def unescaped(c: Column) -> Column:

@@ -11,6 +11,11 @@ from tarnlake.functions.text import identifier, letters
 from tarnlake.operators.incremental import digest
 
 
+def has_identity(key: str = "idempotency_key") -> Column:
+    """Whether a message's key is there: neither null nor blank."""
+    return F.coalesce(identifier(F.col(key)) != "", F.lit(False))
+
+
 def message_identity(key: str = "idempotency_key", task: str = "task_id", state: str = "state") -> Column:
     """128 bits of a message's key, task and state as they agree across spellings; null where the key is null or blank.
 
@@ -40,15 +45,17 @@ def first_deliveries(messages: DataFrame, identity: str, order: Sequence[str]) -
     return single.select("first.*").unionByName(repeated.select("first.*"))
 
 
-def repeated_deliveries(messages: DataFrame, identity: Column, order: str) -> DataFrame:
+def repeated_deliveries(messages: DataFrame, identity: Column, order: str, named: Column | None = None) -> DataFrame:
     """The ``order`` values (unique per delivery) of all deliveries that are copies of an earlier one.
 
     Singletons are passed over by their frequency; of a repeated identity everything but rank 1 is a copy. Ranks are
-    settled on the unique ``order`` column, so a hot identity's copies are spread evenly. Empty in, empty out.
+    settled on the unique ``order`` column, so a hot identity's copies are spread evenly. ``named`` tells more cheaply
+    whether a row has an identity. Empty in, empty out.
     """
     marked = messages.select(order, identity.alias("__identity")).filter(F.col("__identity").isNotNull())
     kept = first_deliveries(marked, "__identity", [order])
-    return marked.select(order).join(kept, [order], "left_anti")
+    rows = marked if named is None else messages.filter(named)
+    return rows.select(order).join(kept, [order], "left_anti")
 
 
 def dedupe_messages(new: DataFrame, stored: DataFrame | None, identity: Column, order: str) -> DataFrame:

@@ -62,7 +62,7 @@ def p3_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.repeated_deliveries(table(spark, d, "retry_log"), dedup.message_identity(), "delivery_id")
+    return dedup.repeated_deliveries(table(spark, d, "retry_log"), dedup.message_identity(), "delivery_id", dedup.has_identity())
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:

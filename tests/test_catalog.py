@@ -79,7 +79,7 @@ def test_random_windows(spark, duck, case):
     call = rng.choice(["sum(amount)", "count(amount)", "avg(amount)", "min(amount)", "max(amount)", "count(*)", "median(amount)", "quantile_cont(amount, 0.3)"] + ["count(distinct account)"] * (not exclude) + ["sum(amount) filter (where bucket > 2)"])
     part = rng.choice(["partition by account ", ""])
     direction = rng.choice(["", " desc"]) if "," not in order else ""
-    sql = f"select id, round({call} over ({part}order by {order}{direction} {mode} between {start} and {end} {exclude}), 4) as w from {matrix} m"
+    sql = f"select id, round({call} over ({part}order by {order}{direction} {mode} between {start} and {end} {exclude}), 8) as w from {matrix} m"
     cur = duck.execute(sql)
     want = rows(["id", "w"], cur.fetchall())
     got = run_sql(spark, sql, tables={"events": f"{DATA}/events.parquet"})
