@@ -37,17 +37,25 @@ GERMAN = frozenset("der die das und ist ich nicht wir du sie ein eine zu mit nac
 NAME = "@name"
 _UNSEEN = re.compile("[­​-‏⁠﻿‪-‮]")
 _HYPHENATED = re.compile(r"(?<=\w)[-‐]\s*[\r\n]+\s*(?=\w)")
-_SPELLED = re.compile(r"(?<=(?<![^\W_])[^\W_])[.\-_*·|/~ ](?=[^\W_](?![^\W_]))")
-_MIXED = re.compile(r"(?=[\w$@€*]*[^\W\d_])(?=[\w$@€*]*[\d$@€])[\w$@€]+")
+_FOREIGN = re.compile("[\u0370-\u04ff]")
+# these begin with what is rare in a text, so that most places are passed over at once
+_SPELLED = re.compile(r"[.\-_*·|/~ ](?=[^\W_](?![^\W_]))(?<=(?<![^\W_])[^\W_].)")
+_MIXED = re.compile(r"[^\W\d_]*[\d$@€][\w$@€]*")
 _ASIDE = re.compile(r"\[([^\[\]]{0,2000})\]|<([^<>]{0,2000})>|\(([^()]{0,2000})\)")
 _END = re.compile(r"(?<=[.!?…])[\"'”’»]*\s+|\s[—–-]\s|—|(?<=[.!?…])[“”]|[“”«»]")
 _COLON = re.compile(r":\s+(?=\S)")
-_TITLE = re.compile(r"(?<=\S )([\"'“‘(]?)[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{2,}(?:[-’'][^\W\d_]+)*")
+_TITLE = re.compile(r" (?<=\S )([\"'“‘(]?)[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{2,}(?:[-’'][^\W\d_]+)*")
 _ONLY_NAME = re.compile(r"\s*(?:(?:Mrs?|Ms|Dr|Sir|The|M|Mme|Herr|Frau)\.?\s+)?[^\W\d_a-zà-ÿ][^\W\d_]+[.,]?\s*")
 _WORD = re.compile(r"@name|[^\W_][\w*'’]*")
 _NUMBER = re.compile(r"\d[\d.,   ]*")
 
 
+def _letters(m: re.Match) -> str:
+    """A word of letters and look-alikes in letters alone; a number stays."""
+    word = m.group()
+    return word.translate(LOOKALIKES) if any(c.isalpha() for c in word) else word
+
+
 def passages(text: str | None) -> list[str]:
     """The passages of a text in plain spelling: lower case, compatibility forms undone, hidden characters and
     hyphenation gone, spelled-out and look-alike letters joined. Asides in brackets are passages of their own. A word with
@@ -55,7 +63,9 @@ def passages(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).translate(OTHER_SCRIPTS)
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+        if _FOREIGN.search(text):
+            text = text.translate(OTHER_SCRIPTS)
     text = _HYPHENATED.sub("", text)
     asides: list[str] = []
 
@@ -67,10 +77,10 @@ def passages(text: str | None) -> list[str]:
     found = []
     for part in (text, *asides):
         part = _SPELLED.sub("", " ".join(part.split()))
-        part = _MIXED.sub(lambda m: m.group().translate(LOOKALIKES), part)
+        part = _MIXED.sub(_letters, part)
         for one in (y for x in _END.split(part) for y in _COLON.split(x)):
             if len(GERMAN.intersection(one.split())) < 2:
-                one = NAME if _ONLY_NAME.fullmatch(one) else _TITLE.sub(rf"\1{NAME}", one)
+                one = NAME if _ONLY_NAME.fullmatch(one) else _TITLE.sub(rf" \1{NAME}", one)
             if one := one.strip().lower():
                 found.append(one)
     return found
@@ -116,7 +126,10 @@ class VoteIndex:
             self.blocks.append((local, dense))
             for t, m in zip(local.tolist(), dense.max(axis=1).tolist()):
                 maxima[t].append((b, m))
-        self.maxima = {t: (np.array([b for b, _ in x], np.int32), np.array([m for _, m in x], np.float32)) for t, x in maxima.items()}
+        arrays = lambda x: (np.array([b for b, _ in x], np.int32), np.array([m for _, m in x], np.float32))
+        self.maxima = {t: arrays(x) for t, x in maxima.items()}
+        # the same of the blocks with positive examples alone, in which most passages find nothing
+        self.leading = {t: arrays(y) for t, x in maxima.items() if (y := [(b, m) for b, m in x if b < self.positive])}
 
     def _weigh(self, ts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights of unit length; terms without id count in the length only."""
@@ -134,14 +147,15 @@ class VoteIndex:
         norm = math.sqrt(float(w @ w) + unknown)
         return np.array(ids, np.int64), (w / norm if norm else w).astype(np.float32)
 
-    def _bounds(self, ids: np.ndarray, weights: np.ndarray, blocks: int) -> np.ndarray:
-        """The greatest cosine that any example of each of the first ``blocks`` blocks may have."""
-        bounds = np.zeros(len(self.blocks), np.float32)
+    @staticmethod
+    def _bounds(maxima: dict[int, tuple[np.ndarray, np.ndarray]], ids: np.ndarray, weights: np.ndarray, blocks: int) -> np.ndarray:
+        """The greatest cosine that any example of each block may have."""
+        bounds = np.zeros(blocks, np.float32)
         for t, w in zip(ids.tolist(), weights.tolist()):
-            at, most = self.maxima[t]
-            if len(at) and at[0] < blocks:
-                bounds[at] += w * most
-        return bounds[:blocks]
+            found = maxima.get(t)
+            if found is not None:
+                bounds[found[0]] += w * found[1]
+        return bounds
 
     def _cosines(self, ids: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
         local, dense = self.blocks[block]
@@ -151,7 +165,7 @@ class VoteIndex:
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` examples of greatest cosine above 0, exactly, greatest first, ties by place. ``ids`` are in order."""
-        bounds = self._bounds(ids, weights, len(self.blocks))
+        bounds = self._bounds(self.maxima, ids, weights, len(self.blocks))
         sims, places, floor = np.zeros(0, np.float32), np.zeros(0, np.int64), 0.0
         for b in np.argsort(-bounds, kind="stable").tolist():
             # the margin covers the rounding of sums of single-precision products
@@ -171,7 +185,7 @@ class VoteIndex:
 
     def _likely(self, ids: np.ndarray, weights: np.ndarray) -> bool:
         """Whether any example with positive votes has a cosine of ``LEAST`` or more."""
-        bounds = self._bounds(ids, weights, self.positive)
+        bounds = self._bounds(self.leading, ids, weights, self.positive)
         return any((self._cosines(ids, weights, b) >= LEAST)[: self._positives - b * BLOCK].any() for b in np.flatnonzero(bounds + 1e-5 >= LEAST).tolist())
 
     def vote(self, ts: tuple[str, ...], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[float, int | None]:
