@@ -494,6 +494,15 @@ def cross_join_builder(spark: SparkSession, d: str) -> DataFrame:
     return joins.cross_join(frame(spark, d, "nation").select("n_name"), frame(spark, d, "region").select("r_name"))
 
 
+# --- the flagship: filter, aggregate, join, windows and QUALIFY in one statement -----------------------------------
+
+FLAGSHIP = """select r_name, n_name, segment, n, revenue, rank() over (partition by r_name order by revenue desc, n_name, segment) as place from (
+  select r_name, n_name, c_mktsegment as segment, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+  where l_shipdate >= timestamp '1993-01-01' and l_quantity < 45 group by r_name, n_name, c_mktsegment) x
+qualify place <= 5 order by r_name, place"""
+text("flagship", FLAGSHIP)
+
 # --- the SQL surface ----------------------------------------------------------------------------------------------
 
 text("sql_cte", "with big as (select * from orders where o_totalprice > 200000) select o_orderstatus, count(*) as n from big group by o_orderstatus order by n desc, o_orderstatus")
@@ -521,6 +530,35 @@ def json_query(spark: SparkSession, d: str) -> DataFrame:
     return Lake(spark).query(spec).df()
 
 
+@query("select o_orderkey, o_totalprice from orders where o_totalprice > 150000 and o_orderstatus like 'F%' qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2", "sql_from_builder")
+def sql_from_builder(spark: SparkSession, d: str) -> DataFrame:
+    """A builder's query printed as SQL text, and that text run."""
+    by = Window("row_number", (), (col("o_custkey"),), (Order(col("o_totalprice"), "desc"), Order(col("o_orderkey"))))
+    q = Lake(spark).path(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", "rn").where(X.and_(X.gt("o_totalprice", 150000), X.like("o_orderstatus", "F%")))
+    return run_sql(spark, q.window("rn", by).qualify(X.lte("rn", 2)).to_sql()).drop("rn")
+
+
+@query("""select l_returnflag, count(*) as n, round(sum(l_quantity), 3) as s, round(avg(l_tax), 8) as a, round(var_samp(l_quantity), 5) as v, min(l_shipdate) as lo, max(l_shipdate) as hi
+from lineitem group by 1""")
+def agg_partial_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two halves aggregated on their own, their states merged and finished."""
+    from tarnlake.operators import partials
+
+    spec = {"n": Agg("count"), "s": Agg("sum", "l_quantity"), "a": Agg("avg", "l_tax"), "v": Agg("var_samp", "l_quantity"), "lo": Agg("min", "l_shipdate"), "hi": Agg("max", "l_shipdate")}
+    df = frame(spark, d, "lineitem")
+    early = F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz")
+    _, state = partials.resumed(df.filter(early), ["l_returnflag"], spec, None)
+    done, _ = partials.resumed(df.filter(~early), ["l_returnflag"], spec, state)
+    return done.withColumns({"s": F.round("s", 3), "a": F.round("a", 8), "v": F.round("v", 5)})
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 2", "engine_load_table")
+def engine_load_table(spark: SparkSession, d: str) -> DataFrame:
+    from tarnlake.plans.engine import load_table
+
+    return load_table(spark, f"{d}/nation.parquet").scan(["n_nationkey", "n_name"], X.eq("n_regionkey", 2))
+
+
 # --- vectors and rows ---------------------------------------------------------------------------------------------
 
 _Q = "(select embedding from embeddings where vec_id = 7)"

@@ -320,6 +320,26 @@ class Query:
         d |= {"where": X.to_json(self.condition)} if self.condition is not None else {}
         return d | ({"limit": self.most} if self.most is not None else {})
 
+    def to_sql(self) -> str:
+        """The query as text of the SQL surface, which ``run_sql`` takes back."""
+        name = lambda c: X.to_sql(X.col(c))
+        head = [name(c) for c in self.columns or ()] or ([] if self.computed else ["*"])
+        head += [f"{X.to_sql(e)} AS {name(a)}" for a, e in self.computed]
+        head += [f"{_window_sql(w)} AS {name(a)}" for a, w in self.windows if self.columns is None]
+        hidden = [(a, w) for a, w in self.windows if self.columns is not None]
+        if any(a in (self.columns or ()) for a, _ in hidden):
+            head = [f"{_window_sql(dict(hidden)[c])} AS {name(c)}" if c in dict(hidden) else h for c, h in zip(self.columns or (), head)]
+            hidden = [(a, w) for a, w in hidden if a not in self.columns]
+        if hidden or self.source.path is None:
+            raise LakeError("INVALID_QUERY", "the query has no SQL text")
+        text = f"SELECT {'DISTINCT ' * self.unique}{', '.join(head)} FROM read_parquet({X.to_sql(X.lit(self.source.path))})"
+        text += f" WHERE {X.to_sql(w)}" if (w := self._where()) is not None else ""
+        text += f" QUALIFY {X.to_sql(self.condition_after)}" if self.condition_after is not None else ""
+        if self.order:
+            text += " ORDER BY " + ", ".join(f"{name(t.column)} {t.direction.upper()} NULLS {(t.nulls or ('last' if t.direction == 'asc' else 'first')).upper()}" for t in self.order)
+        text += f" LIMIT {self.most}" if self.most is not None else ""
+        return text + (f" OFFSET {self.skip}" if self.skip else "")
+
     # -- results
 
     def _guarded(self, run: Callable[[DataFrame], Any]) -> Any:
@@ -418,6 +438,22 @@ def classify(e: X.Expr | None, partition: set[str]) -> dict[str, list[str]]:
     return out
 
 
+def _window_sql(w: Window) -> str:
+    """A window call as text."""
+    from tarnlake.operators.windows import _bound
+
+    args = ", ".join("*" if a == "*" else X.to_sql(X.col(a) if isinstance(a, str) else a) for a in w.args)
+    text = f"{w.fn}({'DISTINCT ' * w.distinct}{args}{' IGNORE NULLS' * w.ignore_nulls})"
+    text += f" FILTER (WHERE {X.to_sql(w.where)})" if w.where is not None else ""
+    parts = [f"PARTITION BY {', '.join(map(X.to_sql, w.partition_by))}"] if w.partition_by else []
+    if w.order_by:
+        parts.append("ORDER BY " + ", ".join(f"{X.to_sql(o.expr)} {o.direction.upper()} NULLS {(o.nulls or ('last' if o.direction == 'asc' else 'first')).upper()}" for o in w.order_by))
+    if w.frame:
+        exclude = {"no-others": "", "current-row": " EXCLUDE CURRENT ROW", "group": " EXCLUDE GROUP", "ties": " EXCLUDE TIES"}[w.frame.exclude]
+        parts.append(f"{w.frame.mode.upper()} BETWEEN {_bound(w.frame.start)} AND {_bound(w.frame.end)}{exclude}")
+    return f"{text} OVER ({' '.join(parts)})"
+
+
 def timed(spark: SparkSession, limit_ms: int | None, run: Callable[[], Any]) -> Any:
     """Run, and cancel the jobs of this call when the time is over."""
     if limit_ms is None:
