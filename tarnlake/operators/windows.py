@@ -24,10 +24,11 @@ AGGREGATES = ("count", "sum", "avg", "var_samp", "var_pop", "stddev_samp", "stdd
 
 @dataclass(frozen=True)
 class Bound:
-    """A frame bound: ``kind`` is unbounded, preceding, current or following; ``offset`` is SQL text."""
+    """A frame bound: ``kind`` is unbounded, preceding, current or following; ``offset`` is SQL text or, in a builder's ROWS
+    frame, an expression of each row."""
 
     kind: str
-    offset: str | None = None
+    offset: str | X.Expr | None = None
     after: bool = False  # for unbounded: following
 
 
@@ -52,6 +53,8 @@ class WindowCall:
     ignore_nulls: bool = False
     distinct: bool = False
     ordinal: str | None = None
+    #: Lowest and highest row of the frame relative to each row, as SQL; ``frame`` is then wide enough for all rows.
+    span: tuple[str, str] | None = None
 
 
 def _order_text(order: list[tuple[str, str, str | None]], nulls_default) -> str:
@@ -71,7 +74,7 @@ def sql_nulls(_direction: str) -> str:
 def _bound(b: Bound) -> str:
     if b.kind == "unbounded":
         return "UNBOUNDED FOLLOWING" if b.after else "UNBOUNDED PRECEDING"
-    return "CURRENT ROW" if b.kind == "current" else f"{b.offset} {b.kind.upper()}"
+    return "CURRENT ROW" if b.kind == "current" else f"{X.to_sql(b.offset) if isinstance(b.offset, X.Expr) else b.offset} {b.kind.upper()}"
 
 
 def _holds_current(f: Frame) -> bool:
@@ -112,7 +115,7 @@ def lower(w: WindowCall, name, nulls_default=builder_nulls) -> tuple[str, dict[s
         return f"{fn}({', '.join(w.args)}){ignore} OVER ({part}ORDER BY {places or '1'})", helpers
     frame, over_order = w.frame, places
     peer = None
-    if frame and (frame.mode == "groups" or frame.exclude != "no-others"):
+    if frame and (frame.mode == "groups" or frame.exclude != "no-others" or w.span):
         peer = name()
         helpers[peer] = f"dense_rank() OVER ({part}ORDER BY {order or '1'})"
     if frame and frame.mode == "groups":
@@ -129,7 +132,7 @@ def lower(w: WindowCall, name, nulls_default=builder_nulls) -> tuple[str, dict[s
     elif not order:
         frame_text = ""
     over = f"OVER ({part}{'ORDER BY ' + over_order if over_order else ''}{frame_text})"
-    if frame and frame.exclude != "no-others":
+    if frame and (frame.exclude != "no-others" or w.span):
         return _excluding(fn, w, frame, part, order, places, over, peer, helpers, name), helpers
     if fn in VALUE:
         _arity(fn, w.args, 2 if fn == "nth_value" else 1)
@@ -178,7 +181,7 @@ def _mode(values: str) -> str:
 
 def _excluding(fn: str, w: WindowCall, frame: Frame, part: str, order: str, places: str, over: str, peer: str, helpers: dict[str, str], name) -> str:
     x = _value(w)
-    if fn in ("count", "sum", "avg") and _holds_current(frame) and (frame.exclude == "current-row" or frame.mode != "rows"):
+    if fn in ("count", "sum", "avg") and not w.span and _holds_current(frame) and (frame.exclude == "current-row" or frame.mode != "rows"):
         # the excluded rows are all in the frame: what they add is taken away, without gathering frames
         peers = f"OVER ({part.rstrip()}{', ' if part else 'PARTITION BY '}{peer})"
         own_n, own_s = f"CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END", f"coalesce(({x}), 0)"
@@ -195,7 +198,9 @@ def _excluding(fn: str, w: WindowCall, frame: Frame, part: str, order: str, plac
         return f"CASE WHEN {n} > 0 THEN {s}{f' / {n}' if fn == 'avg' else ''} END"
     row = name()
     helpers[row] = f"row_number() OVER ({part}ORDER BY {places or '1'})"
-    keep = {"current-row": f"`__le`.r <> {row}", "group": f"`__le`.g <> {peer}", "ties": f"`__le`.g <> {peer} OR `__le`.r = {row}"}[frame.exclude]
+    keep = {"current-row": f"`__le`.r <> {row}", "group": f"`__le`.g <> {peer}", "ties": f"`__le`.g <> {peer} OR `__le`.r = {row}", "no-others": "true"}[frame.exclude]
+    if w.span:
+        keep = f"({keep}) AND `__le`.r >= {row} + {w.span[0]} AND `__le`.r <= {row} + {w.span[1]}"
     rows = f"filter(collect_list(struct({row} AS r, {peer} AS g, {x} AS v)) {over}, `__le` -> {keep})"
     values = f"transform({rows}, `__le` -> `__le`.v)"
     if fn in VALUE:
@@ -281,19 +286,45 @@ def add_windows(df: DataFrame, windows: dict[str, Window], ordinal: str | None =
             helpers[known[e]] = compiler.column(e)
         return known[e]
 
+    def spanned(f: Frame) -> tuple[Frame, tuple[str, str] | None]:
+        """A ROWS frame with offsets by row as one of literal offsets that holds it, and each row's span within."""
+        ends = (f.start, f.end)
+        if not any(isinstance(b.offset, X.Expr) for b in ends):
+            return f, None
+        if f.mode != "rows":
+            raise LakeError("UNSUPPORTED_SQL", "only ROWS frames take offsets by row")
+        span, wide = [], []
+        for b in ends:
+            if b.kind in ("unbounded", "current"):
+                span.append({"current": "0"}.get(b.kind, "1000000000" if b.after else "-1000000000"))
+                wide.append(b)
+                continue
+            e = b.offset if isinstance(b.offset, X.Expr) else X.lit(int(b.offset))
+            c = compiler.column(e).cast("int")
+            low, most = df.agg(F.min(c), F.max(c)).first()
+            if low is not None and low < 0:
+                raise LakeError("TYPE_ERROR", "a frame offset is negative")
+            span.append(f"{'-' if b.kind == 'preceding' else ''}CAST({plain(e)} AS INT)")
+            # to be wide enough, a frame that starts after its row starts at the row, and one that ends before ends there
+            nearer = (b is f.start and b.kind == "following") or (b is f.end and b.kind == "preceding")
+            wide.append(Bound("current") if nearer else Bound(b.kind, str(most or 0)))
+        return Frame("rows", wide[0], wide[1], f.exclude), (span[0], span[1])
+
     lowered = {}
     for alias, w in windows.items():
+        frame, span = spanned(w.frame) if w.frame else (None, None)
         args = ["*" if a == "*" else plain(a if isinstance(a, X.Expr) else X.lit(a) if not isinstance(a, str) else X.col(a)) for a in w.args]
         call = WindowCall(
             w.fn,
             args,
             [plain(p) for p in w.partition_by],
             [(plain(o.expr), o.direction, o.nulls) for o in w.order_by],
-            w.frame,
+            frame,
             plain(w.where) if w.where else None,
             w.ignore_nulls,
             w.distinct,
             ordinal,
+            span,
         )
         lowered[alias], deeper = lower(call, name)
         results |= deeper

@@ -421,6 +421,14 @@ _windows(
     q=Window("quantile", (col("value"), lit(0.25)), **_BY_USER, frame=_frame("rows", "4", "0")),
     o=Window("mode", (col("event_type"),), **_BY_USER, frame=_frame("rows", "4", "0")),
 )
+_windows(
+    "win_rows_by_row",
+    """select event_id, round(sum(value) over (w rows between user_id % 3 preceding and user_id % 2 following), 8) as s, count(*) over (w rows between user_id % 4 preceding and current row) as n
+    from events window w as (partition by user_id order by ts, event_id)""",
+    ("s",),
+    s=Window("sum", (col("value"),), **_BY_USER, frame=Frame("rows", Bound("preceding", X.mod("user_id", 3)), Bound("following", X.mod("user_id", 2)))),
+    n=Window("count", ("*",), **_BY_USER, frame=Frame("rows", Bound("preceding", X.mod("user_id", 4)), Bound("current"))),
+)
 text(
     "win_named",
     "select event_id, row_number() over w as rn, round(sum(value) over (w rows between 1 preceding and current row), 8) as s from events window p as (partition by user_id), w as (p order by ts, event_id)",

@@ -214,6 +214,10 @@ class Query:
         ordinal = self.source.ordinal
         if self.source.frame is not None:
             df = self.source.frame
+        elif not self.source.index and self.lake.budget.max_files is None and self.lake.budget.max_bytes is None:
+            # nothing needs the list of files: Spark lists, and prunes folders by conditions on partition columns
+            df = readers.read_parquet(self.lake.spark, self.source.path, self.source.hive, place)
+            ordinal = readers.FILE_ORDINAL if place else None
         else:
             files, b = self.files(), self.lake.budget
             if b.max_files is not None and len(files) > b.max_files:
@@ -555,7 +559,8 @@ def window_from_json(d: dict) -> Window:
         if kind == "current-row":
             return Bound("current")
         offset = b.get("offset")
-        return Bound(kind, str(offset["value"] if isinstance(offset, dict) else offset))
+        e = X.from_json(offset) if isinstance(offset, dict) else X.lit(offset)
+        return Bound(kind, str(e.value) if isinstance(e, X.Literal) else e)
 
     f = over.get("frame")
     frame = Frame(f["mode"], bound(f["start"], False), bound(f["end"], True), f.get("exclude", "no-others")) if f else None

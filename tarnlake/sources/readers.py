@@ -29,7 +29,8 @@ def glob_regex(pattern: str) -> str:
 def list_files(spark: SparkSession, source: str, suffix: str = ".parquet") -> list[tuple[str, int]]:
     """(path, bytes) of a file, of the files under a folder, or of those that match a glob; in order of path.
 
-    Listing is done by the driver's file system client, as Spark's own planning does. Nothing found is an error.
+    Listing is done by the driver's file system client: for globs, limits on files, and file indexes. Folders that are
+    read whole are listed by Spark (``read_parquet``). Nothing found is an error.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -67,8 +68,8 @@ def reject_unsupported(schema: T.StructType, columns: Iterable[str] | None = Non
             raise LakeError("UNSUPPORTED_PARQUET_FEATURE", f"column {f.name} has an unsupported type {t.simpleString()}", {"column": f.name})
 
 
-def _file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType, list[str]]]:
-    """The distinct schemas of files and the files of each; footers are read by tasks."""
+def _schemas_of(listed: DataFrame) -> DataFrame:
+    """(path, schema as JSON) of the files in ``listed``; footers are read by tasks."""
 
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -85,14 +86,53 @@ def _file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructT
                     rows.append((p, from_arrow_schema(pq.read_schema(file), prefer_timestamp_ntz=True).json()))
             yield pd.DataFrame(rows, columns=["path", "schema"])
 
+    return listed.select("path").mapInPandas(read, "path string, schema string")
+
+
+def _file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """The distinct schemas of files and the files of each."""
     tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
+    return _grouped(_schemas_of(spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)))
+
+
+def _grouped(found: DataFrame) -> list[tuple[T.StructType, list[str]]]:
     groups: dict[str, list[str]] = {}
-    for row in listed.mapInPandas(read, "path string, schema string").collect():
+    for row in found.collect():
         groups.setdefault(row["schema"], []).append(row["path"])
     return [(T.StructType.fromJson(json.loads(s)), sorted(ps)) for s, ps in sorted(groups.items())]
 
 
+def _read_folder(spark: SparkSession, folder: str, hive: bool, ordinal: bool) -> DataFrame | None:
+    """A folder whose files have one schema, listed and planned by Spark alone; None if they differ.
+
+    Only the distinct schemas reach the driver. Partition columns are Spark's own, as text, so that conditions on them
+    prune folders; where a file has a column of such a name this reader isn't used, as the file's column counts.
+    """
+    listed = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup="true").load(folder).select("path")
+    found = _schemas_of(listed).groupBy("schema").agg(F.first("path").alias("path")).limit(2).collect()
+    if len(found) != 1:
+        return None
+    own = T.StructType.fromJson(json.loads(found[0]["schema"]))
+    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inference)
+    spark.conf.set(inference, "false")
+    try:
+        df = spark.read.parquet(folder) if hive else spark.read.schema(own).option("recursiveFileLookup", "true").parquet(folder)
+        parts = [c for c in df.columns if c not in own.fieldNames()]
+        if hive and len(parts) < len(set(re.findall(r"/([^/=]+)=[^/]+(?=/)", found[0]["path"][len(folder.split(":", 1)[-1]) :]))):
+            return None
+        extra = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(FILE_ORDINAL)] * ordinal
+        return df.select(*[F.col(quoted(c)) for c in [*own.fieldNames(), *parts]], *extra)
+    finally:
+        spark.conf.set(inference, before)
+
+
+def _is_folder(spark: SparkSession, source: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not re.search(r"[*?]", source) and fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
 def _plain(t: T.DataType) -> T.DataType:
     """The type without nullability, which differs between writers."""
     if isinstance(t, T.ArrayType):
@@ -123,6 +163,10 @@ def read_parquet(spark: SparkSession, source: str | list[str], hive: bool = Fals
     With ``hive``, ``key=value`` folders give text columns (URL escapes undone); a file's own column of the name wins.
     With ``ordinal``, each row's place (file and row number) is in ``__place``.
     """
+    if isinstance(source, str) and _is_folder(spark, source):
+        df = _read_folder(spark, source, hive, ordinal)
+        if df is not None:
+            return df
     paths = source if isinstance(source, list) else [p for p, _ in list_files(spark, source)]
     groups = _file_schemas(spark, paths) if len(paths) > 1 else [(spark.read.parquet(paths[0]).schema, paths)]
     types = unify([s for s, _ in groups])

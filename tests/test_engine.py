@@ -249,6 +249,12 @@ def test_globs_hive_and_drift(spark):
     told = q.explain()
     assert (told["filesPlanned"], told["filesSkipped"]) == (2, 1) and told["predicate"]["partition"] and told["predicate"]["statistics"]
     assert len(readers.list_files(spark, f"{root}/k=c/**/*.parquet")) == 2 and len(readers.list_files(spark, f"{root}/*/d=?/*.parquet")) == 3
+    plain = scratch(spark, "even")
+    spark.range(20).selectExpr("id", "id % 2 as k", "concat('a b%', id % 3) as t").write.partitionBy("k", "t").parquet(plain)
+    even = lake.hive(plain).where(X.and_(X.eq("k", "1"), X.eq("t", "a b%2")))
+    assert sorted(r["id"] for r in even.to_array()) == [5, 11, 17] and "PartitionFilters: [isnotnull(k" in even.explain()["plan"]
+    assert lake.path(plain).count() == 20 and lake.path(plain).df().columns == ["id"]
+    assert [r["f"] for r in lake.path(plain).aggregate({"f": Agg("first", "id")}).collect()] == [0]
     spark.createDataFrame([("x",)], "id string").write.parquet(f"{root}/k=e/d=4")
     with refused("SCHEMA_CONFLICT"):
         lake.hive(root).df()
@@ -412,6 +418,50 @@ def test_vectors(spark):
     assert [r["vec_id"] for r in vectors.take_rows(df, [6, 99, 6], "vec_id", ["vec_id"], on_missing="null").collect()] == [6, None, 6]
 
 
+def test_partial_states(spark):
+    from tarnlake.operators import partials
+
+    spec = {"n": Agg("count"), "s": Agg("sum", "v"), "d": Agg("stddev_pop", "v"), "v": Agg("var_samp", "v"), "a": Agg("avg", "v"), "hi": Agg("max", "v")}
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("a", None), (None, 2.0), ("b", None)], "g string, v double")
+    want = {r["g"]: r for r in Lake(spark).frame(df).group_by("g").aggregate(spec).collect()}
+    parts = [partials.partial(df.filter(f"pmod(hash(g, v), 3) = {i}"), ["g"], spec) for i in range(3)]
+    got = {r["g"]: r for r in partials.finish(partials.merge(parts, ["g"], spec), ["g"], spec).collect()}
+    for g, r in want.items():
+        assert all((got[g][k] is None) == (r[k] is None) and (r[k] is None or abs(got[g][k] - r[k]) < 1e-9) for k in spec), (g, r, got[g])
+    with refused("INVALID_QUERY"):
+        partials.partial(df, ["g"], {"m": Agg("median", "v")})
+
+
+def test_spatial_helpers(spark):
+    from tarnlake.functions import spatial as S
+
+    assert S.as_geojson("POINT(1 2)") == {"type": "Point", "coordinates": [1.0, 2.0]} and S.as_geojson(TRIANGLE)["type"] == "Polygon"
+    assert S.from_geojson({"type": "Point", "coordinates": [1, 2]}) == '{"type":"Point","coordinates":[1,2]}'
+    with refused("TYPE_ERROR"):
+        S.from_geojson({"type": "Point", "coordinates": []})
+    df = spark.createDataFrame([("POINT(1 1)",), ("POINT(9 9)",)], "g string")
+    assert Lake(spark).frame(df).where(S.st_within(col("g"), TRIANGLE)).count() == 1
+
+
+def test_streams(spark):
+    from tarnlake.operators import dedup
+    from tarnlake.operators.incremental import StateStore
+    from tarnlake.streaming import streams
+
+    root = scratch(spark, "st")
+    kinds = "id bigint, k string, v string"
+    put = lambda *rows: spark.createDataFrame(list(rows), kinds).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    identity = dedup.F.when(dedup.F.col("k").isNotNull(), dedup.digest(["k"]))
+    seen = []
+    for rows in (((1, "a", "x"), (2, "a", "y"), (3, None, "z")), ((4, "a", "x"), (5, "b", "x"), (6, None, "z"))):
+        put(*rows)
+        streams.dedupe_stream(streams.read_files(spark, f"{root}/in", kinds), f"{root}/out", f"{root}/c1", identity, "id").awaitTermination()
+        sink = lambda df, run: seen.append(sorted(r["id"] for r in df.collect()))
+        streams.changes_stream(streams.read_files(spark, f"{root}/in", kinds), f"{root}/state", f"{root}/c2", ["k"], ["v"], sink).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/out").collect()) == [1, 3, 5, 6]
+    assert seen == [[1, 2, 3], [5]] and StateStore(spark, f"{root}/state").current()["run"] == "batch-1"
+
+
 def test_avro_round_trip():
     schema = {"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"]}, {"name": "c", "type": {"type": "array", "items": "int"}}]}
     records = [{"a": -(2**40), "b": None, "c": []}, {"a": 7, "b": "é", "c": [1, -2]}]
