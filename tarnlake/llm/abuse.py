@@ -211,13 +211,16 @@ class VoteIndex:
 #: How the witnesses of positive readings are found: examples asked and sharpness (a wide, soft look), the least share of
 #: positive votes of a witness, and how near to a document's most suspicious passage another one must come.
 WIDE, SOFT, SUSPECT, NEAR_BEST = 40, 3, 0.35, 0.85
+#: The share of all documents at which a passage's pattern counts half as suspicious: what stands in many can't be what
+#: sets few apart, however few of them have been read.
+COMMON = 0.004
 
 
 def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[float]], df: dict[str, int], documents: int) -> dict[tuple[str, ...], tuple[float, float]]:
     """Examples with the positive and all votes of each: a positive reading counts for the passages that bear it out.
 
     Readings are of whole documents, and readers err. A first index gives each passage its document's readings; a wide
-    look at its neighbours tells how suspicious it is. A positive reading then goes to the document's most suspicious
+    look at its neighbours, and how rare it is in all documents, tell how suspicious it is. A positive reading then goes to the document's most suspicious
     passages, and to none if nothing stands out; for its other passages it counts as negative.
     """
 
@@ -233,11 +236,16 @@ def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[
 
     raw = collect(lambda own: own)
     index = VoteIndex(raw, df, documents)
+
+    def rarity(p: tuple[str, ...]) -> float:
+        """Near 1 for a passage whose rarest word or pair of words is in few of all documents."""
+        return 1 / (1 + min((df.get(t, 0) for t in p), default=0) / max(documents, 1) / COMMON)
+
     suspicion: dict[tuple[str, ...], float] = {}
 
     def stands_out(own: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
         for p in own - suspicion.keys():
-            suspicion[p] = index.vote(p, WIDE, SOFT)[0]
+            suspicion[p] = index.vote(p, WIDE, SOFT)[0] * rarity(p)
         best = max((suspicion[p] for p in own), default=0.0)
         return {p for p in own if best >= SUSPECT and suspicion[p] >= NEAR_BEST * best}
 
