@@ -188,15 +188,15 @@ class VoteIndex:
         bounds = self._bounds(self.leading, ids, weights, self.positive)
         return any((self._cosines(ids, weights, b) >= LEAST)[: self._positives - b * BLOCK].any() for b in np.flatnonzero(bounds + 1e-5 >= LEAST).tolist())
 
-    def vote(self, ts: tuple[str, ...], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[float, int | None]:
-        """The share of positive votes, 0 without a positive example of cosine ``LEAST``, and the example that weighs most for it."""
+    def weigh(self, ts: tuple[str, ...], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[float, float, int | None]:
+        """Positive and all votes of the nearest examples, and the one that weighs most for it; none without a positive one of cosine ``LEAST``."""
         up = total = 0.0
         evidence, most = None, 0.0
         ids, weights = self._weigh(ts)
         sort = np.argsort(ids)
         ids, weights = ids[sort], weights[sort]
         if not len(ids) or not self._likely(ids, weights):
-            return 0.0, None
+            return 0.0, 0.0, None
         for sim, i in self.nearest(ids, weights, voters):
             positive, readings = self.votes[i]
             w = min(1.0, sim) ** sharpness
@@ -205,15 +205,22 @@ class VoteIndex:
                 up += w * positive
                 if w * positive > most:
                     evidence, most = i, w * positive
+        return float(up), float(total), evidence
+
+    def vote(self, ts: tuple[str, ...]) -> tuple[float, int | None]:
+        """The share of positive votes, and the example that weighs most for it."""
+        up, total, evidence = self.weigh(ts)
         return (up / (total + PRIOR) if up else 0.0), evidence
 
 
 #: How the witnesses of positive readings are found: examples asked and sharpness (a wide, soft look), the least share of
 #: positive votes of a witness, and how near to a document's most suspicious passage another one must come.
 WIDE, SOFT, SUSPECT, NEAR_BEST = 40, 3, 0.35, 0.85
-#: The share of all documents at which a passage's pattern counts half as suspicious: what stands in many can't be what
-#: sets few apart, however few of them have been read.
-COMMON = 0.004
+#: What stands in many documents can't be what sets few apart, unless many readings say so. COMMON: the share of all
+#: documents that makes a passage half as likely a witness as a unique one of the same document. DOUBT: the negative votes
+#: a passage is taken to have that stands in as many documents as are positive, with one positive vote; with more they
+#: shrink by its square, as each reading that agrees makes chance less likely.
+COMMON, DOUBT = 0.004, 100
 
 
 def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[float]], df: dict[str, int], documents: int) -> dict[tuple[str, ...], tuple[float, float]]:
@@ -237,17 +244,22 @@ def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[
     raw = collect(lambda own: own)
     index = VoteIndex(raw, df, documents)
 
-    def rarity(p: tuple[str, ...]) -> float:
-        """Near 1 for a passage whose rarest word or pair of words is in few of all documents."""
-        return 1 / (1 + min((df.get(t, 0) for t in p), default=0) / max(documents, 1) / COMMON)
+    positive = sum(map(sum, readings.values())) / max(1, sum(map(len, readings.values())))
+
+    def judge(p: tuple[str, ...]) -> tuple[float, float]:
+        """How suspicious a passage is on its own, and among those of its document."""
+        common = min((df.get(t, 0) for t in p), default=0) / max(documents, 1)
+        up, total, _ = index.weigh(p, WIDE, SOFT)
+        alone = up / (total + PRIOR + DOUBT * common / positive / max(1.0, up) ** 2) if up else 0.0
+        return alone, alone / (1 + common / COMMON)
 
-    suspicion: dict[tuple[str, ...], float] = {}
+    suspicion: dict[tuple[str, ...], tuple[float, float]] = {}
 
     def stands_out(own: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
         for p in own - suspicion.keys():
-            suspicion[p] = index.vote(p, WIDE, SOFT)[0] * rarity(p)
-        best = max((suspicion[p] for p in own), default=0.0)
-        return {p for p in own if best >= SUSPECT and suspicion[p] >= NEAR_BEST * best}
+            suspicion[p] = judge(p)
+        best = max((suspicion[p][1] for p in own), default=0.0)
+        return {p for p in own if suspicion[p][0] >= SUSPECT and suspicion[p][1] >= NEAR_BEST * best}
 
     return collect(stands_out)
 
