@@ -46,4 +46,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """with usable as (
+  select (row_ids_high & 4294967295) * 4294967296 + (row_ids_low & 4294967295) as id, dimensions, vectors::double[] as v from vector_blocks
+  where coalesce(valid, true) and len(vectors) = dimensions and len(list_filter(vectors, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vectors, lambda x: x <> 0)) > 0),
+vecs as (select id, any_value(dimensions) as dimensions, any_value(v) as v from usable group by id),
+ranked as (
+  select a.id as a, b.id as b, row_number() over (partition by a.id order by round(list_cosine_similarity(a.v, b.v), 9) desc, b.id) as place
+  from vecs a join vecs b on a.dimensions = b.dimensions and a.id <> b.id)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from ranked where place <= 5""",
+    }
