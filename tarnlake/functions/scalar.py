@@ -55,9 +55,14 @@ def _pattern(pattern: str, flags: str, literal: bool) -> str:
     return flags + quoted
 
 
-def regexp_matches(s: Column, pattern: str, options: str = "") -> Column:
+def matching(pattern: str, options: str) -> str:
+    """A pattern with its options put in."""
     flags, literal, _ = _flags("regexp_matches", options, False)
-    return s.rlike(_pattern(pattern, flags, literal))
+    return _pattern(pattern, flags, literal)
+
+
+def regexp_matches(s: Column, pattern: str, options: str = "") -> Column:
+    return s.rlike(matching(pattern, options))
 
 
 def _java_replacement(text: str) -> str:
@@ -65,18 +70,26 @@ def _java_replacement(text: str) -> str:
     return re.sub(r"\\([0-9])|([\\$])", lambda m: f"${m[1]}" if m[1] else "\\" + m[2], text)
 
 
-def regexp_replace(s: Column, pattern: str, replacement: str, options: str = "") -> Column:
-    """The first match replaced, or all with option ``g``."""
+def replacing(pattern: str, replacement: str, options: str) -> tuple[str, str]:
+    """Pattern and replacement by which replacing all matches replaces the first match of ``pattern``, or all with ``g``.
+
+    For the first match, the pattern takes the whole text: the shortest text before a match, the match, and the rest,
+    of which the outer two are put back. Flags hold for the match alone.
+    """
     flags, literal, everywhere = _flags("regexp_replace", options, True)
     full, new = _pattern(pattern, flags, literal), _java_replacement(replacement)
     if everywhere:
-        return F.regexp_replace(s, F.lit(full), F.lit(new))
-    # the shortest text before a match and all that follows it are kept; the flags hold for the match alone
-    groups = _groups(full)
-    match = _shift_backrefs(full[len(flags) :], 2) if not literal else full[len(flags) :]
-    around = f"(?s:^(.*?))((?{flags[2:-1]}:{match}))(?s:(.*)$)" if flags else f"(?s:^(.*?))({match})(?s:(.*)$)"
+        return full, new
+    body = full[len(flags) :]
+    match = body if literal else _shift_backrefs(body, 2)
+    around = f"(?s:^(.*?))({f'(?{flags[2:-1]}:{match})' if flags else match})(?s:(.*)$)"
     shifted = re.sub(r"(?<!\\)\$([0-9])", lambda m: f"${int(m[1]) + 2}", new)
-    return F.regexp_replace(s, F.lit(around), F.lit(f"$1{shifted}${groups + 3}"))
+    return around, f"$1{shifted}${_groups(full) + 3}"
+
+
+def regexp_replace(s: Column, pattern: str, replacement: str, options: str = "") -> Column:
+    """The first match replaced, or all with option ``g``."""
+    return F.regexp_replace(s, *map(F.lit, replacing(pattern, replacement, options)))
 
 
 def _groups(pattern: str) -> int:
