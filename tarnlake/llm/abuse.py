@@ -256,7 +256,7 @@ def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[
     suspicion: dict[tuple[str, ...], tuple[float, float]] = {}
 
     def stands_out(own: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
-        for p in own - suspicion.keys():
+        for p in [p for p in own if p not in suspicion]:
             suspicion[p] = judge(p)
         best = max((suspicion[p][1] for p in own), default=0.0)
         return {p for p in own if suspicion[p][0] >= SUSPECT and suspicion[p][1] >= NEAR_BEST * best}
@@ -311,8 +311,11 @@ def fit(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[float]
     for mine, other in (halves, halves[::-1]):
         if mine and other:
             index = VoteIndex(witnesses(texts, other, df, documents), df, documents)
+            known: dict[tuple[str, ...], float] = {}
             for d, rs in mine.items():
-                votes.append(max((index.vote(p)[0] for p in set(texts.get(d, ()))), default=0.0))
+                own = set(texts.get(d, ()))
+                known |= {p: index.vote(p)[0] for p in own if p not in known}
+                votes.append(max((known[p] for p in own), default=0.0))
                 shares.append((sum(rs), float(len(rs))))
     return Model(VoteIndex(witnesses(texts, readings, df, documents), df, documents), rising_steps(votes, shares))
 
