@@ -11,6 +11,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
 from tarnlake.plans.skew import salted_join
 
@@ -125,14 +126,14 @@ def compact_rows(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
 
 
 def compact_directory(spark: SparkSession, source: str, out: str, target: int = TARGET, below: int = SMALL) -> DataFrame:
-    """Merge the small Parquet files under ``source`` by folder and layout into files near ``target`` bytes under ``out``.
+    """The rows of all Parquet files under ``source`` as files under ``out``, the small ones merged by folder and layout to near ``target`` bytes.
 
     Files are listed and their footers read by tasks, not by the driver. A report row of each output comes back, with the
-    counts of files, blocks and rows that were checked. Files of ``below`` bytes or more, and empty folders, are left alone.
+    counts of files, blocks and rows that were checked. Files of ``below`` bytes or more are carried over as they are, each
+    under a name of its own (``kept-``), so that ``out`` alone holds every row of ``source``. Empty folders are left out.
     """
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length").filter(F.col("length") < below)
-    )
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length")
+    listed = every.filter(F.col("length") < below)
 
     def read_layouts(batches: Iterator) -> Iterator:
         import hashlib
@@ -178,4 +179,32 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
         write_whole(path, sink.getvalue(), uuid.uuid4().hex)
         return pa.table({"folder": [inside], "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
 
-    return binned.select("folder", "layout", "bin", "path").groupBy("folder", "layout", "bin").applyInArrow(copy_blocks, "folder string, path string, files bigint, blocks bigint, `rows` bigint, bytes bigint")
+    def carry(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        from tarnlake.sources import parquet_blocks as blocks
+        from tarnlake.sources.storage import open_read, write_whole
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                name = bare(path).removeprefix(prefix).strip("/")
+                inside = name.rpartition("/")[0]
+                to = "/".join(x for x in (out.rstrip("/"), inside, f"kept-{hashlib.md5(name.encode()).hexdigest()}.parquet") if x)
+                file, length = open_read(path)
+                with file:
+                    file.seek(0)
+                    write_whole(to, iter(lambda: file.read(1 << 22), b""), uuid.uuid4().hex)  # noqa: B023
+                    source_meta = blocks.footer(file, length)
+                copy, copied = open_read(to)
+                with copy:
+                    meta = blocks.footer(copy, copied)
+                if copied != length or meta != source_meta:
+                    raise LakeError("VALIDATION_ERROR", "a file carried over isn't the same", {"path": path})
+                counts = {"files": 1, "blocks": blocks.block_count(meta), "rows": blocks.row_count(meta), "bytes": copied}
+                yield pa.RecordBatch.from_pydict({"folder": [inside], "path": [to]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
+
+    report = "folder string, path string, files bigint, blocks bigint, `rows` bigint, bytes bigint"
+    merged = binned.select("folder", "layout", "bin", "path").groupBy("folder", "layout", "bin").applyInArrow(copy_blocks, report)
+    return merged.unionByName(every.filter(F.col("length") >= below).mapInArrow(carry, report))

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.errors import LakeError
 from tarnlake.functions import expr as X
 from tarnlake.operators import compaction, dedup
 from tarnlake.operators.incremental import StateStore, run_incremental
@@ -185,7 +186,11 @@ def compact_directory(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark, "tiny")
     frame(spark, d, "lineitem").repartition(40, "l_orderkey", "l_linenumber").write.parquet(f"{root}/from")
     compaction.compact_directory(spark, f"{root}/from", f"{root}/to", target=8 << 20).write.parquet(f"{root}/report")
-    return spark.read.parquet(f"{root}/to").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    carried = spark.read.parquet(f"{root}/report").agg(F.sum("rows")).first()[0]
+    merged = spark.read.parquet(f"{root}/to")
+    if not carried == merged.count() == spark.read.parquet(f"{root}/from").count():
+        raise LakeError("VALIDATION_ERROR", "compaction has lost or gained rows")
+    return merged.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
 @query("select e.event_id, e.value + 1 as value from events e where event_type = 'click' union all select event_id + 10000000, value from events where event_type = 'click'")

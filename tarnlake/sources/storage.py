@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from typing import BinaryIO
 
 
@@ -24,13 +25,14 @@ def open_read(uri: str) -> tuple[BinaryIO, int]:
     return system.open_input_file(path), system.get_file_info(path).size
 
 
-def write_whole(uri: str, data: bytes, attempt: str) -> None:
-    """Write a file so that it appears whole or not at all, also if two attempts of a task write it."""
+def write_whole(uri: str, data: bytes | Iterable[bytes], attempt: str) -> None:
+    """Write a file, given as bytes or piece by piece, so that it appears whole or not at all, also if two attempts of a task write it."""
+    pieces = [data] if isinstance(data, bytes) else data
     if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         temporary = f"{path}.{attempt}.tmp"
         with open(temporary, "wb") as f:
-            f.write(data)
+            f.writelines(pieces)
         os.replace(temporary, path)
         return
     from pyarrow import fs
@@ -39,5 +41,6 @@ def write_whole(uri: str, data: bytes, attempt: str) -> None:
     system.create_dir(os.path.dirname(path), recursive=True)
     temporary = f"{path}.{attempt}.tmp"
     with system.open_output_stream(temporary) as f:
-        f.write(data)
+        for piece in pieces:
+            f.write(piece)
     system.move(temporary, path)

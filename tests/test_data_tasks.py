@@ -201,6 +201,21 @@ def test_compact_directory(spark):
     assert spark.read.parquet(f"{root}/out").selectExpr("id", "k", "v").exceptAll(spark.read.parquet(f"{root}/in").selectExpr("id", "k", "v")).count() == 0
 
 
+def test_compact_directory_carries_large_files(spark):
+    root = scratch(spark, "dir")
+    source = spark.range(3000).selectExpr("id", "id % 3 as k", "repeat(md5(cast(id as string)), 3) as v")
+    source.filter("id < 60").repartition(6).write.partitionBy("k").parquet(f"{root}/in")
+    source.filter("id >= 60").repartition(2).write.mode("append").partitionBy("k").parquet(f"{root}/in")
+    sizes = [os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(local_path(f"{root}/in")) for f in files if f.endswith(".parquet")]
+    below = sorted(sizes)[len(sizes) // 2]
+    for limit in (below, 1, max(sizes) + 1):  # some files are carried over, all are, none is
+        report = compaction.compact_directory(spark, f"{root}/in", f"{root}/out{limit}", below=limit).collect()
+        assert sum(r["rows"] for r in report) == 3000 and sum(r["files"] for r in report) == len(sizes)
+        assert sum("/kept-" in r["path"] for r in report) == sum(n >= limit for n in sizes)
+        back = spark.read.parquet(f"{root}/out{limit}").selectExpr("id", "k", "v")
+        assert back.count() == 3000 and back.exceptAll(source.selectExpr("id", "cast(k as int) as k", "v")).count() == 0
+
+
 def test_incremental_runs_survive_failures(spark):
     root = scratch(spark, "runs")
     store, seen = incremental.StateStore(spark, f"{root}/state"), []
