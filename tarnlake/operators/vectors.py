@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
@@ -70,6 +70,65 @@ def nearest(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine
     return local.orderBy(order, quoted(id)).limit(k)
 
 
+def nearest_each(
+    df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine-distance", vector: str = "embedding", id: str = "vec_id", select: Sequence[str] = (), lists: Mapping[Any, Sequence[int]] | None = None
+) -> DataFrame:
+    """``nearest`` for every row of ``queries`` (its ``id`` as ``query_id``, its ``vector``) at once, in one pass over ``df``.
+
+    A task holds the queries and its best ``k`` rows of each. A query whose vector is null has no answers. ``lists`` names
+    the lists (column ``list`` of ``df``) that each query id asks; without it all rows are asked.
+    """
+    if metric not in METRICS or k < 1:
+        raise LakeError("INVALID_QUERY", "unknown metric or no k")
+    asked = [(r[0], np.asarray(r[1], np.float64)) for r in queries.filter(F.col(quoted(vector)).isNotNull()).select(quoted(id), quoted(vector)).collect()]
+    chosen = None if lists is None else [np.asarray(lists.get(q, ()), np.int64) for q, _ in asked]
+    columns = [id, *[c for c in select if c != id]]
+    sign = -1.0 if METRICS[metric] else 1.0
+    many = len(asked)
+
+    def best(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kept = None
+        for batch in batches:
+            whole, found = pa.Table.from_batches([batch]), []
+            for length in {len(q) for _, q in asked}:
+                table = whole.filter(pc.equal(pc.list_value_length(whole.column("__v")), length))
+                if not table.num_rows:
+                    continue
+                flat = table.column("__v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
+                place = table.column("__list").to_numpy() if lists is not None else None
+                bare = table.drop(["__v", "__list"] if lists is not None else ["__v"])
+                for i, (_, q) in enumerate(asked):
+                    rows = np.arange(len(flat)) if place is None else np.flatnonzero(np.isin(place, chosen[i]))
+                    if len(q) != length or not len(rows):
+                        continue
+                    s = scores(flat[rows], q, metric)
+                    part = bare.take(pa.array(rows)).append_column("score", pa.array(s)).append_column("__key", pa.array(np.where(np.isnan(s), np.inf, sign * s)))
+                    part = part.sort_by([("__key", "ascending"), (id, "ascending")]).slice(0, k)
+                    found.append(part.append_column("__query", pa.array(np.full(part.num_rows, i, np.int32))))
+            if found:
+                kept = pa.concat_tables(found if kept is None else [kept, *found]).sort_by([("__query", "ascending"), ("__key", "ascending"), (id, "ascending")])
+                of = kept.column("__query").to_numpy()
+                kept = kept.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < k))
+        if kept is not None:
+            yield from kept.drop(["__key"]).to_batches()
+
+    kinds = ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in columns)
+    read = [F.col(quoted(vector)).cast("array<double>").alias("__v"), *([F.col("list").alias("__list")] if lists is not None else [])]
+    local = df.filter(F.col(quoted(vector)).isNotNull()).select(*map(quoted, columns), *read).mapInArrow(best, f"{kinds}, score double, __query int")
+    names = df.sparkSession.createDataFrame([(i, asked[i][0]) for i in range(many)], f"__query int, query_id {queries.schema[id].dataType.simpleString()}")
+    return _first_of_each(local.join(names, "__query").select("query_id", *map(quoted, columns), "score"), k, metric, id)
+
+
+def _first_of_each(found: DataFrame, k: int, metric: str, id: str) -> DataFrame:
+    """The ``k`` nearest of each ``query_id``."""
+    order = F.when(F.isnan("score"), F.lit(float("inf"))).otherwise(F.lit(-1.0 if METRICS[metric] else 1.0) * F.col("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, quoted(id)))
+    return found.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+
+
 def merge_nearest(lists: Sequence[DataFrame], k: int, metric: str, id: str = "vec_id") -> DataFrame:
     """The ``k`` nearest of several results of ``nearest``."""
     merged = lists[0]
@@ -112,6 +171,48 @@ class ListIndex:
         near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:nprobes].tolist()
         return nearest(self.table.filter(F.col("list").isin(near)), query, k, self.metric, self.vector, self.id, select)
 
+    def search_each(self, queries: DataFrame, k: int, nprobes: int = 1, select: Sequence[str] = (), complete: bool = False) -> DataFrame:
+        """``search`` for every row of ``queries`` at once (see ``nearest_each``).
+
+        With ``complete`` the result is exact for any ``nprobes``: the lists probed first give each query the distance of
+        its k-th row, and every other list that may hold a row within it (by the triangle inequality, from the list's
+        radius) is read as well; of metrics other than ``l2``, which have no such bound, all other lists.
+        """
+        asked = [(r[0], np.asarray(r[1], np.float64)) for r in queries.filter(F.col(quoted(self.vector)).isNotNull()).select(quoted(self.id), quoted(self.vector)).collect()]
+        away = {q: np.sqrt(((self.centroids - v) ** 2).sum(1)) for q, v in asked}
+        near = {q: np.argsort(d, kind="stable")[:nprobes].tolist() for q, d in away.items()}
+        first = nearest_each(self.table, queries, k, self.metric, self.vector, self.id, select, near)
+        if not complete:
+            return first
+        rest = {q: [c for c in range(len(self.centroids)) if c not in near[q]] for q in away}
+        if self.metric == "l2":
+            worst = {r["query_id"]: r["worst"] for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("worst")).filter(F.col("n") == k).collect()}
+            radius = self._radii()
+            # the slack covers rounding, so that a tie with the k-th row isn't ruled out
+            rest = {q: [c for c in cs if away[q][c] - radius[c] <= np.sqrt(worst.get(q, np.inf)) * (1 + 1e-9) + 1e-9 * (1 + away[q][c])] for q, cs in rest.items()}
+        second = nearest_each(self.table, queries, k, self.metric, self.vector, self.id, select, rest)
+        return _first_of_each(first.unionByName(second), k, self.metric, self.id)
+
+    def _radii(self) -> np.ndarray:
+        """Of each list the distance of its farthest vector from its centroid; infinite where a vector isn't finite, -inf for an empty list."""
+        c, vector = self.centroids, self.vector
+
+        def far(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            most = np.full(len(c), -np.inf)
+            for pdf in batches:
+                if len(pdf):
+                    v, place = np.stack(pdf[vector].to_numpy()).astype(np.float64), pdf["list"].to_numpy()
+                    d = np.sqrt(((v - c[place]) ** 2).sum(1))
+                    np.maximum.at(most, place, np.where(np.isfinite(d), d, np.inf))
+            yield pd.DataFrame({"list": np.arange(len(c), dtype=np.int32), "radius": most})
+
+        radius = np.full(len(c), -np.inf)
+        for r in self.table.select(quoted(vector), "list").mapInPandas(far, "list int, radius double").groupBy("list").agg(F.max("radius").alias("radius")).collect():
+            radius[r["list"]] = r["radius"]
+        return radius
+
 
 def take_rows(df: DataFrame, ids: Sequence[Any], id: str, select: Sequence[str] | None = None, on_missing: str = "error", snapshot: Any = None, expected: Any = None) -> DataFrame:
     """The rows of the given ids in the caller's order (column ``__pos``), repeated as asked for.

@@ -595,10 +595,19 @@ def vec_ivf_probe_all(spark: SparkSession, d: str) -> DataFrame:
     return vectors.ListIndex(df, lists=8).search(df.filter("vec_id = 7").first()["embedding"], 10, nprobes=8, select=["label"]).select("vec_id", "label")
 
 
-@query()
+def _each_sql(score: str, order: str, columns: str = "e.vec_id") -> str:
+    """The ten nearest rows of every vector ``q`` whose id is divisible by 100."""
+    return f"select q.vec_id as query_id, {columns}{score} from embeddings e, embeddings q where q.vec_id % 100 = 0 qualify row_number() over (partition by q.vec_id order by {order}, e.vec_id) <= 10"
+
+
+_DISTANCE = "list_distance(e.embedding::double[], q.embedding::double[])"
+
+
+@query(_each_sql(f", round(power({_DISTANCE}, 2), 3) as score", _DISTANCE))
 def vec_ivf_probe_two(spark: SparkSession, d: str) -> DataFrame:
     df = frame(spark, d, "embeddings")
-    return vectors.ListIndex(df, lists=8).search(df.filter("vec_id = 7").first()["embedding"], 10, nprobes=2)
+    found = vectors.ListIndex(df, lists=8).search_each(df.filter("vec_id % 100 = 0"), 10, nprobes=2, complete=True)
+    return found.withColumn("score", F.round("score", 3))
 
 
 _IDS = [7, 3, 7, 1]

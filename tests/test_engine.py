@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -401,6 +402,23 @@ def test_spatial_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(maxx,8.0)" in q.explain()["plan"]
 
 
+def test_lists_are_searched_completely(spark):
+    rng = np.random.default_rng(1)
+    blobs = np.repeat(rng.normal(size=(6, 16)) * 40, 50, axis=0) + rng.normal(size=(300, 16))  # bounds rule lists out
+    for v in (rng.normal(size=(300, 16)), blobs):
+        v = v.astype(np.float32)
+        v[299] = v[0]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(300, None)], "vec_id int, embedding array<float>")
+        w = v.astype(float)
+        want = {(q, int(i)) for q in range(0, 300, 20) for i in np.lexsort((np.arange(300), ((w - w[q]) ** 2).sum(1)))[:10]}
+        index, queries = vectors.ListIndex(df, lists=8), df.filter("vec_id % 20 = 0")
+        found = index.search_each(queries, 10, nprobes=2, complete=True).collect()
+        assert len(found) == 150 and {(r["query_id"], r["vec_id"]) for r in found} == want
+        assert {(r["query_id"], r["vec_id"]) for r in index.search_each(queries, 10, nprobes=8).collect()} == want
+    assert index.search_each(queries.limit(0), 10, complete=True).count() == 0
+    assert {(r["query_id"], r["vec_id"]) for r in vectors.nearest_each(df, queries, 10, "l2").collect()} == want
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0]), (6, [3.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
