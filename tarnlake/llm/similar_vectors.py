@@ -2,7 +2,9 @@
 
 Vectors are routed to the shards of their nearest centroids; a task builds the graph of its shard (greedy searches
 propose neighbours, relaxed distance pruning keeps diverse edges) and searches it for the vectors of the shard. Exact
-copies are one point of a graph, so that a vector repeated without end costs no more than one.
+copies are one point of a graph, so that a vector repeated without end costs no more than one. Points of one direction
+(copies of other length) share a place in the graph and are compared one by one; where more candidates tie than a walk
+returns, all vectors of the graph are compared.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tarnlake.plans.skew import salted_join
 #: Documented bounds: vectors that centroids are fitted on, centroids per dimension count, vectors of a cluster aimed
 #: at, shards that a vector is put in, vectors of a graph before its cluster is split.
 SAMPLE, MOST_CLUSTERS, CLUSTER_SIZE, ROUTES, GRAPH_SIZE = 20_000, 1024, 4000, 2, 16_000
+#: Fixed value: distance of unit vectors of one direction; float32 copies of other length come within about 1e-7.
+NEAR = 1e-6
 
 
 def row_id(high: str = "row_ids_high", low: str = "row_ids_low") -> Column:
@@ -44,6 +48,29 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _directions(unit: np.ndarray) -> np.ndarray:
+    """A number for each unit vector, equal for those of one direction but for rounding (scaled copies, say).
+
+    Vectors of one number are within 1e-5 of each other, so that their similarity is 1 at nine decimals. Vectors within
+    ``NEAR`` have close projections on any axis; gaps on a few random axes separate all others, distances settle the rest.
+    """
+    label = np.zeros(len(unit), np.int64)
+    axes = np.random.default_rng(3).normal(size=(4, unit.shape[1]))
+    for axis in axes / np.linalg.norm(axes, axis=1, keepdims=True):
+        at = unit @ axis
+        order = np.lexsort((at, label))
+        label[order] = np.concatenate([[0], np.cumsum((np.diff(label[order]) != 0) | (np.diff(at[order]) > NEAR))])
+    order = np.argsort(label, kind="stable")
+    count = len(label)
+    for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        while len(rows) > 1:
+            far = np.linalg.norm(unit[rows] - unit[rows[0]], axis=1) > 5 * NEAR
+            rows = rows[far]
+            label[rows] = count
+            count += 1
+    return np.unique(label, return_inverse=True)[1].reshape(-1)
+
+
 def _centroids(sample: np.ndarray, k: int) -> np.ndarray:
     """``k`` unit centroids of unit vectors by a few rounds of spherical k-means from a fixed seed."""
     rng = np.random.default_rng(11)
@@ -80,6 +107,15 @@ def _routing(vectors: DataFrame, sample: int, routes: int, cluster_size: int, gr
     return routing
 
 
+def _compare(queries: np.ndarray, asking: np.ndarray, unit: np.ndarray, rows: np.ndarray, n: int, into: list[list[tuple]]) -> None:
+    """Add to ``into`` of each query in ``asking`` the ``n`` most similar of ``rows`` (ascending, so by smallest id if tied) with their similarity."""
+    for part in np.array_split(asking, -(-len(asking) // 64)) if len(asking) else ():
+        sims = np.round(queries[part] @ unit[rows].T, 9)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+        for i, r, s in zip(part.tolist(), rows[top].tolist(), np.take_along_axis(sims, top, axis=1).tolist()):
+            into[i].extend(zip(r, s))
+
+
 _PLACED = "d int, cluster int, part int, stored boolean, home boolean, rep bigint, ids array<bigint>, vectors array<float>"
 _FOUND = "rep bigint, near array<struct<loss:double,id:bigint>>"
 
@@ -158,21 +194,43 @@ def nearest(
         unit = _unit(np.stack(table.column("vectors").to_numpy()))
         stored = np.flatnonzero(np.asarray(table.column("stored")))
         reps, ids = table.column("rep").to_pylist(), table.column("ids").to_pylist()
-        graph = SearchGraph(unit[stored], degree, beam, relax)
-        width = max(2 * (k + 1), 24)
+        direction = _directions(unit)
+        # the stored points by direction, those of one direction by their smallest id; the first of each is in the graph
+        members = stored[np.argsort(direction[stored], kind="stable")]
+        groups = np.split(members, np.flatnonzero(np.diff(direction[members])) + 1) if len(members) else []
+        leads, sizes = np.array([g[0] for g in groups], np.int64), np.array([len(g) for g in groups], np.int64)
+        group_of = np.full(len(unit), -1)
+        group_of[direction[leads]] = np.arange(len(leads))
+        graph = SearchGraph(unit[leads], degree, beam, relax)
+        width = max(2 * (k + 1), 24, beam)
         near: list[list[dict]] = []
         for at in range(0, len(unit), 512):
-            queries = unit[at : at + 512]
+            queries, own = unit[at : at + 512], group_of[direction[at : at + 512]]
+            more: list[list[tuple]] = [[] for _ in queries]
             if len(stored):
                 found, _ = graph.search(queries.astype(np.float32), width)
-                rows_found = np.where(found >= 0, stored[np.maximum(found, 0)], -1)
-                sims = np.round(np.einsum("qd,qcd->qc", queries, unit[np.maximum(rows_found, 0)]), 9)
+                rows_found = np.where(found >= 0, leads[np.maximum(found, 0)], -1)
+                exact = np.where(found >= 0, np.einsum("qd,qcd->qc", queries, unit[np.maximum(rows_found, 0)]), -np.inf)
+                sims = np.round(exact, 9)
+                ordered = -np.sort(-exact, axis=1)
+                least = ordered[:, k] if ordered.shape[1] > k else np.full(len(queries), -np.inf)
+                # members of a direction are within 1e-5 of its lead; those of the query's own direction all have similarity 1
+                open_groups = (found >= 0) & (sizes[np.maximum(found, 0)] > 1) & (exact + 1e-5 >= least[:, None]) & (found != own[:, None])
+                for g in np.unique(found[open_groups]).tolist():
+                    asking = np.flatnonzero((open_groups & (found == g)).any(axis=1))
+                    _compare(queries, asking, unit, groups[g], k + 1, more)
+                if found.shape[1] < len(leads):
+                    tied = np.round(ordered[:, -1], 9) == np.round(least, 9)
+                    _compare(queries, np.flatnonzero(tied), unit, stored, k + 2, more)
             else:
                 rows_found, sims = np.full((len(queries), 1), -1), np.zeros((len(queries), 1))
             for i in range(len(queries)):
                 me = at + i
                 best = {x: 0.0 for x in ids[me]}  # copies of the vector are as near as can be
-                for r, s in zip(rows_found[i].tolist(), sims[i].tolist()):
+                for r in groups[own[i]][: k + 1].tolist() if own[i] >= 0 else ():
+                    for x in ids[r]:
+                        best.setdefault(x, 0.0)
+                for r, s in [*zip(rows_found[i].tolist(), sims[i].tolist()), *more[i]]:
                     if r >= 0 and r != me:
                         for x in ids[r]:
                             best.setdefault(x, 1.0 - s)

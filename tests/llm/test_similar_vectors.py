@@ -61,6 +61,30 @@ def test_pairs_equal_brute_force(spark, graph_size):
     assert all(any(p in got for p in ((min(a, b), max(a, b)) for b in same[:7] if b != a)) for a in same)
 
 
+@pytest.mark.parametrize("graph_size", [16_000, 90])
+def test_copies_of_other_length(spark, graph_size):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 16))
+    vectors = [base[0] * rng.uniform(0.1, 9) for _ in range(100)] + [base[1] * 2.0 ** rng.integers(-5, 5) for _ in range(40)]
+    vectors += [base[i % 4] + 0.3 * rng.normal(size=16) for i in range(160)]
+    rows = [(0, int(i), 0, 16, np.float32(v).tolist(), True, "x") for i, v in zip(rng.permutation(5000), vectors)]
+    got = {(r[0], r[1]) for r in similar_vectors.nearest_pairs(spark.createDataFrame(rows, SCHEMA), graph_size=graph_size, routes=4).collect()}
+    want = brute(rows, 5)
+    assert len(got & want) / len(want) >= 0.99 and len(got - want) <= 0.01 * len(want)
+    copies = {r[1] for r in rows[:100]}, {r[1] for r in rows[100:140]}
+    for of in copies:  # of each group the pairs are those with its five smallest ids, none missing and none more
+        inside = lambda pairs: {p for p in pairs if p[0] in of and p[1] in of}  # noqa: E731, B023
+        assert inside(got) == inside(want)
+
+
+def test_more_ties_than_candidates(spark):
+    ids = np.random.default_rng(9).permutation(900)
+    rows = [(0, int(ids[0]), 0, 100, [1.0] + [0.0] * 99, True, "x")]
+    rows += [(0, int(ids[i]), 0, 100, [1.0] + [float(j == i) for j in range(1, 100)], True, "x") for i in range(1, 100)]
+    got = {(r[0], r[1]) for r in similar_vectors.nearest_pairs(spark.createDataFrame(rows, SCHEMA), routes=4).collect()}
+    assert got == brute(rows, 5)
+
+
 def test_alone_and_empty(spark):
     df = spark.createDataFrame([(0, 1, 0, 2, [1.0, 2.0], True, "x")], SCHEMA)
     assert similar_vectors.nearest(df).collect()[0]["near"] == []
