@@ -610,6 +610,26 @@ def vec_ivf_probe_two(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 3))
 
 
+def _nearest_each(metric: str) -> Run:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = frame(spark, d, "embeddings")
+        return vectors.nearest_each(df, df.filter("vec_id % 100 = 0"), 10, metric).withColumn("score", F.round("score", 3))
+
+    return run
+
+
+_DOT, _COSINE = (f"{f}(e.embedding::double[], q.embedding::double[])" for f in ("list_inner_product", "list_cosine_distance"))
+_QUERIES["vec_dot_topk_each"] = (_nearest_each("dot"), _each_sql(f", round({_DOT}, 3) as score", f"{_DOT} desc"))
+_QUERIES["vec_l2_topk_each"] = (_nearest_each("l2"), _each_sql(f", round(power({_DISTANCE}, 2), 3) as score", _DISTANCE))
+_QUERIES["vec_cosine_topk_each"] = (_nearest_each("cosine-distance"), _each_sql(f", round(greatest({_COSINE}, 0), 3) as score", f"greatest({_COSINE}, 0)"))
+
+
+@query(_each_sql("", _DISTANCE, "e.vec_id, e.label"))
+def vec_ivf_probe_all_each(spark: SparkSession, d: str) -> DataFrame:
+    df = frame(spark, d, "embeddings")
+    return vectors.ListIndex(df, lists=8).search_each(df.filter("vec_id % 100 = 0"), 10, nprobes=8, select=["label"]).select("query_id", "vec_id", "label")
+
+
 _IDS = [7, 3, 7, 1]
 
 
