@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import Any
 
@@ -77,6 +78,8 @@ def _range(entry: dict, column: str, op: str, v: Any) -> bool:
     if not stats:
         return True
     low, high = stats["min"], stats["max"]
+    if any(isinstance(x, float) and math.isnan(x) for x in (low, high, v)):
+        return True  # NaN is greatest in Spark, so the file's other values are unknown
     if v is None or low is None or high is None:
         return False  # a comparison with null is never true, and neither is one with a column that is null throughout
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)

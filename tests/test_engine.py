@@ -402,6 +402,20 @@ def test_spatial_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(maxx,8.0)" in q.explain()["plan"]
 
 
+def test_sidecar_keeps_files_with_nan(spark):
+    path = scratch(spark, "nan")
+    nan = float("nan")
+    for rows in ([1.0, 5.0, nan], [nan, nan], [2.0, 3.0]):
+        spark.createDataFrame([(x,) for x in rows], "x double").coalesce(1).write.mode("append").parquet(path)
+    files = [p for p, _ in readers.list_files(spark, path)]
+    index = sidecar.build_index(spark, files, ["x"])
+    wheres = [X.eq("x", 5.0), X.gt("x", 4), X.gte("x", 5), X.between("x", 4, 6), X.is_in("x", [5.0, 9.0]), X.lt("x", 2), X.eq("x", nan)]
+    for where in wheres:
+        found = [sorted(map(str, (r["x"] for r in lake.path(path).where(where).to_array()))) for lake in (Lake(spark), Lake(spark, index=index))]
+        assert found[0] and found[0] == found[1], where
+    assert len(sidecar.prune(index, X.gt("x", 4))[0]) == 2
+
+
 def test_lists_are_searched_completely(spark):
     rng = np.random.default_rng(1)
     blobs = np.repeat(rng.normal(size=(6, 16)) * 40, 50, axis=0) + rng.normal(size=(300, 16))  # bounds rule lists out
