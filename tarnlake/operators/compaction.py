@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
+from tarnlake.operators.dedup import once_each
 from tarnlake.plans.skew import salted_join
 
 if TYPE_CHECKING:
@@ -114,11 +115,11 @@ def _merge_bin(out: str, columns: Sequence[str]):
 def compact_rows(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
     """Merge the records of planned ``files`` into one Parquet file per partition and bin under ``out``; a report row of each.
 
-    ``rows`` holds the files' records (``file_path``, ``row_id`` unique per record, repeated if delivered twice). Each
+    ``rows`` holds the files' records (``file_path``, ``row_id`` unique per record, repeated if delivered twice; records of null ``row_id`` are all kept). Each
     file's records are one encoded block; a task copies the blocks of its bin into one file and checks layout, blocks
     and rows. A task holds one bin, which ``plan_bins`` keeps near its target size.
     """
-    records = rows.filter(F.col("file_path").isNotNull()).dropDuplicates(["row_id"])
+    records = once_each(rows.filter(F.col("file_path").isNotNull()), "row_id")
     planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION], "bin")
     columns = records.columns
     tagged = records.withColumn("file", object_name(F.col("file_path"))).join(planned, "file")

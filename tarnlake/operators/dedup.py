@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,19 @@ def message_identity(key: str = "idempotency_key", task: str = "task_id", state:
 
 
 def frequencies(messages: DataFrame, identity: str, order: Sequence[str]) -> DataFrame:
-    """Of each identity, how many deliveries there are and the ``order`` values of the first.
+    """Of each identity, how many deliveries there are and the ``order`` values of the first; nulls come last.
 
     Both are aggregates, combined before the shuffle: an identity with a third of all rows reaches its task as one row
     per input partition.
     """
-    return messages.filter(F.col(identity).isNotNull()).groupBy(identity).agg(F.count("*").alias("copies"), F.min(F.struct(*order)).alias("first"))
+    ranked = [x for c in order for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    return messages.filter(F.col(identity).isNotNull()).groupBy(identity).agg(F.count("*").alias("copies"), F.min(F.struct(*ranked)).alias("first")).withColumn("first", F.struct(*[F.col(f"first.{c}") for c in order]))
+
+
+def once_each(rows: DataFrame, id: str) -> DataFrame:
+    """``rows`` with each ``id`` once; rows whose id is null are all kept."""
+    own = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("__own", own).dropDuplicates([id, "__own"]).drop("__own")
 
 
 def split_by_frequency(freq: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,13 +71,16 @@ def dedupe_messages(new: DataFrame, stored: DataFrame | None, identity: Column,
     """All of ``stored`` and ``new`` (same columns) with one copy of each message.
 
     A stored copy wins over a new one, then the smallest ``order``; rows that are equal in both are taken as one
-    delivery. Rows without identity are all kept.
+    delivery. Rows without identity are all kept. A null ``order`` comes last: a message keeps such a delivery only if it
+    has no other, and then one of them.
     """
     rows = new.withColumn("__age", F.lit(1))
     if stored is not None:
         rows = stored.withColumn("__age", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     columns = [c for c in rows.columns if c != "__age"]
     rows = rows.withColumn("__identity", identity)
-    kept = first_deliveries(rows, "__identity", ["__age", order])
-    named = rows.filter(F.col("__identity").isNotNull()).dropDuplicates(["__age", order]).join(kept, ["__age", order], "left_semi")
+    kept = frequencies(rows, "__identity", ["__age", order]).select("__identity", "first.*").alias("kept")
+    mark = ["__age", order, "__identity"]  # ids that are null are told apart by their messages
+    single = rows.filter(F.col("__identity").isNotNull()).dropDuplicates(mark).alias("single")
+    named = single.join(kept, reduce(and_, [F.col(f"single.{c}").eqNullSafe(F.col(f"kept.{c}")) for c in mark]), "left_semi")
     return named.unionByName(rows.filter(F.col("__identity").isNull())).select(*columns)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.dedup import once_each
 from tarnlake.plans.shared import materialized
 from tarnlake.plans.skew import neighbours, salted_join
 
@@ -210,7 +211,7 @@ _BRANCH = "struct<tag:string,whole:bigint,real:double,flag:boolean,instant:times
 def consistent_rows(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     """Every row of ``rows`` with its JSON ``payload`` as a map from canonical field name to a tagged value.
 
-    ``rows`` has table_name, schema_id, payload and ``row_id``; one row comes out for each delivery-free ``row_id``. The
+    ``rows`` has table_name, schema_id, payload and ``row_id``; one row comes out for each delivery-free ``row_id``, and one for each row whose ``row_id`` is null. The
     map has every field of the row's schema, absent ones with tag ``null``. A null payload gives null values only, one
     that is no JSON object also sets ``malformed``; a row of an unknown schema keeps its payload with an empty map.
     """
@@ -221,7 +222,7 @@ def consistent_rows(rows: DataFrame, schemas: DataFrame) -> DataFrame:
         .groupBy("table_name", "schema_id")
         .agg(F.sort_array(F.collect_set(F.struct("canonical_name", "field_name", "field_type", "canonical_type"))).alias("__spec"))
     )
-    one = rows.select("row_id", "table_name", "schema_id", "payload").dropDuplicates(["row_id"])
+    one = once_each(rows.select("row_id", "table_name", "schema_id", "payload"), "row_id")
     joined = salted_join(one, specs, ["table_name", "schema_id"], F.col("row_id"), "left")
     values = F.from_json("payload", "map<string,string>")
     spec = F.coalesce(F.col("__spec"), F.array().cast("array<struct<canonical_name:string,field_name:string,field_type:string,canonical_type:string>>"))

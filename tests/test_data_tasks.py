@@ -287,6 +287,17 @@ def test_messages(spark):
     assert dedup.dedupe_messages(df.limit(0), None, dedup.message_identity(), "delivery_id").count() == 0
 
 
+def test_null_ids_lose_no_rows(spark):
+    rows = [(None, "a", "t", "planned", "x"), (7, "a", "t", "planned", "y"), (None, "b", "t", "planned", "x"), (None, "b", "t", "planned", "x"), (None, "c", "t", "planned", "z"), (None, None, "t", "planned", "x")]
+    df = spark.createDataFrame(rows, "delivery_id bigint, idempotency_key string, task_id string, state string, copies string")
+    kept = dedup.dedupe_messages(df, None, dedup.message_identity(), "delivery_id").collect()
+    assert sorted((r[1] or "", r[0] or 0) for r in kept) == [("", 0), ("a", 7), ("b", 0), ("c", 0)]
+    schemas = spark.createDataFrame([("t", 0, 1, 1, None, "id", "int", True, None, None)], FIELDS)
+    payloads = spark.createDataFrame([(i, "t", 0, f'{{"id":{n}}}') for n, i in enumerate([None, None, 4, 4, None])], "row_id bigint, table_name string, schema_id int, payload string")
+    assert sorted(r[0] or 0 for r in schema_drift.consistent_rows(payloads, schemas).collect()) == [0, 0, 0, 4]
+    assert sorted(r[0] or 0 for r in dedup.once_each(payloads, "row_id").collect()) == [0, 0, 0, 4]
+
+
 def test_salted_join_matches_nulls(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3), ("b", 4)], "k string, v int")
     right = spark.createDataFrame([(None, "n"), ("a", "x")], "k string, w string")
