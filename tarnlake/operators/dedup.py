@@ -3,21 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.text import identifier, letters
 from tarnlake.operators.incremental import digest
 
 
-def has_identity(key: str = "idempotency_key") -> Column:
-    """Whether a message's key is there: neither null nor blank."""
-    return F.coalesce(identifier(F.col(key)) != "", F.lit(False))
-
-
 def message_identity(key: str = "idempotency_key", task: str = "task_id", state: str = "state") -> Column:
     """128 bits of a message's key, task and state as they agree across spellings; null where the key is null or blank.
 
@@ -27,60 +20,80 @@ def message_identity(key: str = "idempotency_key", task: str = "task_id", state:
     return F.when(name != "", digest([name, identifier(F.col(task)), letters(F.col(state))]))
 
 
-def frequencies(messages: DataFrame, identity: str, order: Sequence[str]) -> DataFrame:
-    """Of each identity, how many deliveries there are and the ``order`` values of the first; nulls come last.
+#: Parts that the deliveries of one message are spread over: as many as a long has bits to note them in.
+PARTS = 32
+
+
+def _part(spread: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")
+
 
-    Both are aggregates, combined before the shuffle: an identity with a third of all rows reaches its task as one row
-    per input partition.
+def frequencies(messages: DataFrame, identity: str, part: str) -> DataFrame:
+    """Of each identity (null is none), how many deliveries there are and the parts that hold some, as bits.
+
+    Both are combined before the shuffle: an identity with a third of all rows reaches its task as one row per input
+    partition.
     """
-    ranked = [x for c in order for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
-    return messages.filter(F.col(identity).isNotNull()).groupBy(identity).agg(F.count("*").alias("copies"), F.min(F.struct(*ranked)).alias("first")).withColumn("first", F.struct(*[F.col(f"first.{c}") for c in order]))
+    bit = F.expr(f"shiftleft(1L, {part})")
+    return messages.filter(F.col(identity).isNotNull()).groupBy(identity).agg(F.count("*").alias("copies"), F.bit_or(bit).alias("parts"))
 
 
-def once_each(rows: DataFrame, id: str) -> DataFrame:
-    """``rows`` with each ``id`` once; rows whose id is null are all kept."""
-    own = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
-    return rows.withColumn("__own", own).dropDuplicates([id, "__own"]).drop("__own")
+def split_by_frequency(messages: DataFrame, identity: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """``messages`` with an identity, in two: deliveries of messages that came once, and of those that came again.
+
+    What tells them apart are the (identity, part) pairs of the repeated messages; joined on both, a hot identity's
+    deliveries stay spread over their parts.
+    """
+    named = messages.filter(F.col(identity).isNotNull())
+    repeated = frequencies(messages, identity, part).filter("copies > 1")
+    holds = lambda p: F.getbit("parts", p) == 1
+    pairs = repeated.select(identity, F.explode(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), holds)).alias(part))
+    return named.join(pairs, [identity, part], "left_anti"), named.join(pairs, [identity, part], "left_semi")
 
 
-def split_by_frequency(freq: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The identities seen once and those seen more often."""
-    return freq.filter(F.col("copies") == 1), freq.filter(F.col("copies") > 1)
+def ranked(repeated: DataFrame, identity: str, part: str, order: Sequence[Column]) -> DataFrame:
+    """``repeated`` with ``__rank`` 1 for the first delivery of each identity by ``order`` and a greater one for all others.
+
+    Ranks are taken within (identity, part), then among the first of each part, of which an identity has at most
+    ``PARTS``; so no task orders a hot identity alone.
+    """
+    inside = repeated.withColumn("__inside", F.row_number().over(Window.partitionBy(identity, part).orderBy(*order)))
+    lead = inside.filter("__inside = 1").withColumn("__rank", F.row_number().over(Window.partitionBy(identity).orderBy(*order)))
+    return inside.filter("__inside > 1").withColumn("__rank", F.col("__inside")).unionByName(lead).drop("__inside")
 
 
-def first_deliveries(messages: DataFrame, identity: str, order: Sequence[str]) -> DataFrame:
-    """The ``order`` values of the one delivery to keep of each identity: singletons pass, repeated groups give their rank 1."""
-    single, repeated = split_by_frequency(frequencies(messages, identity, order))
-    return single.select("first.*").unionByName(repeated.select("first.*"))
+def once_each(rows: DataFrame, id: str) -> DataFrame:
+    """``rows`` with each ``id`` once; rows whose id is null are all kept."""
+    own = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("__own", own).dropDuplicates([id, "__own"]).drop("__own")
 
 
-def repeated_deliveries(messages: DataFrame, identity: Column, order: str, named: Column | None = None) -> DataFrame:
+def repeated_deliveries(messages: DataFrame, identity: Column, order: str) -> DataFrame:
     """The ``order`` values (unique per delivery) of all deliveries that are copies of an earlier one.
 
-    Singletons are passed over by their frequency; of a repeated identity everything but rank 1 is a copy. Ranks are
-    settled on the unique ``order`` column, so a hot identity's copies are spread evenly. ``named`` tells more cheaply
-    whether a row has an identity. Empty in, empty out.
+    Messages that came once have none; of one that came again, every delivery but that of rank 1 by ``order`` (nulls
+    last) is a copy. Rows without identity are no copies. Empty in, empty out.
     """
-    marked = messages.select(order, identity.alias("__identity")).filter(F.col("__identity").isNotNull())
-    kept = first_deliveries(marked, "__identity", [order])
-    rows = marked if named is None else messages.filter(named)
-    return rows.select(order).join(kept, [order], "left_anti")
+    marked = messages.select(order, identity.alias("__identity")).withColumn("__part", _part([order]))
+    _, repeated = split_by_frequency(marked, "__identity", "__part")
+    return ranked(repeated, "__identity", "__part", [F.asc_nulls_last(order)]).filter("__rank > 1").select(order)
 
 
 def dedupe_messages(new: DataFrame, stored: DataFrame | None, identity: Column, order: str) -> DataFrame:
     """All of ``stored`` and ``new`` (same columns) with one copy of each message.
 
-    A stored copy wins over a new one, then the smallest ``order``; rows that are equal in both are taken as one
-    delivery. Rows without identity are all kept. A null ``order`` comes last: a message keeps such a delivery only if it
-    has no other, and then one of them.
+    Messages that came once pass; of one that came again, the delivery of rank 1 stays: a stored one before a new one,
+    then the smallest ``order`` (null last). ``order`` need not be unique: of equals, the row of smallest hash stays,
+    and other messages with that value aren't touched. Rows without identity are all kept.
     """
     rows = new.withColumn("__age", F.lit(1))
     if stored is not None:
         rows = stored.withColumn("__age", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     columns = [c for c in rows.columns if c != "__age"]
-    rows = rows.withColumn("__identity", identity)
-    kept = frequencies(rows, "__identity", ["__age", order]).select("__identity", "first.*").alias("kept")
-    mark = ["__age", order, "__identity"]  # ids that are null are told apart by their messages
-    single = rows.filter(F.col("__identity").isNotNull()).dropDuplicates(mark).alias("single")
-    named = single.join(kept, reduce(and_, [F.col(f"single.{c}").eqNullSafe(F.col(f"kept.{c}")) for c in mark]), "left_semi")
-    return named.unionByName(rows.filter(F.col("__identity").isNull())).select(*columns)
+    whole = [F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in rows.dtypes if c != "__age"]
+    rows = rows.withColumns({"__identity": identity, "__hash": F.xxhash64(*whole)})
+    rows = rows.withColumn("__part", _part(["__hash"]))
+    single, repeated = split_by_frequency(rows, "__identity", "__part")
+    firsts = ranked(repeated, "__identity", "__part", [F.asc("__age"), F.asc_nulls_last(order), F.asc("__hash")]).filter("__rank = 1")
+    nameless = rows.filter(F.col("__identity").isNull())
+    return single.unionByName(firsts.drop("__rank")).unionByName(nameless).select(*columns)

@@ -1,16 +1,16 @@
-"""Only new or changed records: key and content-hash state in versions that are swapped atomically."""
+"""Only new or changed records: the last content hash of each key, in state versions that are swapped atomically."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import stripped
+from tarnlake.plans.shared import Pointer, remove, scratch
 from tarnlake.plans.skew import salted_join
 
 
@@ -20,106 +20,121 @@ def digest(columns: Sequence[str | Column]) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+#: Buckets that a new state store has.
+BUCKETS = 16
+STATE = "key binary, content binary"
+
+
 class StateStore:
-    """Versions of a state table under ``root`` and a pointer to the one that counts.
+    """The last content of each key, in buckets by the key's hash, and the pointer that says which files of each count.
 
-    A version is written whole under a name of its own; then the pointer file, naming it and the run, is replaced by a
-    rename. A run that fails before the rename leaves the earlier version in force, so its records come again; one that
-    succeeded is never applied twice, as ``commit`` of a run already named by the pointer does nothing.
+    A commit writes the buckets that a run touched under a folder of its own; then a pointer naming the folder of every
+    bucket and the run is published exclusively (``Pointer``). A run that fails before that leaves the earlier state in
+    force, so its records come again; a run that is named by the pointers is never applied twice. Of two runs that began
+    from one pointer, the second to commit is refused.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._io = jvm.org.apache.commons.io.IOUtils
-        self._context = jvm.org.apache.hadoop.fs.FileContext
-        self._rename = jvm.org.apache.hadoop.fs.Options.Rename
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.pointer = Pointer(spark, root)
+        self.buckets = (self.pointer.current() or {}).get("buckets", buckets)
 
     def current(self) -> dict | None:
-        """The pointer: version and run; None before the first commit."""
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def read(self, schema: str) -> DataFrame:
-        """The state in force; empty with ``schema`` before the first commit."""
-        now = self.current()
-        if now is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{now['version']}")
+        """The pointer in force: number, run, runs, buckets and the folder of each bucket; None before the first commit."""
+        return self.pointer.current()
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: Sequence[int] | None = None, at: dict | None = None) -> DataFrame:
+        """The state in force (or of the pointer ``at``), of some ``buckets`` only if given; empty before the first commit."""
+        folders = (at or self.current() or {}).get("folders", {})
+        paths = [f"{self.root}/{f}" for b, f in folders.items() if buckets is None or int(b) in set(buckets)]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
 
-    def commit(self, state: DataFrame, run: str, expected: dict | None) -> bool:
-        """Write ``state`` as a new version and make it the one in force. False if ``run`` is already committed.
+    def commit(self, state: DataFrame, run: str, expected: dict | None, touched: Sequence[int] | None = None) -> bool:
+        """Put ``state`` (key, content; one row a key) in force as the whole of the ``touched`` buckets, by default of all.
 
-        ``expected`` is the pointer that the run began with; another one now is a conflict.
+        ``expected`` is the pointer that the run began with; another one now is a conflict. False if ``run`` is already
+        committed.
         """
         now = self.current()
-        if now and now["run"] == run:
+        if now and run in now["runs"]:
             return False
-        if (now or {}).get("version") != (expected or {}).get("version"):
+        if (now or {}).get("number") != (expected or {}).get("number"):
             raise LakeError("COMMIT_CONFLICT", "another run has committed", {"now": now, "expected": expected})
+        touched = set(range(self.buckets) if touched is None else touched)
         version = f"v-{uuid.uuid4().hex}"
-        state.write.parquet(f"{self.root}/{version}")
-        temporary = self._path(f"{self.root}/.{version}.pointer")
-        out = self._fs.create(temporary, True)
-        out.write(json.dumps({"version": version, "run": run, "before": (now or {}).get("version")}).encode())
-        out.close()
-        files = self._context.getFileContext(temporary.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        overwrite[0] = self._rename.OVERWRITE
-        files.rename(temporary, self._path(f"{self.root}/CURRENT"), overwrite)
+        parts = state.select("key", "content", self.bucket(F.col("key")).alias("bucket"))
+        parts.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}")
+        folders = {b: f for b, f in (now or {}).get("folders", {}).items() if int(b) not in touched}
+        folders |= {n.partition("=")[2]: f"{version}/{n}" for n in self.pointer.names("bucket=", version)}
+        self.pointer.publish({"run": run, "runs": [*(now or {}).get("runs", []), run], "buckets": self.buckets, "folders": folders}, now)
         return True
 
     def vacuum(self) -> None:
-        """Delete the versions that the pointer doesn't name."""
-        keep = (self.current() or {}).get("version")
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name != keep:
-                self._fs.delete(status.getPath(), True)
+        """Delete the buckets' files that the pointer in force doesn't name."""
+        keep = set((self.current() or {}).get("folders", {}).values())
+        for version in self.pointer.names("v-"):
+            inside = [f"{version}/{n}" for n in self.pointer.names("bucket=", version)]
+            for folder in inside if keep.intersection(inside) else [version]:
+                if folder not in keep:
+                    remove(self.spark, f"{self.root}/{folder}")
 
 
-STATE = "key binary, content binary"
-
+def keyed(df: DataFrame, keys: Sequence[str], content: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``df`` as ``__key``, ``__content`` (digests) and ``__row``, each key once.
 
-def keyed(df: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """``df`` with the digests of its key and content columns in ``__key`` and ``__content``."""
-    return df.withColumns({"__key": digest(keys), "__content": digest(content)})
+    Of several rows of a key the greatest by ``order``, then by content digest, counts; they are combined before the
+    shuffle, so that a key with a third of all rows costs its task one row per input partition.
+    """
+    last = F.struct(*order, F.col("__content"))
+    return (
+        df.select(F.struct(*df.columns).alias("__row"), digest(keys).alias("__key"), digest(content).alias("__content"), *[F.col(c).alias(c) for c in order])
+        .groupBy("__key")
+        .agg(F.max_by(F.struct("__content", "__row"), last).alias("x"))
+        .select("__key", "x.*")
+    )
 
 
 def new_or_changed(current: DataFrame, state: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` rows whose (key, content) the state hasn't; each (key, content) once, ties by any row of it.
+    """``keyed`` rows with ``__status``: new (the state hasn't the key), changed (it has another content) or same."""
+    known = state.select(F.col("key").alias("__key"), F.col("content").alias("__known"))
+    status = F.when(F.col("__known").isNull(), "new").when(F.col("__known") != F.col("__content"), "changed").otherwise("same")
+    return current.join(known, "__key", "left").withColumn("__status", status).drop("__known")
 
-    Several contents of a key, as versions, are each compared on their own. Both sides are hashed by the same two
-    digests, which are as good as unique, so no key gathers more than one version's copies in a task: those are
-    combined before the shuffle.
-    """
-    columns = [c for c in current.columns if c not in ("__key", "__content")]
-    single = current.groupBy("__key", "__content").agg(F.min(F.struct(*columns)).alias("row"))
-    known = state.select(F.col("key").alias("__key"), F.col("content").alias("__content"))
-    return single.join(known, ["__key", "__content"], "left_anti").select("row.*")
 
+def run_incremental(
+    store: StateStore, current: DataFrame, keys: Sequence[str], content: Sequence[str], run: str, sink: Callable[[DataFrame, str], None], order: Sequence[str] = (), complete: bool = False
+) -> bool:
+    """One run: hand the new and changed records to ``sink(df, run)`` with ``_change`` (new or changed), then commit their state.
 
-def run_incremental(store: StateStore, current: DataFrame, keys: Sequence[str], content: Sequence[str], run: str, sink) -> bool:
-    """One run: hand the new and changed rows to ``sink(df, run)``, then commit their state.
+    The state is the last content of each key, so a record that goes back to an earlier content is changed again. The
+    input is read once: its digests, and the rows to hand over, are pinned in the shared folder, and both the sink and
+    the state come from there; what arrives meanwhile belongs to the next run. ``sink`` must replace what an earlier
+    attempt of the same ``run`` wrote; so a failure at any point, repeated under the same name, neither skips nor
+    repeats a record. False if the run was already committed.
 
-    ``sink`` must replace what an earlier attempt of the same ``run`` wrote; so a failure at any point, repeated under
-    the same name, neither skips nor repeats a record. False if the run was already committed.
+    Of several rows of a key the last by ``order`` counts. With ``complete`` the input is all there is: keys that it
+    hasn't leave the state, and are new if they come back; without, they stay. Keys that are null are one key.
     """
     began = store.current()
-    if began and began["run"] == run:
+    if began and run in began["runs"]:
         return False
-    state, rows = store.read(STATE), keyed(current, keys, content)
-    sink(new_or_changed(rows, state), run)
-    merged = state.unionByName(rows.select(F.col("__key").alias("key"), F.col("__content").alias("content"))).distinct()
-    return store.commit(merged, run, began)
+    spark, pinned = store.spark, scratch(store.spark, "pinned")
+    marked = new_or_changed(keyed(current, keys, content, order), store.read(at=began))
+    handed = F.when(F.col("__status") != "same", F.col("__row"))
+    marked.select(F.col("__key").alias("key"), F.col("__content").alias("content"), handed.alias("row"), F.col("__status").alias("_change")).write.parquet(pinned)
+    now = spark.read.parquet(pinned)
+    sink(now.filter("_change <> 'same'").select("row.*", "_change"), run)
+    state, touched = now.select("key", "content"), None
+    if not complete:
+        touched = [r[0] for r in now.filter("_change <> 'same'").select(store.bucket(F.col("key"))).distinct().collect()]  # at most the buckets there are
+        inside = state.filter(store.bucket(F.col("key")).isin(touched)) if touched else state.limit(0)
+        state = store.read(touched, began).join(inside.select("key"), "key", "left_anti").unionByName(inside) if began else inside
+    committed = store.commit(state, run, began, touched)
+    remove(spark, pinned)
+    return committed
 
 
 def job_bookmarks(jobs: DataFrame, bookmarks: DataFrame) -> DataFrame:
@@ -164,15 +179,15 @@ def job_rows(rows: DataFrame, positions: DataFrame) -> DataFrame:
 def pending_records(rows: DataFrame, jobs: DataFrame, bookmarks: DataFrame, root: str) -> DataFrame:
     """(job_id, record_id, record_version) of every record version of a job's table of which no row is covered.
 
-    The keys and content hashes of the covered rows are the job's state; they are written under ``root`` as a version
-    of a ``StateStore``, made current, and the present rows are compared with it. Rows without record id or version are
-    compared as nulls.
+    Two runs over a ``StateStore`` under ``root``: the first puts the versions that the job's last successful run had
+    read in the state, with the hashes of their payloads; the second starts from that state with all present rows and
+    hands over what is new. A version whose payload was rewritten since is changed, not new, and isn't pending. Rows
+    without record id or version are compared as nulls.
     """
-    store = StateStore(rows.sparkSession, root)
-    needed = rows.select("row_id", "table_name", "record_id", "record_version", "snapshot_id", "file_index", "row_offset")
-    known = job_rows(needed, job_bookmarks(jobs, bookmarks)).select("job_id", "record_id", "record_version", "covered")
-    hashed = keyed(known, ["job_id", "record_id"], ["record_version"])
-    began = store.current()
-    state = hashed.filter("covered").select(F.col("__key").alias("key"), F.col("__content").alias("content")).distinct()
-    store.commit(state, uuid.uuid4().hex, began)
-    return new_or_changed(hashed.drop("covered"), store.read(STATE))
+    store, out = StateStore(rows.sparkSession, root), scratch(rows.sparkSession, "pending")
+    needed = rows.select("row_id", "table_name", "record_id", "record_version", "snapshot_id", "file_index", "row_offset", F.unhex(F.md5("payload")).alias("payload"))
+    present = job_rows(needed, job_bookmarks(jobs, bookmarks)).select("job_id", "record_id", "record_version", "payload", "covered")
+    keys, content = ["job_id", "record_id", "record_version"], ["payload"]
+    run_incremental(store, present.filter("covered").drop("covered"), keys, content, "last successful run", lambda df, run: None)
+    run_incremental(store, present.drop("covered"), keys, content, "next run", lambda df, run: df.write.mode("overwrite").parquet(out))
+    return rows.sparkSession.read.parquet(out).filter("_change = 'new'").select(*keys)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.operators import compaction, dedup, incremental, schema_drift
@@ -62,7 +63,7 @@ def p3_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.repeated_deliveries(table(spark, d, "retry_log"), dedup.message_identity(), "delivery_id", dedup.has_identity())
+    return dedup.repeated_deliveries(table(spark, d, "retry_log"), dedup.message_identity(), "delivery_id")
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +71,40 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dedupe_messages(table(spark, d, "retry_log"), None, dedup.message_identity(), "delivery_id")
 
 
+def p5_stored_new(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of the earlier half of the batches, kept once each, and then those of the later half added to them."""
+    log, identity = table(spark, d, "retry_log"), dedup.message_identity()
+    low, high = log.agg(F.min("batch_no"), F.max("batch_no")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    stored = dedup.dedupe_messages(log.filter(F.col("batch_no") <= middle), None, identity, "delivery_id")
+    return dedup.dedupe_messages(log.filter(F.col("batch_no") > middle), stored, identity, "delivery_id")
+
+
+def _handed_over(spark: SparkSession, d: str, contents: list[Column]) -> DataFrame:
+    """Runs over the orders with a status of ``contents`` in turn: what each run handed over."""
+    root, orders = scratch(spark, "runs"), table(spark, d, "orders")
+    store, outs = incremental.StateStore(spark, f"{root}/state"), []
+    for n, status in enumerate(contents, 1):
+        outs.append(f"{root}/out/{n}")
+        present = orders.select("o_orderkey", status.alias("status"))
+        incremental.run_incremental(store, present, ["o_orderkey"], ["status"], f"run {n}", lambda df, run: df.write.mode("overwrite").parquet(outs[-1]))
+    found = [spark.read.parquet(o).select(F.lit(n).alias("run"), "o_orderkey", "status", F.col("_change").alias("change")) for n, o in enumerate(outs, 1)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def incremental_reverted(spark: SparkSession, d: str) -> DataFrame:
+    """A status that changes and goes back: handed over each time."""
+    status = F.col("o_orderstatus")
+    return _handed_over(spark, d, [status, F.when(status == "F", "X").otherwise(status), status])
+
+
+def incremental_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A second run that hands over what the first one's state hasn't, and a third that finds nothing new."""
+    status = F.col("o_orderstatus")
+    changed = F.when(F.col("o_totalprice") > 200_000, F.lower(status)).otherwise(status)
+    return _handed_over(spark, d, [status, changed, changed])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -82,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_positions": p3_positions,
         "p5_found": p5_found,
         "p5_kept": p5_kept,
+        "p5_stored_new": p5_stored_new,
+        "incremental_reverted": incremental_reverted,
+        "incremental_two_runs": incremental_two_runs,
     }
 
 
@@ -143,4 +181,12 @@ select delivery_id from (select delivery_id, min(delivery_id) over (partition by
         "p5_kept": f"""with {_MESSAGES}
 select r.* from retry_log r where r.delivery_id not in (
   select delivery_id from (select delivery_id, min(delivery_id) over (partition by k, t, s) as first from messages where k is not null and k <> '') where delivery_id <> first)""",
+        "p5_stored_new": f"""with {_MESSAGES}, cut as (select (min(batch_no) + max(batch_no)) // 2 as middle from retry_log),
+ranked as (select m.*, row_number() over (partition by k, t, s order by batch_no > middle, delivery_id) as place from messages m, cut)
+select r.* from retry_log r where r.delivery_id not in (select delivery_id from ranked where k is not null and k <> '' and place > 1)""",
+        "incremental_reverted": """select 1 as run, o_orderkey, o_orderstatus as status, 'new' as change from orders
+union all select 2, o_orderkey, 'X', 'changed' from orders where o_orderstatus = 'F'
+union all select 3, o_orderkey, o_orderstatus, 'changed' from orders where o_orderstatus = 'F'""",
+        "incremental_two_runs": """select 1 as run, o_orderkey, o_orderstatus as status, 'new' as change from orders
+union all select 2, o_orderkey, lower(o_orderstatus), 'changed' from orders where o_totalprice > 200000""",
     }
