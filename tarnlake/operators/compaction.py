@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
 from tarnlake.operators.dedup import once_each
+from tarnlake.plans.shared import Pointer, materialized, scratch
 from tarnlake.plans.skew import salted_join
 
 if TYPE_CHECKING:
@@ -64,109 +66,60 @@ def small_files(entries: DataFrame, below: int = SMALL) -> DataFrame:
     return small.join(alone, "entry_id", "left_anti")
 
 
-def plan_bins(files: DataFrame, target: int = TARGET) -> DataFrame:
-    """``files`` with ``bin``: the number of its output file within its partition, so that outputs come near ``target`` bytes.
+def with_layouts(files: DataFrame) -> DataFrame:
+    """``files`` (path, length and any others) with each file's ``layout`` (digest of its schema as encoded) and ``rows``; footers are read by tasks."""
 
-    A partition gets as many bins as its bytes need; files are spread over them by hash, which needs no order within a
-    partition. The partition's totals come back by a salted join.
-    """
-    totals = files.groupBy(*PARTITION).agg(F.greatest(F.ceil(F.sum("size") / F.lit(target)), F.lit(1)).alias("bins"))
-    return salted_join(files, totals, PARTITION, F.col("file")).withColumn("bin", F.pmod(F.xxhash64("file"), F.col("bins"))).drop("bins")
-
-
-_REPORT = "table_name string, store_id string, sale_date string, bin bigint, path string, files bigint, blocks bigint, `rows` bigint, bytes bigint"
-
-
-def _merge_bin(out: str, columns: Sequence[str]):
-    def merge_bin(key: tuple, table: pa.Table) -> pa.Table:
+    def read_layouts(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
 
         from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import write_whole
-
-        table = table.sort_by([("file", "ascending"), ("row_offset", "ascending"), ("row_id", "ascending")])
-        names = table.column("file").combine_chunks()
-        ends = [0, *(i + 1 for i in range(len(names) - 1) if names[i] != names[i + 1]), len(names)] if len(names) < 2 else None
-        if ends is None:
-            change = pc.indices_nonzero(pc.not_equal(names[1:], names[:-1])).to_pylist()
-            ends = [0, *(i + 1 for i in change), len(names)]
-        body, encoded = table.select(list(columns)).combine_chunks(), []
-        for a, b in zip(ends, ends[1:]):
-            sink = io.BytesIO()
-            pq.write_table(body.slice(a, b - a), sink, compression="zstd", store_schema=False, write_statistics=True)
-            encoded.append(sink.getvalue())
-        merged, counts = blocks.merge_bytes(encoded)
-        if counts["rows"] != table.num_rows or counts["blocks"] != len(encoded):
-            raise ValueError("a merged file has lost or gained rows or blocks")
-        group = [None if k is None else k.as_py() if isinstance(k, pa.Scalar) else k for k in key]
-        name = uuid.uuid5(uuid.NAMESPACE_URL, repr(group)).hex
-        path = f"{out}/part-{name}.parquet"
-        write_whole(path, merged, uuid.uuid4().hex)
-        row = dict(zip(("table_name", "store_id", "sale_date", "bin"), group)) | {"path": path} | counts
-        types = {"table_name": pa.string(), "store_id": pa.string(), "sale_date": pa.string(), "path": pa.string()}
-        order = ("table_name", "store_id", "sale_date", "bin", "path", "files", "blocks", "rows", "bytes")
-        return pa.table({k: pa.array([row[k]], types.get(k, pa.int64())) for k in order})
-
-    return merge_bin
-
-
-def compact_rows(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
-    """Merge the records of planned ``files`` into one Parquet file per partition and bin under ``out``; a report row of each.
-
-    ``rows`` holds the files' records (``file_path``, ``row_id`` unique per record, repeated if delivered twice; records of null ``row_id`` are all kept). Each
-    file's records are one encoded block; a task copies the blocks of its bin into one file and checks layout, blocks
-    and rows. A task holds one bin, which ``plan_bins`` keeps near its target size.
-    """
-    records = once_each(rows.filter(F.col("file_path").isNotNull()), "row_id")
-    planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION], "bin")
-    columns = records.columns
-    tagged = records.withColumn("file", object_name(F.col("file_path"))).join(planned, "file")
-    return tagged.groupBy(*[f"__{c}" for c in PARTITION], "bin").applyInArrow(_merge_bin(out, columns), _REPORT)
+        from tarnlake.sources.storage import open_read
 
+        for batch in batches:
+            marks, counts = [], []
+            for path in batch.column("path").to_pylist():
+                file, length = open_read(path)
+                with file:
+                    meta = blocks.footer(file, length)
+                marks.append(hashlib.md5(blocks.layout(meta)).hexdigest())
+                counts.append(blocks.row_count(meta))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string()), pa.array(counts, pa.int64())], names=[*batch.schema.names, "layout", "rows"])
 
-def compact_directory(spark: SparkSession, source: str, out: str, target: int = TARGET, below: int = SMALL) -> DataFrame:
-    """The rows of all Parquet files under ``source`` as files under ``out``, the small ones merged by folder and layout to near ``target`` bytes.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(read_layouts, f"{kinds}, layout string, `rows` bigint")
 
-    Files are listed and their footers read by tasks, not by the driver. A report row of each output comes back, with the
-    counts of files, blocks and rows that were checked. Files of ``below`` bytes or more are carried over as they are, each
-    under a name of its own (``kept-``), so that ``out`` alone holds every row of ``source``. Empty folders are left out.
+
+def plan_bins(files: DataFrame, group: Sequence[str], target: int = TARGET) -> DataFrame:
+    """``files`` (file, length, layout) with ``bin``: the number of its output within its group and layout, so that outputs come near ``target`` bytes.
+
+    A group gets as many bins as its files' lengths need; files are spread over them by hash, which needs no order
+    within a group. Files of different layouts never share a bin. The group's totals come back by a salted join.
     """
-    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length")
-    listed = every.filter(F.col("length") < below)
+    keys = [*group, "layout"]
+    totals = files.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("length") / F.lit(target)), F.lit(1)).alias("bins"))
+    return salted_join(files, totals, keys, F.col("path")).withColumn("bin", F.pmod(F.xxhash64("path"), F.col("bins"))).drop("bins")
 
-    def read_layouts(batches: Iterator) -> Iterator:
-        import hashlib
 
-        import pyarrow as pa
+_COUNTS = "path string, files bigint, blocks bigint, `groups` bigint, `rows` bigint, bytes bigint, sources array<string>"
 
-        from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import open_read
 
-        for batch in batches:
-            marks = []
-            for path in batch.column("path").to_pylist():
-                file, length = open_read(path)
-                with file:
-                    marks.append(hashlib.md5(blocks.layout(blocks.footer(file, length))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(marks, pa.string())], names=["path", "length", "layout"])
+def compact_files(files: DataFrame, group: Sequence[str], out: str, target: int = TARGET, folder: str | None = None) -> DataFrame:
+    """Merge Parquet ``files`` (``with_layouts``; ``group`` columns are strings) by copying their encoded column blocks; a report row of each output.
 
-    folder: Column = F.regexp_replace("path", "/[^/]*$", "")
-    marked = listed.mapInArrow(read_layouts, "path string, length bigint, layout string").withColumn("folder", folder)
-    totals = marked.groupBy("folder", "layout").agg(F.greatest(F.ceil(F.sum("length") / F.lit(target)), F.lit(1)).alias("bins"))
-    binned = salted_join(marked, totals, ["folder", "layout"], F.col("path")).withColumn("bin", F.pmod(F.xxhash64("path"), F.col("bins")))
-    bare = lambda p: re.sub("^file:/+", "/", p).rstrip("/")
-    prefix = bare(source)
+    A task copies the blocks of one bin into one file under ``out`` as it reads them, and checks layout, blocks and rows;
+    only paths are shuffled. ``folder`` is the group column that names the folder of an output, if any. The report has
+    the group, path, files, blocks read, row groups written, rows and bytes of each output and the paths it replaces. The
+    same bin goes to the same path, so a repeated task does no harm.
+    """
 
     def copy_blocks(key: tuple, table: pa.Table) -> pa.Table:
         import pyarrow as pa
 
         from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import open_read, write_whole
+        from tarnlake.sources.storage import open_read, writing
 
-        folder, mark, number = (k.as_py() for k in key)
-        sink, paths = io.BytesIO(), sorted(table.column("path").to_pylist())
+        values = [k.as_py() for k in key]
+        named, paths = dict(zip(group, values)), sorted(table.column("path").to_pylist())
 
         def opened() -> Iterator:
             for path in paths:
@@ -174,38 +127,145 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
                 with file:
                     yield file, length
 
-        counts = blocks.merge(opened(), sink)
-        inside = bare(folder).removeprefix(prefix).strip("/")
-        path = "/".join(x for x in (out.rstrip("/"), inside, f"part-{mark[:12]}-{number:05d}.parquet") if x)
-        write_whole(path, sink.getvalue(), uuid.uuid4().hex)
-        return pa.table({"folder": [inside], "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
+        name = f"part-{hashlib.md5(repr(values).encode()).hexdigest()}.parquet"
+        path = "/".join(x for x in (out.rstrip("/"), named.get(folder), name) if x)
+        with writing(path, uuid.uuid4().hex) as sink:
+            counts = blocks.merge(opened(), sink)
+        file, length = open_read(path)
+        with file:
+            kept = blocks.row_count(blocks.footer(file, length))
+        if length != counts["bytes"] or kept != sum(table.column("rows").to_pylist()):
+            raise LakeError("VALIDATION_ERROR", "a merged file isn't as long as it was written or has lost or gained rows", {"path": path})
+        columns = {g: pa.array([v], pa.string()) for g, v in named.items()} | {"path": pa.array([path], pa.string())}
+        columns |= {k: pa.array([counts[k]], pa.int64()) for k in ("files", "blocks", "groups", "rows", "bytes")}
+        return pa.table(columns | {"sources": pa.array([paths], pa.list_(pa.string()))})
+
+    kinds = ", ".join(f"`{g}` string" for g in group)
+    binned = plan_bins(files, group, target).select(*group, "layout", "bin", "path", "rows")
+    return binned.groupBy(*group, "layout", "bin").applyInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
+
+
+def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], rows: Callable[[], int]) -> DataFrame:
+    """Run ``build``, which writes files under the folder it is given and reports them, and put them in force as the table at ``out``.
+
+    Readers (``read_compacted``) see the earlier files or the new ones, never both: a pointer names the snapshot of the
+    files that count, and it is published only when the reported rows are as many as ``rows`` says. The report, which
+    lists the files that each output replaces, is kept beside the files and comes back.
+    """
+    pointer, snapshot = Pointer(spark, out), f"snap-{uuid.uuid4().hex}"
+    began = pointer.current()
+    build(f"{pointer.root}/{snapshot}/data").write.parquet(f"{pointer.root}/{snapshot}/report")
+    report = spark.read.parquet(f"{pointer.root}/{snapshot}/report")
+    total = report.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("files"), F.lit(0)), F.count("*")).first()
+    if total[0] != rows():
+        raise LakeError("VALIDATION_ERROR", "compaction has lost or gained rows", {"kept": total[0]})
+    pointer.publish({"snapshot": snapshot, "rows": total[0], "sources": total[1], "files": total[2]}, began)
+    return report
+
+
+def read_compacted(spark: SparkSession, out: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of the snapshot in force at ``out``; without files, no rows of ``schema``."""
+    now = Pointer(spark, out).current()
+    if now is None:
+        raise LakeError("TABLE_NOT_FOUND", "nothing was compacted here", {"path": out})
+    if not now["files"]:
+        return spark.createDataFrame([], schema or StructType([]))
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{out.rstrip('/')}/{now['snapshot']}/data")
+
+
+def stage_files(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
+    """The records of ``files`` written as one small Parquet file each: (path, length, partition columns).
+
+    The test tables have the records of lake files in one table; this makes the files. ``rows`` holds ``file_path``,
+    ``row_offset`` and ``row_id`` (unique per record, repeated if delivered twice, and then in the same file; records of
+    null ``row_id`` are all kept). So small a file gains nothing from dictionaries, and without them blocks can be joined.
+    """
+    planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION])
+    columns = rows.columns
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        from tarnlake.sources.storage import writing
+
+        table = table.sort_by([("row_offset", "ascending"), ("row_id", "ascending")])
+        seen: set = set()
+        once = [not (i in seen or seen.add(i)) or i is None for i in table.column("row_id").to_pylist()]
+        body = table.select(columns).filter(pa.array(once)).combine_chunks()
+        path = f"{out}/{hashlib.md5(key[0].as_py().encode()).hexdigest()}.parquet"
+        with writing(path, uuid.uuid4().hex) as sink, pa.PythonFile(sink, "w") as target:
+            pq.write_table(body, target, compression="zstd", use_dictionary=False, store_schema=False)
+            length = target.tell()
+        values = {c: pa.array([k.as_py()], pa.string()) for c, k in zip(PARTITION, key[1:])}
+        return pa.table({"path": pa.array([path], pa.string()), "length": pa.array([length], pa.int64())} | values)
+
+    tagged = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).join(planned, "file")
+    kinds = ", ".join(f"{c} string" for c in PARTITION)
+    return tagged.groupBy("file", *[f"__{c}" for c in PARTITION]).applyInArrow(write, f"path string, length bigint, {kinds}")
+
+
+def compact_lake(rows: DataFrame, entries: DataFrame, out: str, target: int = TARGET) -> DataFrame:
+    """Merge the small files (``small_files``) of a lake whose records are in ``rows`` into a table at ``out``; the report of outputs."""
+    spark = rows.sparkSession
+    staged = materialized(stage_files(rows, small_files(entries), scratch(spark, "small")), "staged")
+    measured = materialized(with_layouts(staged), "layouts")
+    return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+
+
+def untouched_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """The records (once each) that ``compact_lake`` doesn't merge, with ``kept`` true for those of other live data files and false for those of none."""
+    cases = small_files(entries).select("file", F.lit(True).alias("__merged"))
+    live = live_data_files(entries).select("file").join(cases, "file", "left").withColumn("kept", F.lit(True))
+    named = once_each(rows, "row_id").withColumn("file", object_name(F.coalesce("file_path", F.lit(""))))
+    return named.join(live, "file", "left").filter(F.col("__merged").isNull()).withColumn("kept", F.col("kept").isNotNull()).drop("__merged")
 
-    def carry(batches: Iterator) -> Iterator:
-        import hashlib
 
+def compact_directory(spark: SparkSession, source: str, out: str, target: int = TARGET, below: int = SMALL) -> DataFrame:
+    """The rows of all Parquet files under ``source`` as a table at ``out`` (``read_compacted``), the small files merged by folder and layout to near ``target`` bytes.
+
+    Files are listed and their footers read by tasks, not by the driver. A report row of each output comes back, with the
+    counts of files, blocks and rows that were checked. Files of ``below`` bytes or more are carried over as they are, each
+    under a name of its own (``kept-``), so that ``out`` alone holds every row of ``source``. Empty folders are left out.
+    """
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length")
+    bare = lambda p: re.sub("^file:/+", "/", p).rstrip("/")
+    prefix = bare(source)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    folder = F.btrim(F.regexp_replace(F.substr(plain, F.lit(len(prefix) + 1)), "/?[^/]*$", ""), F.lit("/"))
+    measured = materialized(with_layouts(every).withColumn("folder", folder), "layouts")
+
+    def carry(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import open_read, write_whole
+        from tarnlake.sources.storage import open_read, writing
 
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                name = bare(path).removeprefix(prefix).strip("/")
-                inside = name.rpartition("/")[0]
-                to = "/".join(x for x in (out.rstrip("/"), inside, f"kept-{hashlib.md5(name.encode()).hexdigest()}.parquet") if x)
+            for path, inside in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist()):
+                to = "/".join(x for x in (root[0], inside, f"kept-{hashlib.md5(path.encode()).hexdigest()}.parquet") if x)
                 file, length = open_read(path)
                 with file:
                     file.seek(0)
-                    write_whole(to, iter(lambda: file.read(1 << 22), b""), uuid.uuid4().hex)  # noqa: B023
+                    with writing(to, uuid.uuid4().hex) as sink:
+                        while piece := file.read(1 << 22):
+                            sink.write(piece)
                     source_meta = blocks.footer(file, length)
                 copy, copied = open_read(to)
                 with copy:
                     meta = blocks.footer(copy, copied)
                 if copied != length or meta != source_meta:
                     raise LakeError("VALIDATION_ERROR", "a file carried over isn't the same", {"path": path})
-                counts = {"files": 1, "blocks": blocks.block_count(meta), "rows": blocks.row_count(meta), "bytes": copied}
-                yield pa.RecordBatch.from_pydict({"folder": [inside], "path": [to]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
+                n = blocks.block_count(meta)
+                counts = {"files": 1, "blocks": n, "groups": n, "rows": blocks.row_count(meta), "bytes": copied}
+                yield pa.RecordBatch.from_pydict({"folder": [inside], "path": [to]} | {k: pa.array([v], pa.int64()) for k, v in counts.items()} | {"sources": [[path]]})
+
+    root: list[str] = []
+
+    def build(to: str) -> DataFrame:
+        root.append(to)
+        merged = compact_files(measured.filter(F.col("length") < below), ["folder"], to, target, "folder")
+        return merged.unionByName(measured.filter(F.col("length") >= below).mapInArrow(carry, f"folder string, {_COUNTS}"))
 
-    report = "folder string, path string, files bigint, blocks bigint, `rows` bigint, bytes bigint"
-    merged = binned.select("folder", "layout", "bin", "path").groupBy("folder", "layout", "bin").applyInArrow(copy_blocks, report)
-    return merged.unionByName(every.filter(F.col("length") >= below).mapInArrow(carry, report))
+    return publish(spark, out, build, lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])

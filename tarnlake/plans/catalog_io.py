@@ -181,16 +181,12 @@ def iceberg_append(spark: SparkSession, d: str) -> DataFrame:
     return iceberg.load_table(spark, local_path(root)).scan(["n_nationkey"], X.gt("region", "0"))
 
 
-@query("select l_orderkey, l_linenumber, l_quantity, l_shipdate from lineitem")
+@query("select * from lineitem")
 def compact_directory(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark, "tiny")
     frame(spark, d, "lineitem").repartition(40, "l_orderkey", "l_linenumber").write.parquet(f"{root}/from")
-    compaction.compact_directory(spark, f"{root}/from", f"{root}/to", target=8 << 20).write.parquet(f"{root}/report")
-    carried = spark.read.parquet(f"{root}/report").agg(F.sum("rows")).first()[0]
-    merged = spark.read.parquet(f"{root}/to")
-    if not carried == merged.count() == spark.read.parquet(f"{root}/from").count():
-        raise LakeError("VALIDATION_ERROR", "compaction has lost or gained rows")
-    return merged.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    compaction.compact_directory(spark, f"{root}/from", f"{root}/to", target=8 << 20)
+    return compaction.read_compacted(spark, f"{root}/to")
 
 
 @query("select e.event_id, e.value + 1 as value from events e where event_type = 'click' union all select event_id + 10000000, value from events where event_type = 'click'")

@@ -34,23 +34,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_files(table(spark, d, "data_files")).select("entry_id")
 
 
-def _planned(spark: SparkSession, d: str) -> DataFrame:
-    files = compaction.live_data_files(table(spark, d, "data_files")).withColumn("size", F.coalesce("size", F.lit(0)))
-    return compaction.plan_bins(files)
-
-
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
-    """A report row of each merged file. Paths differ from run to run and are left out."""
-    return compaction.compact_rows(table(spark, d, "file_rows"), _planned(spark, d), scratch(spark, "compacted")).drop("path", "bytes")
+    """What became of the files of each partition: merged into how many, kept as they are, or of no live file (their rows' own partition)."""
+    rows, entries = table(spark, d, "file_rows"), table(spark, d, "data_files")
+    report = compaction.compact_lake(rows, entries, scratch(spark, "compacted"))
+    partition = list(compaction.PARTITION)
+    merged = report.groupBy(*partition).agg(F.lit("merged").alias("fate"), F.sum("files").alias("files"), F.count("*").alias("outputs"), F.sum("groups").alias("row_groups"), F.sum("rows").alias("records"))
+    of_file = compaction.untouched_rows(rows, entries).groupBy(*partition, "kept", "file").agg(F.count("*").alias("records"))
+    rest = of_file.groupBy(*partition, F.when(F.col("kept"), "kept").otherwise("not live").alias("fate")).agg(F.count("*").alias("files"), F.sum("records").alias("records"))
+    return merged.unionByName(rest, allowMissingColumns=True).na.fill(0, ["outputs", "row_groups"])
 
 
 def p2_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The records as they are read from the merged files."""
-    out = scratch(spark, "compacted")
-    rows = table(spark, d, "file_rows")
-    report = compaction.compact_rows(rows, _planned(spark, d), out)
-    report.write.parquet(f"{out}-report")
-    return spark.read.schema(rows.schema).parquet(out).select("row_id", "table_name", "store_id", "sale_date", "record_id", "record_version", "schema_id", "payload")
+    """The records of all live files as they are read after compaction: from the merged files, and of the files that stay."""
+    rows, entries, out = table(spark, d, "file_rows"), table(spark, d, "data_files"), scratch(spark, "compacted")
+    compaction.compact_lake(rows, entries, out)
+    merged, kept = compaction.read_compacted(spark, out, rows.schema), compaction.untouched_rows(rows, entries).filter("kept")
+    columns = ["row_id", "table_name", "store_id", "sale_date", "record_id", "record_version", "schema_id", "payload"]
+    return merged.select(*columns).unionByName(kept.select(*columns))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +136,11 @@ _LIVE = f"""files as (
     arg_max(file_size_in_bytes, (coalesce(sequence_number, -1), entry_id)) filter (file_size_in_bytes > 0) as size
   from {_PATH} group by file),
 live as (select * from files where status <> 'deleted' and content = 'data')"""
+_STATUS = f"""{_LIVE},
+cases as (select file from (select file, count(*) over (partition by p.t, p.s, p.d) as n from live where size < 1048576) where n >= 2),
+status as (
+  select r.*, l.p, case when l.file is null then 'not live' when c.file is null then 'kept' else 'merged' end as fate
+  from {_PATH.replace("data_files", "file_rows")} r left join live l using (file) left join cases c using (file))"""
 _POSITIONS = """usable as (
   select job_id, lower(trim(plan_fingerprint)) as plan, cast(regexp_extract(snapshot_ref, '([0-9]+)\\s*$', 1) as bigint) as snapshot, file_index, row_offset, run_no
   from bookmarks where lower(trim(state)) = 'complete' and plan_fingerprint is not null and snapshot_ref is not null and file_index is not null and row_offset is not null),
@@ -169,6 +175,12 @@ where not exists (select 1 from pairs p where p.table_name = s.table_name and p.
         "p2_found": f"""with {_LIVE},
 small as (select *, count(*) over (partition by p.t, p.s, p.d) as n from live where size < 1048576)
 select entry_id from small where n >= 2""",
+        "p2_files": f"""with {_STATUS}
+select table_name, store_id, sale_date, fate, count(distinct file) as files, case when fate = 'merged' then 1 else 0 end as outputs, case when fate = 'merged' then 1 else 0 end as row_groups, count(distinct row_id) as records
+from (select case when fate = 'merged' then p.t else table_name end as table_name, case when fate = 'merged' then p.s else store_id end as store_id,
+  case when fate = 'merged' then p.d else sale_date end as sale_date, fate, file, row_id from status) group by all""",
+        "p2_rows": f"""with {_STATUS}
+select distinct row_id, table_name, store_id, sale_date, record_id, record_version, schema_id, payload from status where fate <> 'not live'""",
         "p3_positions": f"with {_POSITIONS} select * from positions",
         "p3_found": f"""with {_POSITIONS}
 select job_id, record_id, record_version from (

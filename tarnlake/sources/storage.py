@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import BinaryIO
 
 
@@ -25,15 +26,19 @@ def open_read(uri: str) -> tuple[BinaryIO, int]:
     return system.open_input_file(path), system.get_file_info(path).size
 
 
-def write_whole(uri: str, data: bytes | Iterable[bytes], attempt: str) -> None:
-    """Write a file, given as bytes or piece by piece, so that it appears whole or not at all, also if two attempts of a task write it."""
-    pieces = [data] if isinstance(data, bytes) else data
+@contextmanager
+def writing(uri: str, attempt: str) -> Iterator[BinaryIO]:
+    """A file to write to, that appears whole when the block ends and not at all if it fails, also if two attempts of a task write it."""
     if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         temporary = f"{path}.{attempt}.tmp"
-        with open(temporary, "wb") as f:
-            f.writelines(pieces)
-        os.replace(temporary, path)
+        try:
+            with open(temporary, "wb") as f:
+                yield f
+            os.replace(temporary, path)
+        finally:
+            if os.path.exists(temporary):
+                os.remove(temporary)
         return
     from pyarrow import fs
 
@@ -41,6 +46,12 @@ def write_whole(uri: str, data: bytes | Iterable[bytes], attempt: str) -> None:
     system.create_dir(os.path.dirname(path), recursive=True)
     temporary = f"{path}.{attempt}.tmp"
     with system.open_output_stream(temporary) as f:
-        for piece in pieces:
-            f.write(piece)
+        yield f
     system.move(temporary, path)
+
+
+def write_whole(uri: str, data: bytes | Iterable[bytes], attempt: str) -> None:
+    """``writing`` of bytes, given at once or piece by piece."""
+    with writing(uri, attempt) as f:
+        for piece in [data] if isinstance(data, bytes) else data:
+            f.write(piece)
