@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
 from tarnlake.plans.compile import quoted
+from tarnlake.plans.skew import BROADCAST_BYTES, plan_bytes
 
-#: Rows up to which a right side counts as small enough to be sent to every task.
-SMALL_ROWS = 100_000
+#: Rows that the right side of a product may have.
+PRODUCT_ROWS = 100_000
 TYPES = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti", "right": "right", "full": "full"}
 
 
@@ -45,13 +46,14 @@ def hash_join(
     right_prefix: str = "right.",
     max_right_rows: int | None = None,
     max_output_rows: int | None = None,
-    small_rows: int = SMALL_ROWS,
+    small_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows of ``left`` with the rows of ``right`` of equal keys; a null key equals a null key.
 
     ``how``: inner, left, right, full, semi or anti. A right key of the same name is shown once, other clashing names of
-    the right get ``right_prefix``. Columns without match are null. The right side is broadcast only if it has at most
-    ``small_rows`` rows, which is counted; otherwise both sides are shuffled, and AQE splits skewed keys.
+    the right get ``right_prefix``. Columns without match are null. The right side is broadcast only if the optimizer
+    takes it for at most ``small_bytes``; otherwise both sides are shuffled, and AQE splits skewed keys and broadcasts a
+    side that turns out small.
     """
     lk, rk = ([left_key] if isinstance(left_key, str) else list(left_key)), ([right_key] if isinstance(right_key, str) else list(right_key))
     if how not in TYPES:
@@ -64,7 +66,7 @@ def hash_join(
                 raise LakeError("UNKNOWN_COLUMN", f"unknown join key {k}", {"column": k})
     _guard(right, max_right_rows, "rows on the right of a join")
     side, private, shown = renamed_right(left, right, lk, rk, right_prefix)
-    if how in ("inner", "left", "semi", "anti") and small_rows and side.limit(small_rows + 1).count() <= small_rows:
+    if how in ("inner", "left", "semi", "anti") and plan_bytes(side) <= small_bytes:
         side = F.broadcast(side)
     on: Column = F.lit(True)
     for a, b in zip(lk, rk):
@@ -97,13 +99,13 @@ def lookup_join(left: DataFrame, lookup: Callable[[list[tuple]], list[dict]], le
     probe = left.sparkSession.createDataFrame([], right_schema)
     names = probe.columns
     found = left.select(*map(quoted, lk)).distinct().mapInPandas(fetch, right_schema)
-    return hash_join(left, found, lk, right_key, how, right_prefix, small_rows=0)
+    return hash_join(left, found, lk, right_key, how, right_prefix, small_bytes=-1)
 
 
-def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int = SMALL_ROWS, max_output_rows: int | None = None, right_prefix: str = "right.") -> DataFrame:
-    """All pairs. The right side must have at most ``max_right_rows`` rows, which is checked before it is broadcast."""
+def cross_join(left: DataFrame, right: DataFrame, max_right_rows: int = PRODUCT_ROWS, max_output_rows: int | None = None, right_prefix: str = "right.") -> DataFrame:
+    """All pairs. The right side must have at most ``max_right_rows`` rows, which is counted; it is broadcast if it is small in bytes too."""
     _guard(right, max_right_rows, "rows on the right of a product")
     side, private, shown = renamed_right(left, right, [], [], right_prefix)
-    out = left.crossJoin(F.broadcast(side)).select(*[F.col(quoted(c)) for c in left.columns], *[F.col(private[c]).alias(n) for c, n in shown])
+    out = left.crossJoin(F.broadcast(side) if plan_bytes(side) <= BROADCAST_BYTES else side).select(*[F.col(quoted(c)) for c in left.columns], *[F.col(private[c]).alias(n) for c, n in shown])
     _guard(out, max_output_rows, "rows out of a product")
     return out

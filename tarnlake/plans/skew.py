@@ -10,15 +10,30 @@ from pyspark.sql import functions as F
 _SALT = "__salt"
 
 
+#: Bytes, by the optimizer's estimate, up to which a side of a join is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size: of a table its files, of what is derived from one seldom less than it has."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", salts: int = 24) -> DataFrame:
-    """``left`` joined to ``right`` on ``keys``, each key's rows of ``left`` spread over ``salts`` tasks.
+    """``left`` joined to ``right`` on ``keys``, no key's rows of ``left`` in one task alone.
 
-    ``right`` is the much smaller side (it is repeated ``salts`` times); ``spread`` is hashed to choose the task, so it
-    should differ between the rows of a key. Null keys match null keys. ``how``: inner, left, left_semi or left_anti.
+    A ``right`` of at most ``BROADCAST_BYTES`` is broadcast, which leaves ``left`` where it is. A larger one is repeated
+    ``salts`` times and shuffled, never broadcast, and each key's rows of ``left`` go to ``salts`` tasks; ``spread`` is
+    hashed to choose the task, so it should differ between the rows of a key. Null keys match null keys. ``how``: inner,
+    left, left_semi or left_anti.
     """
-    lhs = left.withColumn(_SALT, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).alias("l")
-    rhs = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
-    on = F.col(f"l.{_SALT}") == F.col(f"r.{_SALT}")
+    small = plan_bytes(right) <= BROADCAST_BYTES
+    if small:
+        left_salt, right_salt = F.lit(0), F.lit(0)
+    else:
+        left_salt, right_salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    lhs, rhs = left.withColumn(_SALT, left_salt).alias("l"), right.withColumn(_SALT, right_salt).hint("broadcast" if small else "merge").alias("r")
+    on = F.lit(True) if small else F.col(f"l.{_SALT}") == F.col(f"r.{_SALT}")
     for k in keys:
         on &= F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
     joined = lhs.join(rhs, on, how)

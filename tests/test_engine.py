@@ -157,7 +157,7 @@ def test_joins(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "a")], "id int, k string")
     right = spark.createDataFrame([("a", 1), (None, 2), ("a", 3), ("z", 4)], "k string, id int")
     for limit in (100, 0):
-        rows = lambda how: sorted(joins.hash_join(left, right, "k", "k", how, small_rows=limit).collect(), key=repr)  # noqa: B023, E731
+        rows = lambda how: sorted(joins.hash_join(left, right, "k", "k", how, small_bytes=limit).collect(), key=repr)  # noqa: B023, E731
         assert [r["right.id"] for r in rows("inner")] == [1, 3, 2, 1, 3] and rows("inner")[0].asDict() == {"id": 1, "k": "a", "right.id": 1}
         assert len(rows("left")) == 6 and len(rows("right")) == 6 and len(rows("full")) == 7
         assert [r["id"] for r in rows("semi")] == [1, 2, 4] and [r["id"] for r in rows("anti")] == [3]
