@@ -23,12 +23,21 @@ def plain_type(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[\s\p{Z}]+", "")
 
 
+def _union(before: Column, now: Column, had: Column, has: Column) -> Column:
+    """The alternatives of one property of a path in two parallel schemas, each with whether either schema has it."""
+    form = lambda x, b, n: F.struct(x.alias("form"), b.alias("before"), n.alias("now"))
+    apart = F.filter(F.array(form(before, had, F.lit(False)), form(now, F.lit(False), has)), lambda a: a["before"] | a["now"])
+    return F.when(had & has & before.eqNullSafe(now), F.array(form(now, F.lit(True), F.lit(True)))).otherwise(apart)
+
+
 def fused_schemas(schemas: DataFrame) -> DataFrame:
-    """One row per (table, schema, field) that the schema or the one before it has, with both forms.
+    """One row per path of a schema and the one before it, fused: (table, schema, field) with the union of its types and of its names.
 
-    ``now`` and ``before`` are the field's forms in this and in the preceding schema (null where it has none), ``had``
-    tells whether there is a preceding schema, ``origin`` is the field that it continues by ``source_id`` and ``taken``
-    whether a vanished field is continued so. Deliveries of one field agree or the earliest loaded counts. Rows without
+    ``types`` and ``names`` hold the alternatives that either schema has for the path (``form``) and which of them has
+    it: one alternative of both where nothing changed, two where they conflict, one of one schema where the path comes
+    or goes. ``now`` and ``before`` are the field's forms in this and in the preceding schema (null where it has none),
+    ``had`` tells whether there is a preceding schema, ``origin`` is the field that it continues by ``source_id`` and
+    ``taken`` whether a vanished field is continued so. Deliveries of one field agree or the earliest loaded counts. Rows without
     table, schema or field id describe no field and are left out; an empty input gives an empty result.
     """
     fields = (
@@ -57,7 +66,7 @@ def fused_schemas(schemas: DataFrame) -> DataFrame:
     )
     came, went = F.col("before").isNull() & F.col("had"), F.col("now").isNull()
     by_source = Window.partitionBy("table_name", "schema_id", "__key")
-    return (
+    fused = (
         both.withColumn("__key", F.when(came, F.col("now.source_id")).otherwise(F.col("field_id")))
         .withColumns(
             {
@@ -77,18 +86,29 @@ def fused_schemas(schemas: DataFrame) -> DataFrame:
             "taken",
         )
     )
+    now, before = F.col("now"), F.col("before")
+    has, was = now.isNotNull(), before.isNotNull()
+    return fused.withColumns(
+        {
+            "types": _union(plain_type(before["field_type"]), plain_type(now["field_type"]), was, has),
+            "names": _union(before["field_name"], now["field_name"], was, has),
+        }
+    )
 
 
 def schema_changes(schemas: DataFrame) -> DataFrame:
-    """(table_name, schema_id, field_id, change) of every added, removed, renamed and retyped field, from ``fused_schemas``."""
-    now, before = F.col("now"), F.col("before")
-    lasts = now.isNotNull() & before.isNotNull() & F.col("had")
-    renamed = lasts & ~now["field_name"].eqNullSafe(before["field_name"])
-    retyped = lasts & ~plain_type(now["field_type"]).eqNullSafe(plain_type(before["field_type"]))
-    added = now.isNotNull() & before.isNull() & F.col("had")
-    removed = now.isNull() & ~F.col("taken")
-    kinds = F.array(*[F.when(c, F.lit(k)) for k, c in (("added", added), ("removed", removed), ("renamed", renamed), ("retyped", retyped))])
-    return fused_schemas(schemas).select("table_name", "schema_id", "field_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("change"))
+    """(table_name, schema_id, field_id, change), read off the alternatives that appear on each fused path.
+
+    A path all of whose alternatives appear was added, one that keeps none was removed (unless another field continues
+    it); where an alternative appears beside an earlier one, of type or of name, the field was retyped or renamed.
+    """
+    appears = lambda union: F.exists(union, lambda a: a["now"] & ~a["before"]) & F.exists(union, lambda a: a["before"])
+    types, names = F.col("types"), F.col("names")
+    added = F.forall(types, lambda a: ~a["before"])
+    removed = F.forall(types, lambda a: ~a["now"]) & ~F.col("taken")
+    kinds = F.array(*[F.when(c, F.lit(k)) for k, c in (("added", added), ("removed", removed), ("renamed", appears(names)), ("retyped", appears(types)))])
+    fused = fused_schemas(schemas).filter("had")
+    return fused.select("table_name", "schema_id", "field_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("change"))
 
 
 def canonical_type(types: Column) -> Column:
@@ -117,24 +137,29 @@ def canonical_type(types: Column) -> Column:
     )
 
 
-def field_paths(schemas: DataFrame, rounds: int = 20) -> DataFrame:
+def field_paths(schemas: DataFrame) -> DataFrame:
     """(table_name, schema_id, field_id, field_name, field_type, path): the first field of the chain that each continues.
 
-    Chains of ``source_id`` are followed by doubling the step each round, so ``rounds`` of 20 reach a million links;
-    rounds end when nothing changes. A chain that closes on itself keeps the smallest id reached.
+    Chains of ``source_id`` are followed by doubling the step each round, until nothing changes or the steps are longer
+    than all links together: what still moves then is on, or leads into, a chain that closes on itself, whose smallest
+    id is the path.
     """
-    fused = materialized(fused_schemas(schemas), "fused")
-    steps = fused.filter(F.col("origin").isNotNull() & (F.col("origin") != F.col("field_id"))).groupBy("table_name", "field_id").agg(F.min("origin").alias("path"))
-    steps = materialized(steps, "steps")
-    for _ in range(rounds):
-        up = steps.select("table_name", F.col("field_id").alias("path"), F.col("path").alias("higher"))
-        further = steps.join(up, ["table_name", "path"], "left").select("table_name", "field_id", F.coalesce("higher", "path").alias("next"), "path")
-        further = materialized(further, "steps")
-        steps = further.select("table_name", "field_id", F.col("next").alias("path"))
-        if not further.filter(F.col("next") != F.col("path")).limit(1).count():
-            break
+    fused = materialized(fused_schemas(schemas).select("table_name", "schema_id", "field_id", "now", "origin"), "fused")
+    links = fused.filter(F.col("origin").isNotNull() & (F.col("origin") != F.col("field_id"))).groupBy("table_name", "field_id").agg(F.min("origin").alias("path"))
+    steps = materialized(links.withColumn("low", F.least("field_id", "path")), "steps")
+    count, length, moving = steps.count(), 1, True
+    while moving and length <= count:
+        up = steps.select("table_name", F.col("field_id").alias("path"), F.col("path").alias("higher"), F.col("low").alias("lower"))
+        steps = materialized(
+            steps.join(up, ["table_name", "path"], "left").select("table_name", "field_id", F.coalesce("higher", "path").alias("path"), F.least("low", "lower").alias("low"), F.col("higher").isNotNull().alias("moved")),
+            "steps",
+        )
+        moving, length = steps.filter("moved").limit(1).count() > 0, 2 * length
+    if moving and count:
+        around = steps.select("table_name", F.col("field_id").alias("path"), F.col("low").alias("least"))
+        steps = steps.join(around, ["table_name", "path"], "left").withColumn("path", F.when(F.col("moved"), F.coalesce("least", "path")).otherwise(F.col("path")))
     own = fused.filter(F.col("now").isNotNull())
-    return own.join(steps, ["table_name", "field_id"], "left").select(
+    return own.join(steps.select("table_name", "field_id", "path"), ["table_name", "field_id"], "left").select(
         "table_name",
         "schema_id",
         "field_id",
@@ -165,47 +190,89 @@ def type_alternatives(schemas: DataFrame, paths: DataFrame | None = None) -> Dat
     return alternatives.drop("latest").join(named, ["table_name", "path"])
 
 
-def branches(value: Column, declared: Column, canonical: Column) -> Column:
-    """A text value as one branch of a tagged union, with its canonical form.
+def _kind(plain: Column) -> Column:
+    """The branch of a union that values of a type belong to."""
+    return (
+        F.when(plain.isin("int", "long"), "whole")
+        .when(plain.isin("float", "double") | plain.startswith("decimal"), "real")
+        .when(plain == "boolean", "flag")
+        .when(plain.isin("date", "timestamp"), "instant")
+        .otherwise(F.lit("text"))
+    )
+
+
+def branches(values: Column) -> Column:
+    """An array of (key, value, kind, form) as tagged unions: (key, value struct) of each.
 
-    ``tag`` names the branch that holds it: whole, real, flag, instant (ISO text, or milliseconds since 1970) or text; a value that isn't of its declared type
-    goes to text with ``conforms`` false; ``null`` has no branch. ``canonical`` is null where the conversion fails.
+    ``value`` is a text, ``kind`` the branch of its declared type and ``form`` its canonical type. ``tag`` names the
+    branch that holds it: whole, real, flag, instant (ISO text, or milliseconds since 1970) or text; a value that isn't
+    of its declared type goes to text with ``conforms`` false; ``null`` has no branch. ``canonical`` is the value as its
+    canonical type writes it, null where the conversion fails; decimals are exact at any number of digits.
+
+    Each step is a transform of its own, so that no conversion is evaluated twice.
     """
-    whole, real, flag = value.try_cast("long"), value.try_cast("double"), value.try_cast("boolean")
-    instant = F.when(value.rlike(r"^-?\d{9,}$"), F.timestamp_millis(whole)).otherwise(F.try_to_timestamp(value))
-    exact = value.try_cast("decimal(38,9)")
-    tag = (
-        F.when(value.isNull(), F.lit("null"))
-        .when(declared.isin("int", "long"), F.when(value.rlike(r"^\s*[+-]?\d+\s*$") & whole.isNotNull(), "whole").otherwise("text"))
-        .when(declared.isin("float", "double") | declared.startswith("decimal"), F.when(real.isNotNull(), "real").otherwise("text"))
-        .when(declared == "boolean", F.when(flag.isNotNull(), "flag").otherwise("text"))
-        .when(declared.isin("date", "timestamp"), F.when(instant.isNotNull(), "instant").otherwise("text"))
-        .otherwise(F.lit("text"))
+    wants = lambda x, kind, *forms: (x["kind"] == kind) | x["form"].isin(*forms)
+    instant = lambda v: F.when(v.rlike(r"^-?\d{9,}$"), F.timestamp_millis(v.try_cast("long"))).otherwise(v.try_cast("timestamp"))
+    parsed = F.transform(
+        values,
+        lambda x: F.struct(
+            x["key"].alias("key"),
+            x["value"].alias("value"),
+            x["kind"].alias("kind"),
+            x["form"].alias("form"),
+            F.when(wants(x, "whole", "int", "long"), x["value"].try_cast("long")).alias("whole"),
+            F.when(wants(x, "real", "float", "double"), x["value"].try_cast("double")).alias("real"),
+            F.when(wants(x, "flag", "boolean"), x["value"].try_cast("boolean")).alias("flag"),
+            F.when(wants(x, "instant", "date", "timestamp"), instant(x["value"])).alias("instant"),
+        ),
     )
-    form = (
-        F.when(canonical == "int", value.try_cast("int").cast("string"))
-        .when(canonical == "long", whole.cast("string"))
-        .when(canonical == "float", value.try_cast("float").cast("string"))
-        .when(canonical == "double", real.cast("string"))
-        .when(canonical.startswith("decimal"), F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
-        .when(canonical == "boolean", flag.cast("string"))
-        .when(canonical == "date", F.date_format(instant, "yyyy-MM-dd"))
-        .when(canonical == "timestamp", F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-        .otherwise(value)
+    tagged = F.transform(
+        parsed,
+        lambda x: F.struct(
+            x.alias("x"),
+            F.when(x["value"].isNull(), F.lit("null"))
+            .when((x["kind"] == "whole") & x["whole"].isNotNull(), F.lit("whole"))
+            .when((x["kind"] == "real") & x["real"].isNotNull(), F.lit("real"))
+            .when((x["kind"] == "flag") & x["flag"].isNotNull(), F.lit("flag"))
+            .when((x["kind"] == "instant") & x["instant"].isNotNull(), F.lit("instant"))
+            .otherwise(F.lit("text"))
+            .alias("tag"),
+        ),
+    )
+    sign, digits = r"^\s*(-?)\+?0*(\d+)(?:\.(\d*?)0*)?\s*$", r"\.$"
+    exact = lambda v: F.when(v.rlike(sign), F.regexp_replace(F.regexp_replace(v, sign, "$1$2.$3"), digits, "")).otherwise(
+        F.regexp_replace(F.regexp_replace(v.try_cast("decimal(38,18)").cast("string"), sign, "$1$2.$3"), digits, "")
     )
-    return F.struct(
-        tag.alias("tag"),
-        F.when(tag == "whole", whole).alias("whole"),
-        F.when(tag == "real", real).alias("real"),
-        F.when(tag == "flag", flag).alias("flag"),
-        F.when(tag == "instant", instant).alias("instant"),
-        F.when(tag == "text", value).alias("text"),
-        (tag != "text") | ~declared.rlike("^(int|long|float|double|decimal.*|boolean|date|timestamp)$"),
-        form.alias("canonical"),
+    canonical = lambda x: (
+        F.when(x["form"] == "int", x["value"].try_cast("int").cast("string"))
+        .when(x["form"] == "long", x["whole"].cast("string"))
+        .when(x["form"] == "float", x["value"].try_cast("float").cast("string"))
+        .when(x["form"] == "double", x["real"].cast("string"))
+        .when(x["form"].startswith("decimal"), exact(x["value"]))
+        .when(x["form"] == "boolean", x["flag"].cast("string"))
+        .when(x["form"] == "date", F.date_format(x["instant"], "yyyy-MM-dd"))
+        .when(x["form"] == "timestamp", F.date_format(x["instant"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        .otherwise(x["value"])
+    )
+    return F.transform(
+        tagged,
+        lambda t: F.struct(
+            t["x"]["key"].alias("key"),
+            F.struct(
+                t["tag"].alias("tag"),
+                F.when(t["tag"] == "whole", t["x"]["whole"]).alias("whole"),
+                F.when(t["tag"] == "real", t["x"]["real"]).alias("real"),
+                F.when(t["tag"] == "flag", t["x"]["flag"]).alias("flag"),
+                F.when(t["tag"] == "instant", t["x"]["instant"]).alias("instant"),
+                F.when(t["tag"] == "text", t["x"]["value"]).alias("text"),
+                ((t["tag"] != "text") | (t["x"]["kind"] == "text")).alias("conforms"),
+                canonical(t["x"]).alias("canonical"),
+            ).alias("value"),
+        ),
     )
 
 
-_BRANCH = "struct<tag:string,whole:bigint,real:double,flag:boolean,instant:timestamp,text:string,conforms:boolean,canonical:string>"
+_SPEC = "array<struct<canonical_name:string,field_name:string,kind:string,form:string>>"
 
 
 def consistent_rows(rows: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -220,21 +287,20 @@ def consistent_rows(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     specs = (
         paths.join(named, ["table_name", "path"])
         .groupBy("table_name", "schema_id")
-        .agg(F.sort_array(F.collect_set(F.struct("canonical_name", "field_name", "field_type", "canonical_type"))).alias("__spec"))
+        .agg(F.sort_array(F.collect_set(F.struct("canonical_name", "field_name", _kind(F.coalesce("field_type", F.lit(""))).alias("kind"), F.col("canonical_type").alias("form")))).alias("__spec"))
     )
     one = once_each(rows.select("row_id", "table_name", "schema_id", "payload"), "row_id")
-    joined = salted_join(one, specs, ["table_name", "schema_id"], F.col("row_id"), "left")
-    values = F.from_json("payload", "map<string,string>")
-    spec = F.coalesce(F.col("__spec"), F.array().cast("array<struct<canonical_name:string,field_name:string,field_type:string,canonical_type:string>>"))
-    pairs = F.transform(
-        spec,
-        lambda s: F.struct(s["canonical_name"].alias("key"), branches(F.try_element_at(F.col("__values"), s["field_name"]), s["field_type"], s["canonical_type"]).cast(_BRANCH).alias("value")),
-    )
-    return joined.withColumn("__values", values).select(
+    joined = salted_join(one, materialized(specs, "specs"), ["table_name", "schema_id"], F.col("row_id"), "left")
+    read = joined.withColumn("__values", F.from_json("payload", "map<string,string>"))
+    spec = F.coalesce(F.col("__spec"), F.array().cast(_SPEC))
+    fields = F.transform(
+        spec, lambda s: F.struct(s["canonical_name"].alias("key"), F.try_element_at(F.col("__values"), s["field_name"]).alias("value"), s["kind"].alias("kind"), s["form"].alias("form"))
+    )
+    return read.select(
         "row_id",
         "table_name",
         "schema_id",
-        F.map_from_entries(pairs).alias("fields"),
+        F.map_from_entries(branches(fields)).alias("fields"),
         (F.col("payload").isNotNull() & (F.col("__values").isNull() | ~F.col("payload").rlike(r"^\s*\{"))).alias("malformed"),
         F.when(F.col("__spec").isNull(), F.col("payload")).alias("unread"),
     )

@@ -154,9 +154,7 @@ _MESSAGES = f"""messages as (
   select *, {_DECODED.format("idempotency_key")} as k, {_DECODED.format("task_id")} as t, lower(regexp_replace(state, '[^A-Za-z]', '', 'g')) as s from retry_log)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": """with fields as (
+_PAIRS = """fields as (
   select table_name, schema_id, field_id, any_value(field_name) as name, any_value(regexp_replace(lower(field_type), '\\s', '', 'g')) as type, any_value(source_id) as source_id
   from table_schemas group by all),
 schemas as (select table_name, schema_id, lag(schema_id) over (partition by table_name order by schema_id) as before from (select distinct table_name, schema_id from table_schemas)),
@@ -166,12 +164,40 @@ pairs as (
   from now n
   left join fields a on a.table_name = n.table_name and a.schema_id = n.before and a.field_id = n.field_id
   left join fields b on a.field_id is null and b.table_name = n.table_name and b.schema_id = n.before and b.field_id = n.source_id
-    and not exists (select 1 from fields x where x.table_name = n.table_name and x.schema_id = n.schema_id and x.field_id = n.source_id))
+    and not exists (select 1 from fields x where x.table_name = n.table_name and x.schema_id = n.schema_id and x.field_id = n.source_id))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"""with {_PAIRS}
 select table_name, schema_id, field_id, 'added' as change from pairs where was_id is null
 union all select table_name, schema_id, field_id, 'renamed' from pairs where was_name <> name
 union all select table_name, schema_id, field_id, 'retyped' from pairs where was_type <> type
 union all select s.table_name, s.schema_id, f.field_id, 'removed' from schemas s join fields f on f.table_name = s.table_name and f.schema_id = s.before
 where not exists (select 1 from pairs p where p.table_name = s.table_name and p.schema_id = s.schema_id and p.was_id = f.field_id)""",
+        "p1_alternatives": f"""with recursive {_PAIRS},
+links as (select table_name, field_id, min(was_id) as up from pairs where was_id <> field_id group by all),
+walk as (
+  select table_name, field_id, up as path from links
+  union all select w.table_name, w.field_id, l.up from walk w join links l on l.table_name = w.table_name and l.field_id = w.path),
+roots as (select table_name, field_id, path from walk w where not exists (select 1 from links l where l.table_name = w.table_name and l.field_id = w.path)),
+paths as (select f.*, coalesce(r.path, f.field_id) as path from fields f left join roots r using (table_name, field_id)),
+alternatives as (
+  select table_name, path, type as field_type, min(schema_id) as first_schema_id, max(schema_id) as last_schema_id, arg_max(name, (schema_id, field_id)) as name, max((schema_id, field_id)) as place
+  from paths group by all),
+unions as (select table_name, path, list(distinct field_type) as types, coalesce(arg_max(name, place), '') as name from alternatives group by all),
+measured as (
+  select *, list_max(list_transform(types, lambda t: case t when 'int' then 10 when 'long' then 19 else coalesce(try_cast(regexp_extract(t, '(\\d+),(\\d+)', 1) as int) - try_cast(regexp_extract(t, '(\\d+),(\\d+)', 2) as int), 19) end)) as head,
+    list_max(list_transform(types, lambda t: coalesce(try_cast(regexp_extract(t, '(\\d+),(\\d+)', 2) as int), 0))) as scale,
+    len(list_filter(types, lambda t: t not in ('int', 'long'))) as no_whole, len(list_filter(types, lambda t: t not in ('int', 'long') and not t like 'decimal%')) as no_exact,
+    len(list_filter(types, lambda t: t not in ('int', 'long', 'float', 'double') and not t like 'decimal%')) as no_number, len(list_filter(types, lambda t: t not in ('date', 'timestamp'))) as no_time,
+    count(*) over (partition by table_name, name) as owners
+  from unions)
+select a.table_name, a.path, a.field_type, a.first_schema_id, a.last_schema_id,
+  case when len(types) = 1 then types[1] when no_whole = 0 then 'long' when no_exact = 0 and head + scale <= 38 then 'decimal(' || (head + scale) || ',' || scale || ')'
+    when no_number = 0 then 'double' when no_time = 0 then 'timestamp' else 'string' end as canonical_type,
+  case when owners > 1 then m.name || '#' || m.path else m.name end as canonical_name
+from alternatives a join measured m using (table_name, path)""",
         "p2_found": f"""with {_LIVE},
 small as (select *, count(*) over (partition by p.t, p.s, p.d) as n from live where size < 1048576)
 select entry_id from small where n >= 2""",

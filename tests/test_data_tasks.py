@@ -104,6 +104,24 @@ def test_consistent_rows(spark):
     assert kinds[2, "int"]["canonical_type"] == "string" and kinds[2, "double"]["canonical_name"] == "total" and kinds[1, "long"]["first_schema_id"] == 1
 
 
+def test_chains_of_fields(spark):
+    # a chain of 40 links, one that closes on itself, and what leads into it
+    fields = [("t", s, 1, 100 + s, 99 + s if s else None, f"f{s}", "int", True, None, None) for s in range(41)]
+    ring = [(1, None), (2, 1), (3, 2), (1, 3), (9, 1)]
+    fields += [("r", s, 1, f, src, "x", "int", True, None, None) for s, (f, src) in enumerate(ring)]
+    got = {(r["table_name"], r["field_id"]): r["path"] for r in schema_drift.field_paths(spark.createDataFrame(fields, FIELDS)).collect()}
+    assert {p for (t, _), p in got.items() if t == "t"} == {100} and {p for (t, _), p in got.items() if t == "r"} == {1}
+
+
+def test_canonical_values_are_exact(spark):
+    kinds = [("0.1000", "decimal(20,12)", "0.1"), ("0.123456789012", "decimal(20,12)", "0.123456789012"), ("-007.50", "decimal(9,2)", "-7.5"), ("12345678901234567890123456789012345678", "decimal(38,0)", "12345678901234567890123456789012345678"), ("1e3", "decimal(9,2)", "1000"), ("x", "decimal(9,2)", None), ("", "decimal(9,2)", None), ("1.5", "long", None), (" 5 ", "long", "5"), ("2024-02-30", "date", None), ("1700000000000", "timestamp", "2023-11-14T22:13:20.000000"), ("yes", "boolean", "true"), ("é" * 9000, "string", "é" * 9000)]
+    df = spark.createDataFrame([(i, v, t) for i, (v, t, _) in enumerate(kinds)], "i int, v string, t string")
+    F = __import__("pyspark").sql.functions
+    array = F.array(F.struct(F.lit("k").alias("key"), F.col("v").alias("value"), schema_drift._kind(F.col("t")).alias("kind"), F.col("t").alias("form")))
+    got = [r[0] for r in df.select("i", schema_drift.branches(array)[0]["value"]["canonical"].alias("c")).orderBy("i").select("c").collect()]
+    assert got == [c for _, _, c in kinds]
+
+
 PATHS = [
     ("s3://b/a/x.parquet", ["S3A://b/a/x.parquet", "s3://b/a/./x.parquet", "s3://b//a/y/../x.parquet", "s3://b/%61/x.parquet", "s3a://b/../a/x.parquet"]),
     ("s3://b/a/X.parquet", ["s3://b/a/%58.parquet"]),
