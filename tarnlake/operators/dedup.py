@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.text import identifier, letters
 from tarnlake.operators.incremental import digest
+from tarnlake.plans.shared import materialized
 
 
 def message_identity(key: str = "idempotency_key", task: str = "task_id", state: str = "state") -> Column:
@@ -74,7 +75,8 @@ def repeated_deliveries(messages: DataFrame, identity: Column, order: str) -> Da
     Messages that came once have none; of one that came again, every delivery but that of rank 1 by ``order`` (nulls
     last) is a copy. Rows without identity are no copies. Empty in, empty out.
     """
-    marked = messages.select(order, identity.alias("__identity")).withColumn("__part", _part([order]))
+    # identities cost more than their bytes: they are computed once and read again
+    marked = materialized(messages.select(order, identity.alias("__identity")).filter(F.col("__identity").isNotNull()), "identities").withColumn("__part", _part([order]))
     _, repeated = split_by_frequency(marked, "__identity", "__part")
     return ranked(repeated, "__identity", "__part", [F.asc_nulls_last(order)]).filter("__rank > 1").select(order)
 
