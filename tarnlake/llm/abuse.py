@@ -8,17 +8,21 @@ a positive document are outvoted by their many negative likes.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.plans.shared import spread
+from tarnlake.plans.shared import materialized, spread
+
+#: What readers mark.
+LABELS = ("abusive", "hateful", "sexual")
 
 #: Documented bounds: labelled documents, and characters of theirs, that examples are taken from, about; beyond either
 #: bound they are sampled by a hash of their id.
@@ -36,13 +40,14 @@ OTHER_SCRIPTS = str.maketrans("аеорсхуіјѕкмтнвАЕОРСХУІЈ
 GERMAN = frozenset("der die das und ist ich nicht wir du sie ein eine zu mit nach den dem im für hat".split())
 NAME = "@name"
 _UNSEEN = re.compile("[­​-‏⁠﻿‪-‮]")
-_HYPHENATED = re.compile(r"(?<=\w)[-‐]\s*[\r\n]+\s*(?=\w)")
+_HYPHENATED = re.compile(r"[-‐](?<=\w.)\s*[\r\n]+\s*(?=\w)")
 _FOREIGN = re.compile("[\u0370-\u04ff]")
 # these begin with what is rare in a text, so that most places are passed over at once
 _SPELLED = re.compile(r"[.\-_*·|/~ ](?=[^\W_](?![^\W_]))(?<=(?<![^\W_])[^\W_].)")
 _MIXED = re.compile(r"[^\W\d_]*[\d$@€][\w$@€]*")
-_ASIDE = re.compile(r"\[([^\[\]]{0,2000})\]|<([^<>]{0,2000})>|\(([^()]{0,2000})\)")
-_END = re.compile(r"(?<=[.!?…])[\"'”’»]*\s+|\s[—–-]\s|—|(?<=[.!?…])[“”]|[“”«»]")
+_SIGN = re.compile(r"[\d$@€]")
+_ASIDE = re.compile(r"\[([^\[\]]*)\]|<([^<>]*)>|\(([^()]*)\)")
+_END = re.compile(r"([.!?…])(?:[\"'”’»]*\s+|[“”])|\s[—–-]\s|[—“”«»]")
 _COLON = re.compile(r":\s+(?=\S)")
 _TITLE = re.compile(r" (?<=\S )([\"'“‘(]?)[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{2,}(?:[-’'][^\W\d_]+)*")
 _ONLY_NAME = re.compile(r"\s*(?:(?:Mrs?|Ms|Dr|Sir|The|M|Mme|Herr|Frau)\.?\s+)?[^\W\d_a-zà-ÿ][^\W\d_]+[.,]?\s*")
@@ -77,8 +82,9 @@ def passages(text: str | None) -> list[str]:
     found = []
     for part in (text, *asides):
         part = _SPELLED.sub("", " ".join(part.split()))
-        part = _MIXED.sub(_letters, part)
-        for one in (y for x in _END.split(part) for y in _COLON.split(x)):
+        if _SIGN.search(part):
+            part = " ".join([_MIXED.sub(_letters, w) if _SIGN.search(w) else w for w in part.split(" ")])
+        for one in (y for x in _END.sub(r"\1\n", part).split("\n") for y in _COLON.split(x)):
             if len(GERMAN.intersection(one.split())) < 2:
                 one = NAME if _ONLY_NAME.fullmatch(one) else _TITLE.sub(rf" \1{NAME}", one)
             if one := one.strip().lower():
@@ -92,125 +98,184 @@ def terms(passage: str) -> tuple[str, ...]:
     return (*words, *(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+#: Passages whose bounds are computed at once, and blocks of each that are read before the rest is bounded by what they gave.
+BATCH, FIRST_BLOCKS = 2048, 4
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each (start, count), one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+class Batch:
+    """Passages as rows of term ids and weights of unit length."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray, size: int):
+        self.rows, self.ids, self.weights, self.size = rows, ids, weights, size
+        self.begin = np.searchsorted(rows, np.arange(size + 1))
+
+    def take(self, chosen: np.ndarray) -> Batch:
+        counts = self.begin[chosen + 1] - self.begin[chosen]
+        at = _ranges(self.begin[chosen], counts)
+        return Batch(np.repeat(np.arange(len(chosen)), counts), self.ids[at], self.weights[at], len(chosen))
+
+
 class VoteIndex:
-    """Labelled passages under an inverted index of TF-IDF weights, in blocks with the greatest weight of each term."""
+    """Labelled passages under an inverted index of TF-IDF weights, in blocks with the greatest weight of each term.
+
+    ``examples`` gives each passage's votes: positive ones, all, and positive ones of each label. Passages are asked in
+    batches: bounds of all (passage, block) pairs come from the blocks' greatest weights, and only the pairs whose bound
+    reaches what is needed are multiplied out, block by block.
+    """
 
-    def __init__(self, examples: dict[tuple[str, ...], tuple[float, float]], df: dict[str, int], documents: int):
+    def __init__(self, examples: dict[tuple[str, ...], tuple[float, ...]], df: dict[str, int], documents: int):
         self.documents, self.default = documents, math.log((documents + 1) / 1.0) + 1
-        self.ids: dict[str, int] = {}
-        idf: list[float] = []
-        weighed = []
-        for ts in sorted(examples):
-            for t in ts:
-                if t not in self.ids:
-                    self.ids[t] = len(self.ids)
-                    idf.append(math.log((documents + 1) / (df.get(t, 0) + 1)) + 1)
-        self.idf = np.array(idf, np.float64)
         # passages made after one pattern begin alike: in this order they share blocks, which keeps the bounds close;
         # those with positive votes come first, as without one of them nearby nothing else needs to be read
         order = sorted(examples, key=lambda ts: (examples[ts][0] <= 0, ts))
-        self._positives = sum(examples[ts][0] > 0 for ts in order)
-        self.positive = -(-self._positives // BLOCK)
-        self.votes = np.array([examples[ts] for ts in order], np.float64).reshape(-1, 2)
+        self.positives = sum(examples[ts][0] > 0 for ts in order)
+        self.votes = np.array([examples[ts] for ts in order], np.float64).reshape(len(order), -1 if order else 2 + len(LABELS))
         self.texts = [" ".join(t for t in ts if " " not in t) for ts in order]
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        maxima: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.ids: dict[str, int] = {}
         for ts in order:
-            weighed.append(self._weigh(ts)[:2])
+            for t in ts:
+                self.ids.setdefault(t, len(self.ids))
+        self.idf = np.array([math.log((documents + 1) / (df.get(t, 0) + 1)) + 1 for t in self.ids], np.float64)
+        weighed = self.weigh(order)
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        terms_of, blocks_of, most = [], [], []
         for b, at in enumerate(range(0, len(order), BLOCK)):
-            part = weighed[at : at + BLOCK]
-            local = np.unique(np.concatenate([i for i, _ in part])) if part else np.zeros(0, np.int64)
-            dense = np.zeros((len(local), len(part)), np.float32)
-            for n, (i, w) in enumerate(part):
-                dense[np.searchsorted(local, i), n] = w
+            part = weighed.take(np.arange(at, min(at + BLOCK, len(order))))
+            local, place = np.unique(part.ids, return_inverse=True)
+            dense = np.zeros((len(local), part.size), np.float32)
+            dense[place, part.rows] = part.weights
             self.blocks.append((local, dense))
-            for t, m in zip(local.tolist(), dense.max(axis=1).tolist()):
-                maxima[t].append((b, m))
-        arrays = lambda x: (np.array([b for b, _ in x], np.int32), np.array([m for _, m in x], np.float32))
-        self.maxima = {t: arrays(x) for t, x in maxima.items()}
-        # the same of the blocks with positive examples alone, in which most passages find nothing
-        self.leading = {t: arrays(y) for t, x in maxima.items() if (y := [(b, m) for b, m in x if b < self.positive])}
-
-    def _weigh(self, ts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term ids and weights of unit length; terms without id count in the length only."""
-        counts = Counter(ts)
-        ids, weights, unknown = [], [], 0.0
-        for t, n in counts.items():
-            i = self.ids.get(t)
-            tf = 1 + math.log(n)
-            if i is None:
-                unknown += (tf * self.default) ** 2
-            else:
-                ids.append(i)
-                weights.append(tf * self.idf[i])
-        w = np.array(weights, np.float64)
-        norm = math.sqrt(float(w @ w) + unknown)
-        return np.array(ids, np.int64), (w / norm if norm else w).astype(np.float32)
-
-    @staticmethod
-    def _bounds(maxima: dict[int, tuple[np.ndarray, np.ndarray]], ids: np.ndarray, weights: np.ndarray, blocks: int) -> np.ndarray:
-        """The greatest cosine that any example of each block may have."""
-        bounds = np.zeros(blocks, np.float32)
-        for t, w in zip(ids.tolist(), weights.tolist()):
-            found = maxima.get(t)
-            if found is not None:
-                bounds[found[0]] += w * found[1]
-        return bounds
-
-    def _cosines(self, ids: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
-        local, dense = self.blocks[block]
-        at = np.minimum(np.searchsorted(local, ids), len(local) - 1)
-        same = local[at] == ids
-        return weights[same] @ dense[at[same]]
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` examples of greatest cosine above 0, exactly, greatest first, ties by place. ``ids`` are in order."""
-        bounds = self._bounds(self.maxima, ids, weights, len(self.blocks))
-        sims, places, floor = np.zeros(0, np.float32), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # the margin covers the rounding of sums of single-precision products
-            if bounds[b] <= 0 or bounds[b] + 1e-5 < floor:
-                break
-            new = self._cosines(ids, weights, b)
-            good = np.flatnonzero(new > 0) if floor == 0 else np.flatnonzero(new >= floor)
-            if len(good):
-                sims, places = np.concatenate([sims, new[good]]), np.concatenate([places, b * BLOCK + good])
-                if len(sims) > k:
-                    top = np.lexsort((places, -sims))[:k]
-                    sims, places = sims[top], places[top]
-                if len(sims) == k:
-                    floor = float(sims.min())
-        top = np.lexsort((places, -sims))
-        return list(zip(sims[top].tolist(), places[top].tolist()))
-
-    def _likely(self, ids: np.ndarray, weights: np.ndarray) -> bool:
-        """Whether any example with positive votes has a cosine of ``LEAST`` or more."""
-        bounds = self._bounds(self.leading, ids, weights, self.positive)
-        return any((self._cosines(ids, weights, b) >= LEAST)[: self._positives - b * BLOCK].any() for b in np.flatnonzero(bounds + 1e-5 >= LEAST).tolist())
-
-    def weigh(self, ts: tuple[str, ...], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[float, float, int | None]:
-        """Positive and all votes of the nearest examples, and the one that weighs most for it; none without a positive one of cosine ``LEAST``."""
-        up = total = 0.0
-        evidence, most = None, 0.0
-        ids, weights = self._weigh(ts)
-        sort = np.argsort(ids)
-        ids, weights = ids[sort], weights[sort]
-        if not len(ids) or not self._likely(ids, weights):
-            return 0.0, 0.0, None
-        for sim, i in self.nearest(ids, weights, voters):
-            positive, readings = self.votes[i]
-            w = min(1.0, sim) ** sharpness
-            total += w * readings
-            if sim >= LEAST and w * positive > 0:
-                up += w * positive
-                if w * positive > most:
-                    evidence, most = i, w * positive
-        return float(up), float(total), evidence
-
-    def vote(self, ts: tuple[str, ...]) -> tuple[float, int | None]:
-        """The share of positive votes, and the example that weighs most for it."""
-        up, total, evidence = self.weigh(ts)
-        return (up / (total + PRIOR) if up else 0.0), evidence
+            terms_of.append(local)
+            blocks_of.append(np.full(len(local), b))
+            most.append(dense.max(axis=1, initial=0.0))
+        whole = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        terms_of, self._block, self._most = whole(terms_of, np.int64), whole(blocks_of, np.int64), whole(most, np.float64)
+        by_term = np.argsort(terms_of, kind="stable")  # blocks of a term stay in order
+        self._block, self._most = self._block[by_term], self._most[by_term]
+        self._begin = np.searchsorted(terms_of[by_term], np.arange(len(self.ids) + 1))
+
+    def weigh(self, passages: Sequence[tuple[str, ...]]) -> Batch:
+        """Term ids and weights of unit length of each passage; terms without id count in the length only."""
+        known, unknown = self.ids, {}
+        ids = np.array([known[t] if t in known else -1 - unknown.setdefault(t, len(unknown)) for ts in passages for t in ts], np.int64)
+        rows = np.repeat(np.arange(len(passages)), [len(ts) for ts in passages])
+        # equal terms of a row are counted
+        order = np.lexsort((ids, rows))
+        ids, rows = ids[order], rows[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
+        at = np.flatnonzero(first)
+        tf = 1 + np.log(np.diff(np.append(at, len(ids))))
+        ids, rows = ids[at], rows[at]
+        w = tf * np.where(ids >= 0, self.idf[np.maximum(ids, 0)] if len(self.idf) else 0.0, self.default)
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(passages)))
+        w = (w / np.maximum(norm, 1e-300)[rows]).astype(np.float32)
+        keep = ids >= 0
+        return Batch(rows[keep], ids[keep], w[keep], len(passages))
+
+    def _bounds(self, batch: Batch, blocks: int) -> np.ndarray:
+        """The greatest cosine that any example of each of the first ``blocks`` blocks may have with each passage."""
+        begin, counts = self._begin[batch.ids], self._begin[batch.ids + 1] - self._begin[batch.ids]
+        at = _ranges(begin, counts)
+        rows, w = np.repeat(batch.rows, counts), np.repeat(batch.weights, counts)
+        if blocks < len(self.blocks):
+            inside = self._block[at] < blocks
+            at, rows, w = at[inside], rows[inside], w[inside]
+        return np.bincount(rows * blocks + self._block[at], w * self._most[at], minlength=batch.size * blocks).reshape(batch.size, blocks)
+
+    def _cosines(self, batch: Batch, rows: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(passages, block, cosines with the block's examples) of (passage, block) pairs, block by block."""
+        order = np.argsort(blocks, kind="stable")
+        rows, blocks = rows[order], blocks[order]
+        cuts = np.flatnonzero(np.diff(blocks)) + 1
+        for mine, b in zip(np.split(rows, cuts), blocks[np.append(0, cuts)] if len(blocks) else ()):
+            part = batch.take(mine)
+            local, dense = self.blocks[b]
+            at = np.minimum(np.searchsorted(local, part.ids), len(local) - 1)
+            same = local[at] == part.ids
+            asked = np.zeros((len(mine), len(local)), np.float32)
+            asked[part.rows[same], at[same]] = part.weights[same]
+            yield mine, int(b), asked @ dense
+
+    def likely(self, batch: Batch) -> np.ndarray:
+        """Whether any example with positive votes has a cosine of ``LEAST`` or more, of each passage."""
+        found = np.zeros(batch.size, bool)
+        blocks = -(-self.positives // BLOCK)
+        if blocks and len(batch.ids):
+            rows, asked = np.nonzero(self._bounds(batch, blocks) + 1e-5 >= LEAST)
+            for mine, b, sims in self._cosines(batch, rows, asked):
+                found[mine[(sims[:, : self.positives - b * BLOCK] >= LEAST).any(axis=1)]] = True
+        return found
+
+    def nearest(self, batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, example, cosine) of the ``k`` examples of greatest cosine above 0 of each passage, exactly; ties by place."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if not self.blocks or not len(batch.ids):
+            return none
+        bounds = self._bounds(batch, len(self.blocks))
+        floor, found = np.zeros(batch.size, np.float32), [none]
+
+        def read(rows: np.ndarray, blocks: np.ndarray) -> None:
+            for mine, b, sims in self._cosines(batch, rows, blocks):
+                r, c = np.nonzero((sims > 0) & (sims >= floor[mine][:, None]))
+                found.append((mine[r], b * BLOCK + c, sims[r, c]))
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows, places, sims = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((places, -sims, rows))
+            rows, places, sims = rows[order], places[order], sims[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            return rows[rank < k], places[rank < k], sims[rank < k]
+
+        some = min(FIRST_BLOCKS, len(self.blocks))
+        first = np.argpartition(-bounds, some - 1, axis=1)[:, :some]
+        rows = np.repeat(np.arange(batch.size), some)
+        good = np.take_along_axis(bounds, first, axis=1).ravel() > 0
+        read(rows[good], first.ravel()[good])
+        found[:] = [best()]
+        counts = np.bincount(found[0][0], minlength=batch.size)
+        full = counts >= k
+        ends = np.cumsum(counts)
+        floor[full] = found[0][2][ends[full] - 1]
+        np.put_along_axis(bounds, first, 0.0, axis=1)
+        # the margin covers the rounding of sums of single-precision products
+        read(*np.nonzero((bounds > 0) & (bounds + 1e-5 >= floor[:, None])))
+        return best()
+
+    def ask(self, passages: Sequence[tuple[str, ...]], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[np.ndarray, np.ndarray]:
+        """Of each passage the votes of its nearest examples (positive, all, positive of each label), and the example that weighs most for it.
+
+        Votes weigh the cosine to the power of ``sharpness``; without a positive example of cosine ``LEAST`` all are 0
+        and the example is -1.
+        """
+        sums, evidence = np.zeros((len(passages), self.votes.shape[1])), np.full(len(passages), -1)
+        asked: list[int] = []
+        for at in range(0, len(passages), BATCH):
+            asked += (at + np.flatnonzero(self.likely(self.weigh(passages[at : at + BATCH])))).tolist()
+        for at in range(0, len(asked), BATCH):
+            mine = np.array(asked[at : at + BATCH])
+            rows, places, sims = self.nearest(self.weigh([passages[i] for i in mine]), voters)
+            w = np.minimum(1.0, sims.astype(np.float64)) ** sharpness
+            near = sims >= LEAST
+            for c in range(self.votes.shape[1]):
+                sums[mine, c] = np.bincount(rows, w * self.votes[places, c] * (near if c != 1 else 1), minlength=len(mine))
+            heavy = w * self.votes[places, 0] * near
+            order = np.lexsort((-heavy, rows))
+            top = order[np.searchsorted(rows[order], np.unique(rows))]
+            top = top[heavy[top] > 0]
+            evidence[mine[rows[top]]] = places[top]
+        return sums, evidence
+
+    def vote(self, passages: Sequence[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """The share of positive votes (any label, then each) of each passage, and the example that weighs most for it."""
+        sums, evidence = self.ask(passages)
+        return sums[:, [0, *range(2, sums.shape[1])]] / (sums[:, 1:2] + PRIOR), evidence
 
 
 #: How the witnesses of positive readings are found: examples asked and sharpness (a wide, soft look), the least share of
@@ -223,41 +288,43 @@ WIDE, SOFT, SUSPECT, NEAR_BEST = 40, 3, 0.35, 0.85
 COMMON, DOUBT = 0.004, 100
 
 
-def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[float]], df: dict[str, int], documents: int) -> dict[tuple[str, ...], tuple[float, float]]:
-    """Examples with the positive and all votes of each: a positive reading counts for the passages that bear it out.
+Readings = dict[int, list[tuple[float, ...]]]
+
 
-    Readings are of whole documents, and readers err. A first index gives each passage its document's readings; a wide
-    look at its neighbours, and how rare it is in all documents, tell how suspicious it is. A positive reading then goes to the document's most suspicious
-    passages, and to none if nothing stands out; for its other passages it counts as negative.
+def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int) -> dict[tuple[str, ...], tuple[float, ...]]:
+    """Examples with the votes of each: a positive reading counts for the passages that bear it out.
+
+    Readings (any label, then each) are of whole documents, and readers err. A first index gives each passage its
+    document's readings; a wide look at its neighbours, and how rare it is in all documents, tell how suspicious it is. A
+    positive reading then goes to the document's most suspicious passages, and to none if nothing stands out; for its
+    other passages it counts as negative.
     """
 
-    def collect(share) -> dict[tuple[str, ...], tuple[float, float]]:
-        votes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
+    def collect(share) -> dict[tuple[str, ...], tuple[float, ...]]:
+        votes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0] * (2 + len(LABELS)))
         for doc, rs in readings.items():
             own = set(texts.get(doc, ()))
-            chosen = share(own) if sum(rs) else own
+            sums = [sum(x) for x in zip(*rs)]
+            chosen = share(own) if sums[0] else own
             for p in own:
-                votes[p][0] += sum(rs) if p in chosen else 0.0
-                votes[p][1] += len(rs)
-        return {p: (a, b) for p, (a, b) in votes.items()}
-
-    raw = collect(lambda own: own)
-    index = VoteIndex(raw, df, documents)
-
-    positive = sum(map(sum, readings.values())) / max(1, sum(map(len, readings.values())))
-
-    def judge(p: tuple[str, ...]) -> tuple[float, float]:
-        """How suspicious a passage is on its own, and among those of its document."""
+                v = votes[p]
+                v[1] += len(rs)
+                if p in chosen:
+                    v[0] += sums[0]
+                    for i, n in enumerate(sums[1:], 2):
+                        v[i] += n
+        return {p: tuple(v) for p, v in votes.items()}
+
+    index = VoteIndex(collect(lambda own: own), df, documents)
+    positive = sum(r[0] for rs in readings.values() for r in rs) / max(1, sum(map(len, readings.values())))
+    doubted = sorted({p for doc, rs in readings.items() if any(r[0] for r in rs) for p in texts.get(doc, ())})
+    suspicion: dict[tuple[str, ...], tuple[float, float]] = {}
+    for p, (up, total) in zip(doubted, index.ask(doubted, WIDE, SOFT)[0][:, :2].tolist()):
         common = min((df.get(t, 0) for t in p), default=0) / max(documents, 1)
-        up, total, _ = index.weigh(p, WIDE, SOFT)
         alone = up / (total + PRIOR + DOUBT * common / positive / max(1.0, up) ** 2) if up else 0.0
-        return alone, alone / (1 + common / COMMON)
-
-    suspicion: dict[tuple[str, ...], tuple[float, float]] = {}
+        suspicion[p] = alone, alone / (1 + common / COMMON)
 
     def stands_out(own: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
-        for p in [p for p in own if p not in suspicion]:
-            suspicion[p] = judge(p)
         best = max((suspicion[p][1] for p in own), default=0.0)
         return {p for p in own if suspicion[p][0] >= SUSPECT and suspicion[p][1] >= NEAR_BEST * best}
 
@@ -269,28 +336,10 @@ class Model:
 
     def __init__(self, index: VoteIndex, steps: list[tuple[float, float]]):
         self.index, self.steps = index, steps
-        self._known: dict[str, tuple[float, int | None]] = {}
-
-    def vote(self, passage: str) -> tuple[float, int | None]:
-        found = self._known.get(passage)
-        if found is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            found = self._known[passage] = self.index.vote(terms(passage))
-        return found
 
-    def calibrated(self, vote: float) -> float:
-        """The share of positive readings among documents with about this vote, rising with it."""
-        return float(np.interp(vote, [v for v, _ in self.steps], [p for _, p in self.steps])) if self.steps else vote
-
-    def score(self, text: str | None) -> tuple[float, str | None, str | None]:
-        """The greatest vote of the text's passages, that passage and the example it is most like; 0 and nulls for none."""
-        best: tuple[float, str | None, int | None] = (0.0, None, None)
-        for p in passages(text):
-            v, example = self.vote(p)
-            if v > best[0]:
-                best = (v, p, example)
-        return best[0], best[1], None if best[2] is None else self.index.texts[best[2]]
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        """The share of positive readings among documents with about these votes, rising with them."""
+        return np.interp(votes, [v for v, _ in self.steps], [p for _, p in self.steps]) if self.steps else votes
 
 
 def rising_steps(votes: list[float], readings: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -304,92 +353,131 @@ def rising_steps(votes: list[float], readings: list[tuple[float, float]]) -> lis
     return [(a / n, p / n) for a, p, n in pools]
 
 
-def fit(texts: dict[int, list[tuple[str, ...]]], readings: dict[int, list[float]], df: dict[str, int], documents: int) -> Model:
-    """The model of labelled documents; calibrated on halves of them by an index of the other half."""
-    halves = [{d: r for d, r in readings.items() if d % 2 == h} for h in (0, 1)]
+def _half(doc: int) -> int:
+    return hashlib.md5(str(doc).encode()).digest()[0] & 1
+
+
+def fit(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int) -> Model:
+    """The model of labelled documents; calibrated on halves of them, by a hash of their id, by an index of the other half."""
+    halves = [{d: r for d, r in readings.items() if _half(d) == h} for h in (0, 1)]
     votes, shares = [], []
     for mine, other in (halves, halves[::-1]):
         if mine and other:
             index = VoteIndex(witnesses(texts, other, df, documents), df, documents)
-            known: dict[tuple[str, ...], float] = {}
+            asked = sorted({p for d in mine for p in texts.get(d, ())})
+            known = dict(zip(asked, index.vote(asked)[0][:, 0].tolist()))
             for d, rs in mine.items():
-                own = set(texts.get(d, ()))
-                known |= {p: index.vote(p)[0] for p in own if p not in known}
-                votes.append(max((known[p] for p in own), default=0.0))
-                shares.append((sum(rs), float(len(rs))))
+                votes.append(max((known[p] for p in texts.get(d, ())), default=0.0))
+                shares.append((sum(r[0] for r in rs), float(len(rs))))
     return Model(VoteIndex(witnesses(texts, readings, df, documents), df, documents), rising_steps(votes, shares))
 
 
+def cut_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, passages) of every row, written once: the distinct passages of its text, none for null and blank texts."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = pa.array([list(dict.fromkeys(passages(t))) for t in part.column(2).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["doc_id", "source", "passages"])
+
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
+    return materialized(spread(rows, "doc_id").mapInArrow(cut, "doc_id bigint, source string, passages array<string>"), "passages")
+
+
 def _readings(labels: DataFrame) -> DataFrame:
-    """(doc_id, readings): 1 or 0 of each reader of a document, 1 if any of the three is; a reading of nulls alone is none."""
-    one = F.greatest("abusive", "hateful", "sexual")
-    return labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "annotator").agg(F.max(one).alias("r")).filter("r is not null").groupBy("doc_id").agg(F.collect_list(F.col("r").cast("double")).alias("readings"))
+    """(doc_id, readings): of each reader of a document 1 or 0 for any label and for each; a reading of nulls alone is none."""
+    one = F.greatest(*LABELS)
+    each = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "annotator").agg(F.max(one).alias("any"), *[F.max(c).alias(c) for c in LABELS]).filter("any is not null")
+    parts = [F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("any", *LABELS)]
+    return each.groupBy("doc_id").agg(F.collect_list(F.array(*parts)).alias("readings"))
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model from the labelled documents; document frequencies are counted over all of ``documents``.
+def train(cut: DataFrame, labels: DataFrame) -> Model:
+    """The model from the labelled ones of ``cut_documents``; document frequencies are counted over all of them.
 
-    Without labels, or without positive ones, all votes are 0.
+    Without labels, or without positive ones, all votes are 0. Rows of one id are taken together.
     """
-    labelled = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(_readings(labels), "doc_id")
-    n, chars = labelled.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    labelled = cut.filter(F.size("passages") > 0).select("doc_id", "passages").join(_readings(labels), "doc_id")
+    n, chars = labelled.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("passages", " "))), F.lit(0))).first()
     share = min(1.0, MOST_LABELLED / max(n, 1), MOST_CHARACTERS / max(chars, 1))
     sample = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("labelled")), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts, readings = {}, {}
-    for row in sample.collect():
-        texts[row["doc_id"]] = [terms(p) for p in passages(row["text"])]
-        readings[row["doc_id"]] = list(row["readings"])
+    texts: dict[int, list[tuple[str, ...]]] = defaultdict(list)
+    readings: Readings = {}
+    for row in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["passages"])):
+        texts[row["doc_id"]] += [terms(p) for p in row["passages"]]
+        readings[row["doc_id"]] = sorted(map(tuple, row["readings"]))
     vocabulary = {t: i for i, t in enumerate(sorted({t for ps in texts.values() for p in ps for t in p}))}
-    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = cut.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, totals, n = known.value, np.zeros(len(known.value), np.int64), 0
+        ids, totals, n, known = shared.value, np.zeros(len(shared.value), np.int64), 0, {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for own in batch.column(0).to_pylist():
                 n += 1
-                mine = {ids.get(t) for p in passages(text) for t in terms(p)}
-                mine.discard(None)
+                mine: set[int] = set()
+                for p in own:
+                    found = known.get(p)
+                    if found is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        found = known[p] = [ids[t] for t in terms(p) if t in ids]
+                    mine.update(found)
                 totals[list(mine)] += 1
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *totals[some].tolist()], pa.int64())], names=["term", "n"])
 
-    counts = {r["term"]: r["n"] for r in spread(documents.select("text"), "text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["term"]: r["n"] for r in cut.select("passages").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return fit(texts, readings, {t: counts.get(i, 0) for t, i in vocabulary.items()}, counts.get(-1, 0))
 
 
+_SCORED = ["score", "vote", *LABELS]
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, source, score, vote, passage, likeness) of every document.
+    """(doc_id, source, score, vote, abusive, hateful, sexual, passage, likeness) of every document.
 
-    ``vote`` is the greatest vote of the document's passages, wherever in the text; ``score`` is calibrated: the share of
-    positive readings among documents with such votes. ``passage`` and ``likeness`` are the evidence: the passage in plain
-    spelling and the labelled example it is most like. Null, empty and blank texts have vote 0; repeated rows stay.
+    ``vote`` is the greatest vote of the document's passages, wherever in the text, and each label's vote is that
+    label's share at that passage; ``score`` is calibrated: the share of positive readings among documents with such
+    votes. ``passage`` and ``likeness`` are the evidence: the passage in plain spelling and the labelled example it is
+    most like. Null, empty and blank texts have vote 0; repeated rows stay.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model or train(documents, labels))
+    cut = cut_documents(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(model or train(cut, labels))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = shared.value
+        m, known = shared.value, {}
         for batch in batches:
-            found = [m.score(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([m.calibrated(v) for v, _, _ in found], pa.float64()),
-                    pa.array([v for v, _, _ in found], pa.float64()),
-                    pa.array([p for _, p, _ in found], pa.string()),
-                    pa.array([e for _, _, e in found], pa.string()),
-                ],
-                names=["doc_id", "source", "score", "vote", "passage", "likeness"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return spread(rows, "doc_id").mapInArrow(
-        score, "doc_id bigint, source string, score double, vote double, passage string, likeness string"
-    )
+            lists = batch.column(2).to_pylist()
+            # each passage is scored once in a task, all new ones of a batch together
+            new = [p for p in dict.fromkeys(p for own in lists for p in own) if p not in known]
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(dict.fromkeys(p for own in lists for p in own))
+            votes, evidence = m.index.vote([terms(p) for p in new])
+            known.update(zip(new, zip(votes.tolist(), evidence.tolist())))
+            best = []
+            for own in lists:
+                top, at = [0.0] * (1 + len(LABELS)), (None, None)
+                for p in own:
+                    v, example = known[p]
+                    if v[0] > top[0]:
+                        top, at = v, (p, m.index.texts[example])
+                best.append((top, at))
+            vote = np.array([v for v, _ in best], np.float64).reshape(len(best), -1)
+            found = [pa.array(m.calibrated(vote[:, 0]), pa.float64()), *(pa.array(vote[:, i], pa.float64()) for i in range(vote.shape[1]))]
+            texts = [pa.array([x[i] for _, x in best], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *texts], names=["doc_id", "source", *_SCORED, "passage", "likeness"])
+
+    kinds = ", ".join(f"{c} double" for c in _SCORED)
+    return cut.mapInArrow(score, f"doc_id bigint, source string, {kinds}, passage string, likeness string")
 
 
 def found_documents(documents: DataFrame, labels: DataFrame, threshold: float = FOUND) -> DataFrame:

@@ -47,13 +47,29 @@ def test_index_is_exact():
     docs, _ = corpus(120)
     all_terms = [abuse.terms(p) for _, t, _ in docs for p in abuse.passages(t)]
     df = Counter(t for ts in all_terms for t in set(ts))
-    examples = {ts: (float(i % 7 == 0), 1.0) for i, ts in enumerate(all_terms)}
+    examples = {ts: (float(i % 7 == 0), 1.0, 0.0, 0.0, 0.0) for i, ts in enumerate(all_terms)}
     index = abuse.VoteIndex(examples, df, len(docs))
-    for ts in [*all_terms[:40], abuse.terms("you are a new sort of toad"), abuse.terms("zzz")]:
-        ids, w = index._weigh(ts)
-        order = np.argsort(ids)
-        got = [s for s, _ in index.nearest(ids[order], w[order], 10)] if len(ids) else []
-        assert np.allclose(got, exact(index, examples, ts, df, len(docs), 10), atol=1e-5)
+    asked = [*all_terms[:40], abuse.terms("you are a new sort of toad"), abuse.terms("zzz"), (), abuse.terms("toad toad zzz zzz")]
+    rows, places, sims = index.nearest(index.weigh(asked), 10)
+    likely = index.likely(index.weigh(asked))
+    for i, ts in enumerate(asked):
+        assert np.allclose(sims[rows == i], exact(index, examples, ts, df, len(docs), 10), atol=1e-5)
+        positive = exact(index, [e for e in examples if examples[e][0]], ts, df, len(docs), 1)
+        assert likely[i] == bool(positive and positive[0] >= abuse.LEAST)
+
+
+def test_votes_of_a_batch_are_those_of_each():
+    docs, truth = corpus(200)
+    texts = {i: [abuse.terms(p) for p in abuse.passages(t)] for i, t, _ in docs}
+    df = Counter(t for ps in texts.values() for t in {t for p in ps for t in p})
+    readings = {i: [(float(i in truth), float(i in truth), 0.0, 0.0)] for i in texts}
+    index = abuse.VoteIndex(abuse.witnesses(texts, readings, df, len(docs)), df, len(docs))
+    asked = sorted({p for ps in texts.values() for p in ps})
+    votes, evidence = index.vote(asked)
+    assert (votes[:, 0] > 0).any() and (votes[:, 2:] == 0).all() and (votes[:, 0] == votes[:, 1]).all()
+    for i in range(0, len(asked), 7):
+        one, example = index.vote([asked[i]])
+        assert np.allclose(one[0], votes[i], atol=1e-9) and example[0] == evidence[i]
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -70,6 +86,8 @@ def test_held_out_accuracy_and_edges(spark):
     assert len((found - truth) & held_out) <= 3
     assert scores.count() == len(docs) + len(extra)
     rates = {r["source"]: r for r in abuse.source_rates(scores).collect()}
+    top = scores.filter("doc_id = 1004").first()
+    assert top["abusive"] == top["vote"] > top["hateful"] and top["sexual"] == 0 and "toad" in top["passage"]
     assert set(rates) == {"plenary", "committee", None} and rates["plenary"]["documents"] == 200
     none = spark.createDataFrame([], labelled.schema)
     assert abuse.found_documents(documents, none).count() == 0
