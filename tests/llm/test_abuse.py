@@ -37,7 +37,7 @@ def exact(index, examples, ts, df, documents, k):
     sims = []
     for e in examples:
         w = weigh(e)
-        s = sum(x * q[t] for t, x in w.items() if t in q and t in index.ids) / norm(q) / norm(w)
+        s = sum(x * q[t] for t, x in w.items() if t in q and t in index.ids) / (norm(q) * norm(w) or 1)
         if s > 0:
             sims.append(s)
     return sorted(sims, reverse=True)[:k]
