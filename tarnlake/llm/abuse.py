@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.plans.shared import materialized, spread
@@ -155,10 +156,15 @@ class VoteIndex:
             blocks_of.append(np.full(len(local), b))
             most.append(dense.max(axis=1, initial=0.0))
         whole = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        terms_of, self._block, self._most = whole(terms_of, np.int64), whole(blocks_of, np.int64), whole(most, np.float64)
-        by_term = np.argsort(terms_of, kind="stable")  # blocks of a term stay in order
-        self._block, self._most = self._block[by_term], self._most[by_term]
-        self._begin = np.searchsorted(terms_of[by_term], np.arange(len(self.ids) + 1))
+        terms_of, blocks_of, most = whole(terms_of, np.int64), whole(blocks_of, np.int64), whole(most, np.float64)
+
+        def postings(blocks: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+            """The blocks of each term among the first ``blocks`` with its greatest weight there."""
+            of_term = np.argsort(np.where(blocks_of < blocks, terms_of, len(self.ids)), kind="stable")[: int((blocks_of < blocks).sum())]
+            return blocks, np.searchsorted(terms_of[of_term], np.arange(len(self.ids) + 1)), blocks_of[of_term], most[of_term]
+
+        # most passages find nothing in the blocks with positive examples, so those have postings of their own
+        self._leading, self._all = postings(-(-self.positives // BLOCK)), postings(len(self.blocks))
 
     def weigh(self, passages: Sequence[tuple[str, ...]]) -> Batch:
         """Term ids and weights of unit length of each passage; terms without id count in the length only."""
@@ -179,15 +185,14 @@ class VoteIndex:
         keep = ids >= 0
         return Batch(rows[keep], ids[keep], w[keep], len(passages))
 
-    def _bounds(self, batch: Batch, blocks: int) -> np.ndarray:
-        """The greatest cosine that any example of each of the first ``blocks`` blocks may have with each passage."""
-        begin, counts = self._begin[batch.ids], self._begin[batch.ids + 1] - self._begin[batch.ids]
+    @staticmethod
+    def _bounds(batch: Batch, postings: tuple[int, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The greatest cosine that any example of each block may have with each passage."""
+        blocks, begin, block, most = postings
+        begin, counts = begin[batch.ids], begin[batch.ids + 1] - begin[batch.ids]
         at = _ranges(begin, counts)
-        rows, w = np.repeat(batch.rows, counts), np.repeat(batch.weights, counts)
-        if blocks < len(self.blocks):
-            inside = self._block[at] < blocks
-            at, rows, w = at[inside], rows[inside], w[inside]
-        return np.bincount(rows * blocks + self._block[at], w * self._most[at], minlength=batch.size * blocks).reshape(batch.size, blocks)
+        cell = np.repeat(batch.rows * blocks, counts) + block[at]
+        return np.bincount(cell, np.repeat(batch.weights, counts) * most[at], minlength=batch.size * blocks).reshape(batch.size, blocks)
 
     def _cosines(self, batch: Batch, rows: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(passages, block, cosines with the block's examples) of (passage, block) pairs, block by block."""
@@ -206,9 +211,8 @@ class VoteIndex:
     def likely(self, batch: Batch) -> np.ndarray:
         """Whether any example with positive votes has a cosine of ``LEAST`` or more, of each passage."""
         found = np.zeros(batch.size, bool)
-        blocks = -(-self.positives // BLOCK)
-        if blocks and len(batch.ids):
-            rows, asked = np.nonzero(self._bounds(batch, blocks) + 1e-5 >= LEAST)
+        if self.positives and len(batch.ids):
+            rows, asked = np.nonzero(self._bounds(batch, self._leading) + 1e-5 >= LEAST)
             for mine, b, sims in self._cosines(batch, rows, asked):
                 found[mine[(sims[:, : self.positives - b * BLOCK] >= LEAST).any(axis=1)]] = True
         return found
@@ -218,7 +222,7 @@ class VoteIndex:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         if not self.blocks or not len(batch.ids):
             return none
-        bounds = self._bounds(batch, len(self.blocks))
+        bounds = self._bounds(batch, self._all)
         floor, found = np.zeros(batch.size, np.float32), [none]
 
         def read(rows: np.ndarray, blocks: np.ndarray) -> None:
@@ -357,19 +361,33 @@ def _half(doc: int) -> int:
     return hashlib.md5(str(doc).encode()).digest()[0] & 1
 
 
-def fit(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int) -> Model:
-    """The model of labelled documents; calibrated on halves of them, by a hash of their id, by an index of the other half."""
-    halves = [{d: r for d, r in readings.items() if _half(d) == h} for h in (0, 1)]
-    votes, shares = [], []
-    for mine, other in (halves, halves[::-1]):
-        if mine and other:
-            index = VoteIndex(witnesses(texts, other, df, documents), df, documents)
-            asked = sorted({p for d in mine for p in texts.get(d, ())})
-            known = dict(zip(asked, index.vote(asked)[0][:, 0].tolist()))
-            for d, rs in mine.items():
-                votes.append(max((known[p] for p in texts.get(d, ())), default=0.0))
-                shares.append((sum(r[0] for r in rs), float(len(rs))))
-    return Model(VoteIndex(witnesses(texts, readings, df, documents), df, documents), rising_steps(votes, shares))
+def _held_out(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int, half: int) -> list[tuple[float, float, float]]:
+    """(vote, positive readings, readings) of the documents of one half, by a hash of their id, by an index of the other half."""
+    mine, other = ({d: r for d, r in readings.items() if (_half(d) == half) == own} for own in (True, False))
+    if not mine or not other:
+        return []
+    index = VoteIndex(witnesses(texts, other, df, documents), df, documents)
+    asked = sorted({p for d in mine for p in texts.get(d, ())})
+    known = dict(zip(asked, index.vote(asked)[0][:, 0].tolist()))
+    return [(max((known[p] for p in texts.get(d, ())), default=0.0), sum(r[0] for r in rs), float(len(rs))) for d, rs in mine.items()]
+
+
+def fit(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int, spark: SparkSession) -> Model:
+    """The model of labelled documents, calibrated on halves of them; the index and both halves are each fitted in a task."""
+    shared = spark.sparkContext.broadcast((texts, readings, df, documents))
+
+    def part(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                texts, readings, df, documents = shared.value
+                made = _held_out(texts, readings, df, documents, n) if n < 2 else VoteIndex(witnesses(texts, readings, df, documents), df, documents)
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([pickle.dumps(made)], pa.binary())], names=["part", "made"])
+
+    made = {r["part"]: pickle.loads(r["made"]) for r in spark.range(0, 3, 1, 3).mapInArrow(part, "part bigint, made binary").collect()}
+    held_out = made[0] + made[1]
+    return Model(made[2], rising_steps([v for v, _, _ in held_out], [(p, n) for _, p, n in held_out]))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
@@ -433,7 +451,7 @@ def train(cut: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *totals[some].tolist()], pa.int64())], names=["term", "n"])
 
     counts = {r["term"]: r["n"] for r in cut.select("passages").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return fit(texts, readings, {t: counts.get(i, 0) for t, i in vocabulary.items()}, counts.get(-1, 0))
+    return fit(texts, readings, {t: counts.get(i, 0) for t, i in vocabulary.items()}, counts.get(-1, 0), cut.sparkSession)
 
 
 _SCORED = ["score", "vote", *LABELS]
