@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Edges kept per point, width of the beam, and how much longer a detour must be for an edge to be dropped.
-DEGREE, BEAM, RELAX = 24, 40, 1.2
+DEGREE, BEAM, RELAX = 16, 20, 1.2
 _BATCH = 512
 
 
@@ -32,17 +32,19 @@ class SearchGraph:
     def search(self, queries: np.ndarray, beam: int | None = None, visited: bool = False, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids and inner products of the ``beam`` best points that a greedy walk of each query reaches, best first.
 
-        ``first`` gives points to begin with besides the common starts. Missing results have id -1.
+        ``first`` gives points to begin with besides the common starts, -1 for none. Missing results have id -1.
         """
         beam = min(beam or self.beam, max(1, len(self.vectors)))
         b = len(queries)
         begin = np.broadcast_to(self.starts, (b, len(self.starts)))
         if first is not None:
-            begin = np.concatenate([begin, first], axis=1)
+            begin = np.concatenate([begin, np.where(np.isin(first, self.starts), -1, first)], axis=1)
         ids, sims = self._best(begin.astype(np.int64), self._similar(queries, begin), beam)
         seen = np.zeros((b, len(self.vectors)), bool)
         at = np.arange(b)[:, None]
         np.put_along_axis(seen, np.maximum(begin, 0).astype(np.int64), True, axis=1)
+        if seen.shape[1]:
+            seen[:, 0] = (begin == 0).any(axis=1)
         done = ids < 0
         active = np.arange(b)
         while len(active):
@@ -100,7 +102,7 @@ class SearchGraph:
         ids = np.sort(ids, axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
         sims = self._similar(self.vectors[points], ids)
-        ids, sims = self._best(ids, sims, min(ids.shape[1], 3 * self.degree))
+        ids, sims = self._best(ids, sims, min(ids.shape[1], 2 * self.degree))
         block = self.vectors[np.maximum(ids, 0)]
         between = np.matmul(block, block.transpose(0, 2, 1))
         # squared distances of unit vectors are 2 - 2 * product; the factor of 2 cancels out
@@ -144,10 +146,16 @@ class SearchGraph:
             at += len(batch)
 
     def _join_back(self, sources: np.ndarray, targets: np.ndarray) -> None:
-        """Edges back from each target; targets with too many are pruned again."""
+        """Edges back from each target, the nearest first; targets with too many are pruned again.
+
+        Of those that a batch adds to one target, the nearest ``2 * degree`` are candidates: pruning takes the nearest
+        first, so what is farther could only be kept in a place that is left over.
+        """
         ok = targets >= 0
-        order = np.argsort(targets[ok], kind="stable")
-        sources, targets = sources[ok][order], targets[ok][order].astype(np.int64)
+        sources, targets = sources[ok], targets[ok].astype(np.int64)
+        near = np.einsum("nd,nd->n", self.vectors[sources], self.vectors[targets])
+        order = np.lexsort((-near, targets))
+        sources, targets = sources[order], targets[order]
         points, begins, counts = np.unique(targets, return_index=True, return_counts=True)
         slot = np.arange(len(targets)) - np.repeat(begins, counts)
         for lo in range(0, len(points), _BATCH * 2):

@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector, by search graphs over shards of the collection.
 
-Vectors are routed to the shards of their nearest centroids; a task builds the graph of its shard (greedy searches
+Vectors are routed to the clusters of their nearest centroids, on two levels where there are too many for one; a task builds the graph of its shard (greedy searches
 propose neighbours, relaxed distance pruning keeps diverse edges) and searches it for the vectors of the shard. Exact
 copies are one point of a graph, so that a vector repeated without end costs no more than one. Points of one direction
 (copies of other length) share a place in the graph and are compared one by one; where more candidates tie than a walk
@@ -19,9 +19,10 @@ from tarnlake.llm.graph_index import BEAM, DEGREE, RELAX, SearchGraph
 from tarnlake.plans.shared import materialized
 from tarnlake.plans.skew import salted_join
 
-#: Documented bounds: vectors that centroids are fitted on, centroids per dimension count, vectors of a cluster aimed
-#: at, shards that a vector is put in, vectors of a graph before its cluster is split.
-SAMPLE, MOST_CLUSTERS, CLUSTER_SIZE, ROUTES, GRAPH_SIZE = 20_000, 1024, 4000, 2, 16_000
+#: Documented bounds: vectors that the centroids of a dimension count, or of one of its clusters, are fitted on;
+#: centroids of one fit; vectors of a cluster aimed at; clusters that a vector is put in; vectors of a graph before its
+#: cluster is split; vectors that a task routes to the inner clusters of a cluster at once.
+SAMPLE, MOST_CLUSTERS, CLUSTER_SIZE, ROUTES, GRAPH_SIZE, SLICE = 20_000, 1024, 4000, 2, 16_000, 50_000
 #: Fixed value: distance of unit vectors of one direction; float32 copies of other length come within about 1e-7.
 NEAR = 1e-6
 
@@ -86,8 +87,20 @@ def _centroids(sample: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def _routing(vectors: DataFrame, sample: int, routes: int, cluster_size: int, graph_size: int) -> dict[int, tuple[np.ndarray, list[int]]]:
-    """Of each dimension count, the centroids and into how many graphs each cluster is split; fitted on at most about ``sample`` vectors each."""
+def _fitted(unit: np.ndarray, k: int, n: float, routes: int, graph_size: int) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """``k`` centroids of a sample ``unit`` of ``n`` vectors, into how many graphs each cluster is split, and the cluster's vectors, about."""
+    centres = _centroids(unit, k)
+    near = np.argsort(-(unit.astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :routes]
+    size = np.bincount(near.ravel(), minlength=k) * (n / len(unit))
+    return centres, [int(x) for x in np.maximum(1, np.ceil(size / graph_size))], size
+
+
+def _routing(vectors: DataFrame, sample: int, routes: int, cluster_size: int, graph_size: int, most: int) -> dict[int, tuple[np.ndarray, list[int], np.ndarray | None]]:
+    """Of each dimension count: centroids, into how many graphs each cluster is split, and, where the clusters have clusters of their own, their sizes.
+
+    Up to ``most`` clusters of ``cluster_size`` there is one level. Beyond, the clusters of the first level are as many
+    as each is to have of the second, so that a vector is compared with about the root of all clusters on either.
+    """
     counts = {r["dimensions"]: r["n"] for r in vectors.groupBy("dimensions").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -99,14 +112,22 @@ def _routing(vectors: DataFrame, sample: int, routes: int, cluster_size: int, gr
         if not mine.num_rows:
             mine = vectors.filter(F.col("dimensions") == d).limit(1).toArrow()
         unit = _unit(np.stack(mine.column("vectors").to_numpy()))
-        k = int(min(MOST_CLUSTERS, max(4, -(-n // cluster_size)), len(unit)))
-        centres = _centroids(unit, k)
-        near = np.argsort(-(unit.astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :routes]
-        size = np.bincount(near.ravel(), minlength=k) * (n / len(unit))
-        routing[d] = (centres, [int(x) for x in np.maximum(1, np.ceil(size / graph_size))])
+        wanted = max(4, -(-n // cluster_size))
+        deep = wanted > most
+        k = int(min(most, len(unit), np.ceil(np.sqrt(wanted)) if deep else wanted))
+        centres, parts, size = _fitted(unit, k, n, routes, graph_size)
+        routing[d] = (centres, parts, size if deep else None)
     return routing
 
 
+def _spread_over_parts(reps: np.ndarray, row: np.ndarray, cluster: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cluster, part, stored): each graph of a split cluster is asked, one of them stores the vector."""
+    n = parts[cluster]
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, cluster, n = np.repeat(row, n), np.repeat(cluster, n), np.repeat(n, n)
+    return row, cluster, part, part == reps[row] * 0x9E3779B1 % (1 << 31) % n
+
+
 def _compare(queries: np.ndarray, asking: np.ndarray, unit: np.ndarray, rows: np.ndarray, n: int, into: list[list[tuple]]) -> None:
     """Add to ``into`` of each query in ``asking`` the ``n`` most similar of ``rows`` (ascending, so by smallest id if tied) with their similarity."""
     for part in np.array_split(asking, -(-len(asking) // 64)) if len(asking) else ():
@@ -116,7 +137,8 @@ def _compare(queries: np.ndarray, asking: np.ndarray, unit: np.ndarray, rows: np
             into[i].extend(zip(r, s))
 
 
-_PLACED = "d int, cluster int, part int, stored boolean, home boolean, rep bigint, ids array<bigint>, vectors array<float>"
+_ROUTED = "d int, outer int, first boolean, rep bigint, ids array<bigint>, vectors array<float>"
+_PLACED = "d int, cluster bigint, part int, stored boolean, rep bigint, ids array<bigint>, vectors array<float>"
 _FOUND = "rep bigint, near array<struct<loss:double,id:bigint>>"
 
 
@@ -128,6 +150,7 @@ def nearest(
     routes: int = ROUTES,
     cluster_size: int = CLUSTER_SIZE,
     graph_size: int = GRAPH_SIZE,
+    most_clusters: int = MOST_CLUSTERS,
     degree: int = DEGREE,
     beam: int = BEAM,
     relax: float = RELAX,
@@ -140,53 +163,82 @@ def nearest(
     times counts once; if its vectors differ, one of them is taken, the same each time. A vector without others of its
     dimensions has an empty list; an empty input gives an empty result.
     """
-    rows = usable(blocks)
     mark = ["dimensions", "h1", "h2"]
-    marked = rows.withColumns({"h1": F.xxhash64("vectors"), "h2": F.hash("vectors")})
-    ids = materialized(marked.groupBy("id").agg(F.min(F.struct(*mark)).alias("m")).select("id", "m.*"), "vector-ids")
+    rows = materialized(usable(blocks).withColumns({"h1": F.xxhash64("vectors"), "h2": F.hash("vectors")}), "vectors")
+    ids = materialized(rows.groupBy("id").agg(F.min(F.struct(*mark)).alias("m")).select("id", "m.*"), "vector-ids")
     # a copy beyond the first k + 1 ids can be nobody's neighbour; the rank limit is applied before the shuffle
     rank = F.row_number().over(Window.partitionBy(*mark).orderBy("id"))
     first = ids.withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy(*mark).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    points = marked.groupBy(*mark).agg(F.max("vectors").alias("vectors")).join(first, mark)
-    routing = _routing(rows, sample, routes, cluster_size, graph_size)
-
-    def place(batches: Iterator) -> Iterator:
+    points = rows.groupBy(*mark).agg(F.max("vectors").alias("vectors")).join(first, mark)
+    routing = _routing(rows, sample, routes, cluster_size, graph_size, most_clusters)
+
+    def placed(pa, d: int, own, reps, row, cluster, part, stored):
+        taken, n = own.take(pa.array(row, pa.int64())), len(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, d, np.int32)), pa.array(cluster, pa.int64()), pa.array(part, pa.int32()), pa.array(stored, pa.bool_()), pa.array(reps[row]), taken.column("ids"), taken.column("vectors")],
+            names=["d", "cluster", "part", "stored", "rep", "ids", "vectors"],
+        )
+
+    def nearest_centres(batch, centres: np.ndarray, n: int) -> np.ndarray:
+        unit = _unit(np.stack(batch.column("vectors").to_numpy(zero_copy_only=False))).astype(np.float32)
+        return np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n]
+
+    def by_dimension(batches: Iterator, deep: bool) -> Iterator:
+        """(dimensions, rows, their first ids, nearest centroids of the first level) of what is routed on one level, or on two."""
         import pyarrow as pa
 
         for batch in batches:
             dims = np.asarray(batch.column("dimensions"))
-            for d in np.unique(dims):
-                centres, parts = routing[int(d)]
-                own = batch.filter(pa.array(dims == d))
-                unit = _unit(np.stack(own.column("vectors").to_numpy(zero_copy_only=False))).astype(np.float32)
-                near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :routes]
-                reps = np.array([x[0] for x in own.column("ids").to_pylist()], np.int64)
-                row, cluster, part, stored, home = [], [], [], [], []
-                for i, (r, cs) in enumerate(zip(reps.tolist(), near.tolist())):
-                    for j, c in enumerate(cs):
-                        inside = r * 0x9E3779B1 % (1 << 31) % parts[c]
-                        for p in range(parts[c]):  # each graph of a split cluster is asked, one of them stores the vector
-                            row.append(i)
-                            cluster.append(c)
-                            part.append(p)
-                            stored.append(p == inside)
-                            home.append(j == 0)
-                taken = own.take(pa.array(row, pa.int64()))
-                n = len(row)
+            for d in np.unique(dims).tolist():
+                centres, _, sizes = routing[d]
+                if (sizes is not None) == deep:
+                    own = batch.filter(pa.array(dims == d))
+                    yield d, own, np.array([x[0] for x in own.column("ids").to_pylist()], np.int64), nearest_centres(own, centres, routes)
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for d, own, reps, near in by_dimension(batches, False):
+            row = np.repeat(np.arange(len(near)), near.shape[1])
+            yield placed(pa, d, own, reps, *_spread_over_parts(reps, row, near.ravel(), np.array(routing[d][1])))
+
+    def route(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for d, own, reps, near in by_dimension(batches, True):
+            for j in range(near.shape[1]):
+                n = len(near)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, d, np.int32)),
-                        pa.array(cluster, pa.int32()),
-                        pa.array(part, pa.int32()),
-                        pa.array(stored, pa.bool_()),
-                        pa.array(home, pa.bool_()),
-                        pa.array(reps[row]),
-                        taken.column("ids"),
-                        taken.column("vectors"),
-                    ],
-                    names=["d", "cluster", "part", "stored", "home", "rep", "ids", "vectors"],
+                    [pa.array(np.full(n, d, np.int32)), pa.array(near[:, j], pa.int32()), pa.array(np.full(n, j == 0)), pa.array(reps), own.column("ids"), own.column("vectors")],
+                    names=["d", "outer", "first", "rep", "ids", "vectors"],
                 )
 
+    def fit_inner(key, table):
+        import pyarrow as pa
+
+        d, outer, size = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        unit = _unit(np.stack(table.column("vectors").to_numpy()))
+        k_inner = int(min(most_clusters, len(unit), max(1, -(-size // cluster_size))))
+        centres, parts, _ = _fitted(unit, k_inner, size, routes, graph_size)
+        return pa.table({"d": pa.array([d], pa.int32()), "outer": pa.array([outer], pa.int32()), "slices": pa.array([int(-(-size // SLICE))], pa.int32()), "centres": pa.array([centres.ravel().tolist()], pa.list_(pa.float32())), "parts": pa.array([parts], pa.list_(pa.int32()))})
+
+    def place_inner(key, left, right):
+        import pyarrow as pa
+
+        tables = [pa.RecordBatch.from_pylist([], schema=pa.schema([("d", pa.int32()), ("cluster", pa.int64()), ("part", pa.int32()), ("stored", pa.bool_()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.float32()))]))]
+        if left.num_rows and right.num_rows:
+            d, outer = key[0].as_py(), key[1].as_py()
+            own = left.combine_chunks().to_batches()[0]
+            centres = np.array(right.column("centres")[0].as_py(), np.float32).reshape(-1, d)
+            near = nearest_centres(own, centres, routes)
+            reps, leads = np.asarray(own.column("rep")), np.asarray(own.column("first"))
+            # of the nearest outer cluster as many inner ones as there are routes, of the others one
+            keep = leads[:, None] | (np.arange(near.shape[1]) == 0)[None, :]
+            row, column = np.nonzero(keep)
+            row, cluster, part, stored = _spread_over_parts(reps, row, near[row, column], np.array(right.column("parts")[0].as_py()))
+            tables.append(placed(pa, d, own, reps, row, (outer + 1) * 1_000_000 + cluster, part, stored))
+        return pa.Table.from_batches(tables[-1:])
+
     def search(key, table):
         import pyarrow as pa
 
@@ -202,13 +254,14 @@ def nearest(
         group_of = np.full(len(unit), -1)
         group_of[direction[leads]] = np.arange(len(leads))
         graph = SearchGraph(unit[leads], degree, beam, relax)
-        width = max(2 * (k + 1), 24, beam)
+        width = max(2 * (k + 1), beam)
         near: list[list[dict]] = []
         for at in range(0, len(unit), 512):
             queries, own = unit[at : at + 512], group_of[direction[at : at + 512]]
             more: list[list[tuple]] = [[] for _ in queries]
             if len(stored):
-                found, _ = graph.search(queries.astype(np.float32), width)
+                # a point that is in the graph begins at its neighbours there
+                found, _ = graph.search(queries.astype(np.float32), width, first=np.where(own[:, None] >= 0, graph.edges[np.maximum(own, 0)], -1))
                 rows_found = np.where(found >= 0, leads[np.maximum(found, 0)], -1)
                 exact = np.where(found >= 0, np.einsum("qd,qcd->qc", queries, unit[np.maximum(rows_found, 0)]), -np.inf)
                 sims = np.round(exact, 9)
@@ -239,8 +292,21 @@ def nearest(
         kind = pa.list_(pa.struct([("loss", pa.float64()), ("id", pa.int64())]))
         return pa.table({"rep": pa.array(reps, pa.int64()), "near": pa.array(near, kind)})
 
-    found = points.mapInArrow(place, _PLACED).groupBy("d", "cluster", "part").applyInArrow(search, _FOUND)
-    # a point asks at most routes * parts graphs; each answers k + 1 rows
+    shards = points.mapInArrow(place, _PLACED)
+    deep = {d: sizes for d, (_, _, sizes) in routing.items() if sizes is not None}
+    if deep:
+        # the clusters of these dimension counts are too many for one fit: each has inner clusters, fitted by tasks on
+        # samples, and its vectors are routed among them in slices
+        sizes = F.create_map(*[F.lit(x) for d, ns in deep.items() for c, n in enumerate(ns.tolist()) for x in (f"{d}/{c}", float(max(n, 1.0)))])
+        routed = materialized(points.filter(F.col("dimensions").isin(list(deep))).mapInArrow(route, _ROUTED), "routed").withColumn("size", sizes[F.concat_ws("/", "d", "outer")])
+        share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("size")) * F.lit(1_000_000)
+        chosen = routed.filter(F.pmod(F.xxhash64(F.col("rep"), F.lit("inner")), F.lit(1_000_000)) < share)
+        inner = materialized(chosen.groupBy("d", "outer", "size").applyInArrow(fit_inner, "d int, outer int, slices int, centres array<float>, parts array<int>"), "inner")
+        sliced = routed.withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / F.lit(SLICE))).cast("int")).groupBy("d", "outer", "slice")
+        repeated = inner.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).groupBy("d", "outer", "slice")
+        shards = shards.unionByName(sliced.cogroup(repeated).applyInArrow(place_inner, _PLACED))
+    found = shards.groupBy("d", "cluster", "part").applyInArrow(search, _FOUND)
+    # a point asks at most routes + 1 clusters of a few graphs; each answers k + 1 rows
     merged = found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
     merged = materialized(merged, "vector-near")
     owners = first.select(*mark, F.col("ids")[0].alias("rep"), F.explode("ids").alias("id"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tarnlake.llm import similar_vectors
-from tarnlake.llm.graph_index import SearchGraph
+from tarnlake.llm.graph_index import DEGREE, SearchGraph
 
 SCHEMA = "block_id bigint, row_ids_low bigint, row_ids_high bigint, dimensions int, vectors array<float>, valid boolean, id string"
 
@@ -33,13 +33,13 @@ def test_graph_finds_nearest():
 
 
 def test_graph_of_none_and_one():
-    assert SearchGraph(np.zeros((0, 4), np.float32)).edges.shape == (0, 24)
+    assert SearchGraph(np.zeros((0, 4), np.float32)).edges.shape == (0, DEGREE)
     found, _ = SearchGraph(np.ones((1, 4), np.float32)).search(np.ones((2, 4), np.float32))
     assert found[:, 0].tolist() == [0, 0]
 
 
-@pytest.mark.parametrize("graph_size", [16_000, 60])
-def test_pairs_equal_brute_force(spark, graph_size):
+@pytest.mark.parametrize("graph_size,most", [(16_000, 1024), (60, 1024), (16_000, 3)])
+def test_pairs_equal_brute_force(spark, graph_size, most):
     rng = np.random.default_rng(3)
     rows = []
     centres = rng.normal(size=(8, 16))
@@ -53,7 +53,7 @@ def test_pairs_equal_brute_force(spark, graph_size):
     rows += [(2, 5, 8, 16, [1.0] * 16, False, None), (2, 6, 8, 16, [1.0] * 15 + [None], True, None), (3, 1, 7, 2, [1.0, 0.5], True, None), (3, None, 7, 2, [1.0, 0.5], True, None)]
     rows += [(4, i, 6, 3, [1.0, float(i), 2.0], True, None) for i in range(3)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r[0], r[1]) for r in similar_vectors.nearest_pairs(df, graph_size=graph_size, cluster_size=100).collect()}
+    got = {(r[0], r[1]) for r in similar_vectors.nearest_pairs(df, graph_size=graph_size, cluster_size=100, most_clusters=most).collect()}
     want = brute(rows, 5)
     assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
     # the forty equal vectors and the one they equal: each has the five smallest other ids
