@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.encoding import FOLDER, NAME, token_counts
@@ -12,6 +12,8 @@ from tarnlake.plans.shared import materialized
 BLOCK = 256
 #: Documents of one shard, about; a shard of a source is ordered in one task.
 SHARD_DOCUMENTS = 50_000
+#: Fixed value: a prime above any number of blocks of a shard.
+STEP = 1_000_000_007
 
 
 def source_name(c: Column) -> Column:
@@ -60,58 +62,71 @@ def mix(
     folder: str = FOLDER,
     name: str = NAME,
 ) -> DataFrame:
-    """(key, source, copies, tokens): how often each document is used so that sources have their target shares.
+    """(key, source, shard, block, first_token, tokens, copies): the blocks that are used, piece by piece of the documents they are made of.
 
+    In a shard of a source the documents, in an order by the seed, are one stream of tokens, cut into blocks of ``block``
+    tokens; a row is the part of a document in a block (its first token and how many) and how often the block is used.
     The total is ``total_tokens`` or the largest at which all sources with documents reach their shares; each source
-    gets whole blocks of ``block`` tokens by its share, capped by its tokens times ``max_repeats``, and passes them on to
-    its shards by their tokens. In a shard documents are ordered by the seed; all are used as often as the quota holds
-    them whole, and those of the first remaining blocks once more. A source short of its quota gives what it may; its
-    reached share shows it. Sources without target, null sources and documents without tokens aren't used; repeated
-    rows of a key count as documents of their own. ``key`` need not be unique, but must tell documents apart for an
-    order that is the same in each run. ``targets`` is a small table with a row per source (several: the first).
+    gets whole blocks by its share, capped by its blocks times ``max_repeats``, and passes them on to its shards by their
+    blocks. In a shard all blocks are used as often as its quota holds them all, and as many as are left of the quota,
+    chosen by the seed, once more. So the tokens of a source are its quota exactly, and none is used more than
+    ``max_repeats`` times. A source short of its quota gives what it may; its reached share shows it.
+
+    Sources without target, null sources and documents without tokens aren't used, nor are the last tokens of a shard
+    that fill no block. Repeated rows count as documents of their own; equal ones are counted before they are spread over
+    the shards, so a key with many rows is split. ``targets`` is a small table with a row per source (several: the first).
     """
-    sized = token_counts(documents.withColumn("__source", source_name(F.col("source"))), [key, "__source"], folder=folder, name=name)
-    sized = materialized(sized.withColumnRenamed("__source", "source").filter("tokens > 0 and source is not null"), "sized")
+    kept = [key, "__source", "__mark"]
+    sized = token_counts(documents.withColumns({"__source": source_name(F.col("source")), "__mark": F.xxhash64("text")}), kept, folder=folder, name=name)
+    equal = sized.filter("tokens > 0 and __source is not null").groupBy(*kept, "tokens").agg(F.count("*").alias("__rows"))
+    sized = materialized(equal.withColumnRenamed("__source", "source"), "sized")
     goals = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}
     wanted = sized.filter(F.col("source").isin(list(goals)))
-    stats = {r["source"]: (r["tokens"], r["n"]) for r in wanted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    stats = {r["source"]: (r["tokens"], r["n"]) for r in wanted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("__rows")).alias("tokens"), F.sum("__rows").alias("n")).collect()}
     names = sorted(goals)
     tokens = {s: stats.get(s, (0, 0))[0] for s in names}
     total = largest_total(tokens, goals) if total_tokens is None else total_tokens
     # each source's seats follow its own share of the total; a source that falls short doesn't hand its seats on
     seats = apportion(np.array([goals[s][0] for s in names]), np.full(len(names), np.iinfo(np.int64).max // (4 * max(1, len(names)))), int(total * min(1.0, sum(g[0] for g in goals.values())) // block))
-    quota = {s: int(min(n, tokens[s] * goals[s][1] // block)) for s, n in zip(names, seats)}
+    quota = dict(zip(names, map(int, seats)))
     shards = max(1, -(-sum(n for _, n in stats.values()) // SHARD_DOCUMENTS))
-    placed = wanted.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(shards)))
+    marks = [F.col(key).cast("string"), F.col("__mark"), F.col("__row")]
+    each = wanted.withColumn("__row", F.explode(F.sequence(F.lit(1), "__rows")))
+    placed = each.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *marks), F.lit(shards)))
 
     def share_out(pdf):
-        s = pdf["source"].iloc[0]
         pdf = pdf.sort_values("shard")
-        caps = pdf["tokens"].to_numpy() * goals[s][1] // block
-        return pdf.assign(blocks=apportion(pdf["tokens"].to_numpy(), caps, quota[s]))
-
-    per_shard = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).groupBy("source").applyInPandas(share_out, "source string, shard bigint, tokens bigint, blocks bigint")
-    limits = per_shard.select("source", "shard", F.col("tokens").alias("__all"), (F.col("blocks") * block).alias("__quota"))
-    repeats = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(goals[s][1]))]) if names else F.lit(None).cast("map<string,int>")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + "/order"), F.col(key).cast("string")), key).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.expr("__quota div __all")
-    rest = F.col("__quota") - whole * F.col("__all")
-    extra = (F.col("__end") - F.col("tokens") / 2 < rest) & (whole < repeats[F.col("source")])
-    return (
-        placed.withColumn("__end", F.sum("tokens").over(order))
-        .join(limits, ["source", "shard"])
-        .select(key, "source", (whole + extra.cast("int")).cast("int").alias("copies"), "tokens")
-        .filter("copies > 0")
-    )
+        source = pdf["source"].iloc[0]
+        blocks = pdf["tokens"].to_numpy() // block
+        return pdf.assign(blocks=blocks, quota=apportion(blocks, blocks * goals[source][1], quota[source]))
+
+    quotas = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).groupBy("source").applyInPandas(share_out, "source string, shard bigint, tokens bigint, blocks bigint, quota bigint")
+    limits = quotas.filter("quota > 0").select("source", "shard", F.col("blocks").alias("__blocks"), F.col("quota").alias("__quota"))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + "/order"), *marks), *marks).rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.withColumn("__end", F.sum("tokens").over(order)).join(limits, ["source", "shard"]).withColumn("__start", F.col("__end") - F.col("tokens"))
+    size = F.lit(block)
+    pieces = ends.withColumn("block", F.explode(F.sequence(F.expr(f"__start div {block}"), F.expr(f"(__end - 1) div {block}")))).filter(F.col("block") < F.col("__blocks"))
+    begin = F.greatest(F.col("__start"), F.col("block") * size)
+    # block numbers are permuted (a prime step never closes early), which chooses exactly as many as are wanted
+    turned = F.pmod(F.col("block") * F.lit(STEP) + F.pmod(F.xxhash64(F.lit(seed + "/blocks"), "source", "shard"), F.lit(1 << 31)), F.col("__blocks"))
+    copies = F.expr("__quota div __blocks") + (turned < F.col("__quota") % F.col("__blocks")).cast("int")
+    return pieces.select(
+        key, "source", "shard", "block", (begin - F.col("__start")).alias("first_token"), (F.least(F.col("__end"), (F.col("block") + 1) * size) - begin).alias("tokens"), copies.cast("int").alias("copies")
+    ).filter("copies > 0")
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row per target source: its share as wanted and as reached, tokens, documents and the most copies of one; zeros for a source that gave nothing."""
+    """A row per target source: its share as wanted and as reached and the gap, tokens, blocks, pieces of documents and the most copies of one; zeros for a source that gave nothing.
+
+    ``met``: the reached share is within a hundredth of the target share, in proportion.
+    """
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
-    joined = goals.join(used, "source", "left").na.fill(0, ["mixed_tokens", "documents", "most_copies"])
-    whole = joined.agg(F.sum("mixed_tokens").alias("__total"))
-    reached = F.when(F.col("__total") > 0, F.col("mixed_tokens") / F.col("__total")).otherwise(0.0)
-    return joined.join(F.broadcast(whole)).select("source", "target_share", "max_repeats", reached.alias("reached_share"), "mixed_tokens", "documents", "most_copies", (F.abs(reached - F.col("target_share")) <= 0.01).alias("met"))
+    # combined by block first, which counts blocks without gathering them
+    blocks = mixed.groupBy("source", "shard", "block").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies"), F.count("*").alias("pieces"))
+    used = blocks.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("blocks"), F.sum("pieces").alias("pieces"), F.max("copies").alias("most_copies"))
+    used = materialized(used, "mix-report")
+    joined = goals.join(F.broadcast(used), "source", "left").na.fill(0, ["mixed_tokens", "blocks", "pieces", "most_copies"])
+    total = used.agg(F.coalesce(F.sum("mixed_tokens"), F.lit(0))).first()[0]
+    reached = F.col("mixed_tokens") / F.lit(total) if total else F.lit(0.0)
+    gap = reached - F.col("target_share")
+    return joined.select("source", "target_share", "max_repeats", reached.alias("reached_share"), gap.alias("gap"), "mixed_tokens", "blocks", "pieces", "most_copies", (F.abs(gap) <= 0.01 * F.col("target_share")).alias("met"))

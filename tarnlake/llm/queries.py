@@ -29,6 +29,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, d), _table(spark, d, "mix_targets"))
 
 
+def p7_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix of a thousand million tokens, which no source of a few documents can fill."""
+    documents, targets = _table(spark, d, "documents"), _table(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mix(documents, targets, total_tokens=1_000_000_000), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.found_documents(_table(spark, d, "documents"), _table(spark, d, "doc_labels"))
 
@@ -42,7 +48,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_capped": p7_capped, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:

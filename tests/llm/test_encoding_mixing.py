@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,9 +74,32 @@ def test_mix_reaches_shares_and_caps(spark):
     rows = mixed.collect()
     assert {(r["source"], r["copies"]) for r in rows} <= {("plenary", 1), ("archive-scan", 1), ("archive-scan", 2), ("archive-scan", 3)}
     assert not {2000, 2001, 2002, 2003} & {r["doc_id"] for r in rows}
+    # every block is whole, and a document's pieces don't overlap
+    blocks, pieces = Counter(), {}
+    for r in rows:
+        blocks[r["source"], r["shard"], r["block"]] += r["tokens"]
+        pieces.setdefault(r["doc_id"], []).append((r["first_token"], r["first_token"] + r["tokens"]))
+    assert set(blocks.values()) == {32}
+    assert all(a[1] <= b[0] for p in pieces.values() for a, b in zip(sorted(p), sorted(p)[1:]))
     report = {r["source"]: r for r in mixing.mix_report(mixed, targets).collect()}
-    assert report["senate"]["mixed_tokens"] == 0 and not report["senate"]["met"]
-    # the source that can't be met leaves its share to all others
-    assert abs(report["plenary"]["reached_share"] - 0.5 / 0.8) < 0.02
+    assert report["senate"]["mixed_tokens"] == 0 and not report["senate"]["met"] and report["senate"]["gap"] == -0.2
+    # the source that can't be met leaves its share to all others, to the last block
+    assert abs(report["plenary"]["mixed_tokens"] / report["archive-scan"]["mixed_tokens"] - 5 / 3) < 0.02
+    assert report["plenary"]["mixed_tokens"] % 32 == 0 and report["plenary"]["blocks"] * 32 == report["plenary"]["mixed_tokens"]
     assert sorted(mixed.collect()) == sorted(mixing.mix(df, targets, block=32).collect())
     assert mixing.mix(df.limit(0), targets).count() == 0
+    assert [r["mixed_tokens"] for r in mixing.mix_report(mixing.mix(df.limit(0), targets), targets).collect()] == [0, 0, 0]
+
+
+def test_binding_caps_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCUMENTS", 40)
+    docs = [(7, "alpha beta gamma delta " * 20, "plenary")] * 200 + [(i, "one two three four " * 9, "archive") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("plenary", 0.01, 1), ("archive", 0.99, 2)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, total_tokens=1_000_000, block=16)
+    rows = mixed.collect()
+    assert len({r["shard"] for r in rows if r["source"] == "plenary"}) > 3  # one key's rows are spread
+    report = {r["source"]: r for r in mixing.mix_report(mixed, targets).collect()}
+    assert report["archive"]["most_copies"] == 2 and {r["copies"] for r in rows if r["source"] == "archive"} == {2}
+    assert report["plenary"]["mixed_tokens"] == 1_000_000 // 16 // 100 * 16 and report["plenary"]["most_copies"] == 1
+    assert not report["archive"]["met"] and not report["plenary"]["met"]
