@@ -46,9 +46,9 @@ _FOREIGN = re.compile("[\u0370-\u04ff]")
 # these begin with what is rare in a text, so that most places are passed over at once
 _SPELLED = re.compile(r"[.\-_*·|/~ ](?=[^\W_](?![^\W_]))(?<=(?<![^\W_])[^\W_].)")
 _MIXED = re.compile(r"[^\W\d_]*[\d$@€][\w$@€]*")
-_SIGN = re.compile(r"[\d$@€]")
+_SIGN = re.compile(r"[\d$@€]+")
 _ASIDE = re.compile(r"\[([^\[\]]*)\]|<([^<>]*)>|\(([^()]*)\)")
-_END = re.compile(r"([.!?…])(?:[\"'”’»]*\s+|[“”])|\s[—–-]\s|[—“”«»]")
+_END = re.compile(r"[.!?…](?:[\"'”’»]* |[“”])| [—–-] |[—“”«»]")
 _COLON = re.compile(r":\s+(?=\S)")
 _TITLE = re.compile(r" (?<=\S )([\"'“‘(]?)[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]{2,}(?:[-’'][^\W\d_]+)*")
 _ONLY_NAME = re.compile(r"\s*(?:(?:Mrs?|Ms|Dr|Sir|The|M|Mme|Herr|Frau)\.?\s+)?[^\W\d_a-zà-ÿ][^\W\d_]+[.,]?\s*")
@@ -62,6 +62,30 @@ def _letters(m: re.Match) -> str:
     return word.translate(LOOKALIKES) if any(c.isalpha() for c in word) else word
 
 
+def _unmixed(part: str) -> str:
+    """``part`` (words a space apart) with look-alikes undone in the words that have any."""
+    out, at = [], 0
+    for m in _SIGN.finditer(part):
+        if m.start() < at:
+            continue
+        begin, end = part.rfind(" ", at, m.start()) + 1 or at, part.find(" ", m.end())
+        end = len(part) if end < 0 else end
+        if m.end() - m.start() < end - begin:
+            out += part[at:begin], _MIXED.sub(_letters, part[begin:end])
+            at = end
+    out.append(part[at:])
+    return "".join(out)
+
+
+def _sentences(part: str) -> Iterator[str]:
+    """``part`` cut behind the marks that end a sentence, and at dashes and quotation marks."""
+    at = 0
+    for m in _END.finditer(part):
+        yield part[at : m.start() + (part[m.start()] in ".!?…")]
+        at = m.end()
+    yield part[at:]
+
+
 def passages(text: str | None) -> list[str]:
     """The passages of a text in plain spelling: lower case, compatibility forms undone, hidden characters and
     hyphenation gone, spelled-out and look-alike letters joined. Asides in brackets are passages of their own. A word with
@@ -83,9 +107,7 @@ def passages(text: str | None) -> list[str]:
     found = []
     for part in (text, *asides):
         part = _SPELLED.sub("", " ".join(part.split()))
-        if _SIGN.search(part):
-            part = " ".join([_MIXED.sub(_letters, w) if _SIGN.search(w) else w for w in part.split(" ")])
-        for one in (y for x in _END.sub(r"\1\n", part).split("\n") for y in _COLON.split(x)):
+        for one in (y for x in _sentences(_unmixed(part)) for y in _COLON.split(x)):
             if len(GERMAN.intersection(one.split())) < 2:
                 one = NAME if _ONLY_NAME.fullmatch(one) else _TITLE.sub(rf" \1{NAME}", one)
             if one := one.strip().lower():
