@@ -33,13 +33,14 @@ def ranks(path: str) -> dict[bytes, int]:
 def forced_cuts(tokens: Iterable[bytes]) -> list[tuple[int, int]]:
     """The pairs of bytes (last of a fragment, first of the next) between which every text may be cut.
 
-    The pair occurs in no token, so that no merge spans it. It must not change how the pattern splits either: the left
-    byte is an ASCII character other than white space (the pattern looks ahead after white space only), and an
-    apostrophe starts a fragment only after a letter or digit, where it always starts a match. A continuation byte never
-    starts a fragment.
+    The pair occurs in no token, so that no merge spans it. It must not change how the pattern splits either, which looks
+    ahead after white space only: the left byte ends a character other than white space (an ASCII one, or one of
+    several bytes whose last byte ends no white space), and an apostrophe starts a fragment only after an ASCII letter or
+    digit, where it always starts a match. A continuation byte never starts a fragment.
     """
     inside = {(a, b) for token in tokens for a, b in zip(token, token[1:])}
-    left = range(33, 127)
+    blank = {chr(c).encode()[-1] for c in range(128, 0x3001) if chr(c).isspace()}
+    left = [*range(33, 127), *(c for c in range(0x80, 0xC0) if c not in blank)]
     word = {*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
     return [(a, b) for a in left for b in range(256) if not 0x80 <= b < 0xC0 and (a, b) not in inside and (b != 0x27 or a in word)]
 

@@ -17,7 +17,7 @@ def encoder():
     return encoding.encoder(PATH)
 
 
-PIECES = ["a", "Z", "'", "'s", "s", " ", "  ", "\n", "\t", "é", "😀", "1", "!", ".", "-", "—", "’", "'ll", "́", "<|endoftext|>", "中", "　", "\x1c", "\x00", " the", "ing"]
+PIECES = ["a", "Z", "'", "'s", "s", " ", "  ", "\n", "\t", "é", "😀", "1", "!", ".", "-", "—", "’", "'ll", "́", "<|endoftext|>", "中", "　", "\x1c", "\x00", " the", "ing", "я", "ж", "Ж", "漢", "字", "한", "\xa0", "\u2028", "ß", "“", "½"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -34,6 +34,11 @@ def test_cuts_are_in_no_token(encoder):
     assert not any((a, b) in cuts for token in encoding.ranks(PATH) for a, b in zip(token, token[1:]))
 
 
+def test_long_runs_of_other_scripts_are_cut(encoder):
+    for run in ("съешьещёэтихмягких" * 50, "漢字仮名交じり文" * 50):
+        assert len(encoder.fragments(run)) > len(run) / 10 and encoder.encode(run) == encoder._plain(run)
+
+
 def test_corpus_null_empty_repeated_and_long(spark, encoder):
     long = "word " * 20_000 + "x" * 3_000
     rows = [(1, None, "k"), (2, "", "k"), (3, " \n", "k"), (4, "Hello <|endoftext|>", "k"), (4, "Hello <|endoftext|>", "k"), (5, long, None)]
