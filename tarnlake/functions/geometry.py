@@ -10,6 +10,7 @@ import json
 import math
 import re
 import struct
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -306,6 +307,66 @@ def call(name: str, *args: Column) -> Column:
     return _of(kind, f)(*args)
 
 
+Box = tuple[Column, Column, Column, Column]
+
+
+def _finite(x: Column) -> Column:
+    """``x`` as a coordinate: null for null and NaN, an error if infinite."""
+    d = x.cast("double")
+    return F.when(F.abs(d) == float("inf"), F.raise_error(F.lit("invalid coordinates")).cast("double")).when(~F.isnan(d), d)
+
+
+def _plain_number(x: Column) -> Column:
+    return F.when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def native(name: str, args: list[Any], column: Callable[[Any], Column]) -> Column | None:
+    """A function of points made of columns, and of literal points and boxes, in expressions that Spark compiles; None where that isn't so.
+
+    Points and boxes are their envelopes, of which distance, intersection and containment are comparisons.
+    """
+    from tarnlake.functions import expr as X
+
+    def placed(a: Any) -> tuple[str, Box] | None:
+        if isinstance(a, X.Call) and a.fn == "st_point" and len(a.args) == 2:
+            x, y = (_finite(column(p)) for p in a.args)
+            return "Point", (x, y, x, y)
+        if isinstance(a, X.Literal) and isinstance(a.value, str):
+            g = parse(a.value)
+            if g[0] in ("Point", "BBox"):
+                return g[0], tuple(F.lit(v) for v in envelope(g))
+        return None
+
+    if name == "st_point" and len(args) == 2:
+        x, y = (_finite(column(a)) for a in args)
+        return F.concat(F.lit('{"type":"Point","coordinates":['), _plain_number(x), F.lit(","), _plain_number(y), F.lit("]}"))
+    if name in ("st_x", "st_y") and len(args) == 1 and isinstance(args[0], X.Call) and (p := placed(args[0])):
+        # both coordinates must be there
+        return F.when(p[1][0].isNotNull() & p[1][1].isNotNull(), p[1][0 if name == "st_x" else 1])
+    if name not in ("st_distance", "st_dwithin", "st_intersects", "st_disjoint", "st_contains", "st_within") or len(args) != (3 if name == "st_dwithin" else 2):
+        return None
+    a, b = (placed(x) for x in args[:2])
+    if a is None or b is None or not any(isinstance(x, X.Call) for x in args[:2]):
+        return None
+    (kind, (ax, ay, aX, aY)), (other, (bx, by, bX, bY)) = a, b
+    there = ax.isNotNull() & ay.isNotNull() & bx.isNotNull() & by.isNotNull()
+    if name in ("st_distance", "st_dwithin"):
+        away = F.hypot(F.greatest(bx - aX, ax - bX, F.lit(0.0)), F.greatest(by - aY, ay - bY, F.lit(0.0)))
+        if name == "st_dwithin":
+            d = column(args[2]).cast("double")
+            return F.when(there & ~F.isnan(d), away <= d)
+        return F.when(there, away)
+    if name in ("st_intersects", "st_disjoint"):
+        meet = (ax <= bX) & (bx <= aX) & (ay <= bY) & (by <= aY)
+        return F.when(there, meet if name == "st_intersects" else ~meet)
+    if name == "st_within":
+        (kind, (ax, ay, aX, aY)), (other, (bx, by, bX, bY)) = b, a
+    if other != "Point":  # a point holds no box
+        return None
+    inside = (ax < bx) & (bx < aX) & (ay < by) & (by < aY) if kind == "BBox" else (ax == bx) & (ay == by)
+    return F.when(there, inside)
+
+
 def bbox_filter(query: str, d: float = 0.0, columns: tuple[str, str, str, str] = ("minx", "miny", "maxx", "maxy")) -> Column:
     """Plain comparisons that reach the Parquet scan: rows whose box columns come within ``d`` of a literal geometry's box."""
     x, y, x2, y2 = envelope(parse(query))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnlake.errors import LakeError
 from tarnlake.functions import expr as X
 from tarnlake.plans.compile import Compiler, quoted
+from tarnlake.plans.shared import materialized
 
 OPS = (
     "count sum avg var_samp var_pop stddev_samp stddev_pop median quantile min max count_distinct approx_count_distinct mode first last any".split()
@@ -100,10 +101,19 @@ def aggregate(df: DataFrame, keys: list[str], spec: dict[str, Agg], ordinal: str
             counts = grouped.groupBy(*names, "__x").agg(F.count("*").alias("__c"), F.min(ordinal).alias("__first"))
             best = counts.groupBy(*names).agg(F.min_by("__x", F.struct(-F.col("__c"), F.col("__first"))).alias(alias))
         else:
+            # values lie in ranges, a range to a task; only the ranges' totals are added up across tasks
             counts = grouped.groupBy(*names, "__x").agg(F.count("*").alias("__c"))
-            upto = F.sum("__c").over(W.partitionBy(*names).orderBy("__x"))
-            total = F.sum("__c").over(W.partitionBy(*names))
-            placed = counts.withColumns({"__upto": upto, "__total": total})
+            ranged = materialized(counts.repartitionByRange(*names, "__x").withColumn("__part", F.spark_partition_id()), "median")
+            parts = ranged.groupBy(*names, "__part").agg(F.sum("__c").alias("__n"))
+            before = F.sum("__n").over(W.partitionBy(*names).orderBy("__part")) - F.col("__n")
+            parts = parts.withColumns({"__before": before, "__total": F.sum("__n").over(W.partitionBy(*names))})
+            middle = F.floor((F.col("__total") - 1) / 2)
+            parts = parts.filter((F.col("__before") <= middle) & (F.col("__before") + F.col("__n") > middle)).select(*[F.col(n).alias(f"__p{i}") for i, n in enumerate(names)], F.col("__part").alias("__at"), "__before", "__total")
+            same = F.col("__part") == F.col("__at")
+            for i, n in enumerate(names):
+                same &= F.col(n).eqNullSafe(F.col(f"__p{i}"))
+            upto = F.col("__before") + F.sum("__c").over(W.partitionBy(*names, "__part").orderBy("__x"))
+            placed = ranged.join(parts, same).withColumn("__upto", upto)
             best = placed.filter(F.col("__upto") > F.floor((F.col("__total") - 1) / 2)).groupBy(*names).agg(F.min("__x").alias(alias))
         if keys:
             right = best.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)], quoted(alias))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.errors import LakeError
 from tarnlake.plans.compile import quoted
+from tarnlake.plans.shared import scratch
 
 #: Metric: whether greater scores are nearer.
 METRICS = {"dot": True, "l2": False, "cosine-distance": False, "one-minus-dot": False, "cosine": False}
@@ -140,7 +141,7 @@ def merge_nearest(lists: Sequence[DataFrame], k: int, metric: str, id: str = "ve
 
 
 class ListIndex:
-    """Vectors in lists by their nearest centroid; a search reads the lists of the ``nprobes`` nearest centroids only."""
+    """Vectors stored in lists by their nearest centroid; a search reads the lists of the ``nprobes`` nearest centroids only."""
 
     def __init__(self, df: DataFrame, vector: str = "embedding", id: str = "vec_id", lists: int = 16, metric: str = "l2", centroids: np.ndarray | None = None):
         self.vector, self.id, self.metric = vector, id, metric
@@ -163,7 +164,10 @@ class ListIndex:
                 yield pdf.assign(list=(-2 * v @ c.T + (c**2).sum(1)).argmin(1).astype("int32") if len(pdf) else [])
 
         kinds = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
-        self.table = whole.mapInPandas(assign, f"{kinds}, list int")
+        # stored by list, so that a search reads the folders of the lists it probes and no others
+        root = scratch(df.sparkSession, "lists")
+        whole.mapInPandas(assign, f"{kinds}, list int").hint("rebalance", "list").write.partitionBy("list").parquet(root)
+        self.table = df.sparkSession.read.schema(f"{kinds}, list int").parquet(root)
 
     def search(self, query: Sequence[float], k: int, nprobes: int = 1, select: Sequence[str] = ()) -> DataFrame:
         """Exact scores within the chosen lists; all lists give the exact result."""

@@ -296,7 +296,7 @@ def add_windows(df: DataFrame, windows: dict[str, Window], ordinal: str | None =
         span, wide = [], []
         for b in ends:
             if b.kind in ("unbounded", "current"):
-                span.append({"current": "0"}.get(b.kind, "1000000000" if b.after else "-1000000000"))
+                span.append({"current": "0"}.get(b.kind, str(1 << 62) if b.after else str(-(1 << 62))))
                 wide.append(b)
                 continue
             e = b.offset if isinstance(b.offset, X.Expr) else X.lit(int(b.offset))

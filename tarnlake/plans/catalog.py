@@ -213,8 +213,8 @@ built("distinct_proj", "orders", "select distinct o_orderstatus, o_orderpriority
 built(
     "order_nulls_default",
     "orders",
-    "select o_orderkey, nullif(o_orderstatus, 'O') as s from orders order by s asc nulls last, o_orderkey desc nulls first limit 700",
-    lambda q: q.select("o_orderkey").project(s=fn("nullif", col("o_orderstatus"), "O")).order_by("s", ("o_orderkey", "desc")).limit(700),
+    "select o_orderkey, nullif(o_orderstatus, 'O') as s from orders order by s asc nulls last, o_orderkey desc nulls first",
+    lambda q: q.select("o_orderkey").project(s=fn("nullif", col("o_orderstatus"), "O")).order_by("s", ("o_orderkey", "desc")),
 )
 built("topk", "orders", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25", lambda q: q.select("o_orderkey", "o_totalprice").order_by(("o_totalprice", "desc"), "o_orderkey").limit(25))
 built("offset_limit", "customer", "select c_custkey from customer order by c_custkey limit 30 offset 40", lambda q: q.select("c_custkey").order_by("c_custkey").offset(40).limit(30))

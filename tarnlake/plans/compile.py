@@ -198,7 +198,8 @@ class Compiler:
             return Typed(scalar.round_half_up(self._number(args[0], "round"), int(digits)), "number")
         if name in geometry.FUNCTIONS:
             kind = {"double": "number", "boolean": "boolean", "string": "string"}[geometry.FUNCTIONS[name][0]]
-            return Typed(geometry.call(name, *(self.column(a) for a in args)), kind)
+            plain = geometry.native(name, list(args), self.column)
+            return Typed(geometry.call(name, *(self.column(a) for a in args)) if plain is None else plain, kind)
         if name in ("h3_cell", "h3_within"):
             if name == "h3_within" and isinstance(args[2], X.Literal) and args[2].value == 0:
                 return Typed(F.lower(self.column(args[0])) == F.lower(self.column(args[1])), "boolean")

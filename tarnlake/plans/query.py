@@ -24,14 +24,27 @@ from tarnlake.sources import readers
 
 @dataclass(frozen=True)
 class Budget:
-    """Limits of a query. Files and bytes are checked when planning, rows and time when running."""
+    """Limits of a query. Files, their bytes and rows are checked when planning; rows of the result when the query's frame,
+    groups or rows are asked for, by counting one more than allowed; time while jobs run."""
 
     max_files: int | None = None
     max_bytes: int | None = None
+    max_rows_decoded: int | None = None
     max_output_rows: int | None = None
     max_elapsed_ms: int | None = None
     max_window_partition_rows: int | None = None
 
+    def of_files(self) -> int | None:
+        """A limit that needs the list of files, if there is one."""
+        return next((x for x in (self.max_files, self.max_bytes, self.max_rows_decoded) if x is not None), None)
+
+    def within(self, df: DataFrame) -> DataFrame:
+        """``df``, which must have at most the allowed rows."""
+        most = self.max_output_rows
+        if most is not None and (n := timed(df.sparkSession, self.max_elapsed_ms, lambda: df.limit(most + 1).count())) > most:
+            raise exceeded("max_output_rows", most, n)
+        return df
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -214,7 +227,7 @@ class Query:
         ordinal = self.source.ordinal
         if self.source.frame is not None:
             df = self.source.frame
-        elif not self.source.index and self.lake.budget.max_files is None and self.lake.budget.max_bytes is None:
+        elif not self.source.index and self.lake.budget.of_files() is None:
             # nothing needs the list of files: Spark lists, and prunes folders by conditions on partition columns
             df = readers.read_parquet(self.lake.spark, self.source.path, self.source.hive, place)
             ordinal = readers.FILE_ORDINAL if place else None
@@ -224,6 +237,11 @@ class Query:
                 raise exceeded("max_files", b.max_files, len(files))
             if b.max_bytes is not None and (size := sum(n for _, n in files)) > b.max_bytes:
                 raise exceeded("max_bytes", b.max_bytes, size)
+            if b.max_rows_decoded is not None and files:
+                # only footers are read to count rows
+                n = readers.read_parquet(self.lake.spark, [p for p, _ in files], self.source.hive, False).count()
+                if n > b.max_rows_decoded:
+                    raise exceeded("max_rows_decoded", b.max_rows_decoded, n)
             if files:
                 df = readers.read_parquet(self.lake.spark, [p for p, _ in files], self.source.hive, place)
             else:  # all files are ruled out: the schema comes from one of them, without rows
@@ -257,7 +275,10 @@ class Query:
         return [] if self.computed else [c for c in df.columns if not c.startswith("__")]
 
     def df(self) -> DataFrame:
-        """The query as a lazy DataFrame."""
+        """The query as a lazy DataFrame; a limit of its rows is checked here."""
+        return self.lake.budget.within(self._built())
+
+    def _built(self) -> DataFrame:
         df, ordinal = self.base(self._needs_place())
         if self.windows:
             guard = self.lake.budget.max_window_partition_rows
@@ -279,6 +300,8 @@ class Query:
         for o, t in zip(order, self.order):
             if t.column not in df.columns and t.column not in dict(self.computed):
                 raise LakeError("UNKNOWN_COLUMN", f"unknown column {t.column}", {"column": t.column})
+            if t.column in df.columns and df.schema[t.column].dataType.typeName() in ("array", "map", "struct", "variant"):
+                raise LakeError("TYPE_ERROR", f"{t.column} isn't a scalar that rows can be sorted by", {"column": t.column})
             hidden[o.column] = F.col(quoted(t.column)) if t.column in df.columns else shown[t.column]
         out = df.select(*[c.alias(n) for n, c in (shown | hidden).items()])
         if self.unique:
@@ -348,16 +371,13 @@ class Query:
 
     def _guarded(self, run: Callable[[DataFrame], Any]) -> Any:
         """Run under the time and row limits."""
-        b, df = self.lake.budget, self.df()
-        if b.max_output_rows is not None and (n := df.limit(b.max_output_rows + 1).count()) > b.max_output_rows:
-            raise exceeded("max_output_rows", b.max_output_rows, n)
-        return timed(self.lake.spark, b.max_elapsed_ms, lambda: run(df))
+        return timed(self.lake.spark, self.lake.budget.max_elapsed_ms, lambda df=self.df(): run(df))
 
     def to_array(self) -> list[dict]:
         return self._guarded(lambda df: [r.asDict(recursive=True) for r in df.collect()])
 
     def first(self) -> dict | None:
-        row = self.limit(1).df().first() if self.most is None else self.df().first()
+        row = (self.limit(1) if self.most is None else self)._guarded(lambda df: df.first())
         return row.asDict(recursive=True) if row else None
 
     def count(self) -> int:
@@ -368,7 +388,11 @@ class Query:
             yield from batch
 
     def batches(self, size: int = 4096) -> Iterator[list[dict]]:
-        return readers.read_batches(self.df(), size)
+        began, limit = time.time(), self.lake.budget.max_elapsed_ms
+        for batch in readers.read_batches(self.df(), size):
+            if limit is not None and (passed := round(1000 * (time.time() - began))) > limit:
+                raise exceeded("max_elapsed_ms", limit, passed)
+            yield batch
 
     def slice(self, n: int, bookmark: Bookmark | None = None) -> tuple[list[dict], Bookmark | None]:
         """The next ``n`` rows after a bookmark of the same plan, and the bookmark after them (None at the end).
@@ -383,7 +407,7 @@ class Query:
         total = replace(self, order=(*self.order, *(OrderTerm(c) for c in (self.columns or self.base()[0].columns) if c not in named and not c.startswith("__"))))
         left = None if self.most is None else max(0, self.most - at)
         take = n if left is None else min(n, left)
-        found = [r.asDict(recursive=True) for r in replace(total, skip=self.skip + at, most=take + 1).df().collect()]
+        found = replace(total, skip=self.skip + at, most=take + 1).to_array()
         more = len(found) > take and take == n and (left is None or left > n)
         carried = self.to_json() if self.source.path and not (self.computed or self.windows or self.source.hive) else None
         return found[:take], Bookmark(print_, at + take, query=carried) if more else None
@@ -463,25 +487,28 @@ def timed(spark: SparkSession, limit_ms: int | None, run: Callable[[], Any]) ->
     if limit_ms is None:
         return run()
     tag = f"tarnlake-{time.time_ns()}"
-    late = threading.Event()
+    done, late = threading.Event(), threading.Event()
 
-    def stop() -> None:
+    def watch() -> None:
+        if done.wait(limit_ms / 1000):
+            return
         late.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        while not done.wait(0.05):  # a job may begin after the time is over
+            spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(limit_ms / 1000, stop)
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     began = time.time()
     try:
         result = run()
     except Exception:
-        if late.is_set():
-            raise exceeded("max_elapsed_ms", limit_ms, round(1000 * (time.time() - began))) from None
-        raise
+        if not late.is_set():
+            raise
     finally:
-        timer.cancel()
+        done.set()
         spark.sparkContext.removeJobTag(tag)
+    if late.is_set():
+        raise exceeded("max_elapsed_ms", limit_ms, round(1000 * (time.time() - began)))
     return result
 
 
@@ -492,8 +519,8 @@ class Grouped:
     query: Query
     keys: tuple[str, ...]
 
-    def aggregate(self, spec: dict[str, Agg], having: X.Expr | None = None, order_by: Any = (), limit: int | None = None, offset: int = 0, max_groups: int | None = None) -> DataFrame:
-        """One row per group; ``having`` and ``order_by`` may name keys and aggregates."""
+    def aggregate(self, spec: dict[str, Agg], having: X.Expr | None = None, order_by: Any = (), limit: int | None = None, offset: int = 0, max_groups: int | None = None, select: list[str] | None = None, distinct: bool = False) -> DataFrame:
+        """One row per group; ``having`` and ``order_by`` may name keys and aggregates. ``select`` keeps some of them, and ``distinct`` the different rows of those."""
         q = self.query
         df, ordinal = q.base(any(a.op in ORDERED for a in spec.values()))
         out = aggregate(df, list(self.keys), spec, ordinal)
@@ -501,12 +528,20 @@ class Grouped:
             raise LakeError("GROUP_LIMIT_EXCEEDED", f"more than {max_groups} groups", {"limit": max_groups})
         if having is not None:
             out = out.filter(Compiler(out, False).predicate(having))
-        if order_by:
-            out = out.orderBy(*[t.sql() for t in order_terms(order_by)])
+        terms = order_terms(order_by) if order_by else ()
+        if distinct:
+            shown = list(map(quoted, select or out.columns))
+            if any(quoted(t.column) not in shown for t in terms):
+                raise LakeError("INVALID_QUERY", "distinct groups are ordered by what they show")
+            out = out.select(*shown).distinct()
+        if terms:
+            out = out.orderBy(*[t.sql() for t in terms])
+        if select:
+            out = out.select(*map(quoted, select))
         if offset:
             out = out.offset(_count(offset, "offset"))
         most = min((n for n in (limit, q.lake.policy.max_limit) if n is not None), default=None)
-        return out if most is None else out.limit(_count(most, "limit"))
+        return q.lake.budget.within(out if most is None else out.limit(_count(most, "limit")))
 
 
 # --- JSON ---------------------------------------------------------------------------------------------------------

@@ -82,7 +82,8 @@ def write_partitioned(
 
     Rows are first brought together by partition, a large one over several tasks (AQE splits it), so that each folder gets
     few files. A null partition value and a column of nulls alone are refused, as is what breaks ``rules``. The bytes
-    limit becomes a limit of rows by the mean size of a sample's rows.
+    limit holds for every file of more than one row: rows a file are lowered, by how far the largest file is over it,
+    until all are within.
     """
     for c in partition_by:
         if c not in df.columns:
@@ -95,16 +96,17 @@ def write_partitioned(
             raise LakeError("VALIDATION_ERROR", f"column {c} has nulls only", {"column": c})
     if rules:
         validate(df, rules)
-    limit = max_rows_per_file
-    if max_bytes_per_file and checks["n"]:
-        mean = df.select(F.length(F.to_json(F.struct(*map(quoted, df.columns)))).alias("n")).limit(10_000).agg(F.avg("n")).first()[0] or 1
-        by_bytes = max(1, int(max_bytes_per_file / mean))
-        limit = by_bytes if limit is None else min(limit, by_bytes)
-    out = df.hint("rebalance", *[F.col(quoted(c)) for c in partition_by]).write.mode(_mode(df, path, mode)).partitionBy(*partition_by)
-    if limit:
-        out = out.option("maxRecordsPerFile", limit)
-    out.parquet(path)
-    return manifest_of(df, path, job_id, plan_fingerprint)
+    limit, how = max_rows_per_file, _mode(df, path, mode)
+    while True:
+        out = df.hint("rebalance", *[F.col(quoted(c)) for c in partition_by]).write.mode(how).partitionBy(*partition_by)
+        if limit:
+            out = out.option("maxRecordsPerFile", limit)
+        out.parquet(path)
+        manifest = manifest_of(df, path, job_id, plan_fingerprint)
+        large = [e for e in manifest["entries"] if max_bytes_per_file and e["byteSize"] > max_bytes_per_file and e["rowCount"] > 1]
+        if not large:
+            return manifest
+        limit, how = max(1, min(min(e["rowCount"] * max_bytes_per_file // (e["byteSize"] + 1), e["rowCount"] - 1) for e in large)), "overwrite"
 
 
 def manifest_of(df: DataFrame, path: str, job_id: str = "data", plan_fingerprint: str = "") -> dict:
