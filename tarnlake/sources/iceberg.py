@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import time
 import urllib.error
 import urllib.request
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
@@ -46,6 +48,18 @@ def _load(path: str) -> bytes:
         return file.read()
 
 
+def _manifest_entries(path: str) -> list[dict]:
+    raw = _load(path)
+    return json.loads(raw)["entries"] if raw[:1] in (b"{", b"[") else list(avro.read(raw))
+
+
+#: What planning needs of a manifest entry and of its file.
+_PLANNED = ("status", "sequence_number")
+_PLANNED_FILE = ("content", "file_path", "file_format", "partition", "record_count", "file_size_in_bytes", "equality_ids")
+#: Manifests that the driver reads itself.
+FEW_MANIFESTS = 4
+
+
 def _refuse(what: str, **details: Any) -> LakeError:
     return LakeError("UNSUPPORTED_ICEBERG_FEATURE", what, details)
 
@@ -157,6 +171,20 @@ class Table:
             return json.loads(raw)["manifests"] if raw[:1] in (b"{", b"[") else avro.read(raw)
         return [{"manifest_path": p} for p in snapshot.get("manifests", [])]
 
+    def _entries(self, manifests: list[dict]) -> Iterator[tuple[dict, list[dict]]]:
+        """The entries of each manifest; more than a few manifests are read by tasks, which give back what planning needs."""
+        paths = [self._resolve(m["manifest_path"]) for m in manifests]
+        if len(manifests) <= FEW_MANIFESTS:
+            return ((m, _manifest_entries(p)) for m, p in zip(manifests, paths))
+
+        def read(batches: Iterator) -> Iterator:
+            for pdf in batches:
+                yield pdf.assign(entries=[pickle.dumps([{k: e.get(k) for k in _PLANNED} | {"data_file": {k: e["data_file"].get(k) for k in _PLANNED_FILE}} for e in _manifest_entries(p)]) for p in pdf["path"]])[["at", "entries"]]
+
+        listed = self.spark.createDataFrame(list(enumerate(paths)), "at int, path string").repartition(min(len(paths), 10 * self.spark.sparkContext.defaultParallelism))
+        found = {r["at"]: r["entries"] for r in listed.mapInPandas(read, "at int, entries binary").collect()}
+        return ((m, pickle.loads(found[i])) for i, m in enumerate(manifests))
+
     def plan_files(self, snapshot_id: int | None = None, as_of: int | str | None = None, ref: str | None = None, where: X.Expr | None = None, mode: str = "strict") -> Plan:
         """The data and delete files of a snapshot, without those whose partition rules them out."""
         if mode not in MODES:
@@ -165,9 +193,7 @@ class Table:
         plan = Plan(snap["snapshot-id"] if snap else None)
         if snap is None:
             return plan
-        for m in self._manifests(snap):
-            raw = _load(self._resolve(m["manifest_path"]))
-            entries = json.loads(raw)["entries"] if raw[:1] in (b"{", b"[") else avro.read(raw)
+        for m, entries in self._entries(self._manifests(snap)):
             for e in entries:
                 if e.get("status") == DELETED:
                     continue

@@ -5,7 +5,7 @@ Streams are not among the operations that lake queries need; they are here becau
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,39 +21,43 @@ def read_files(spark: SparkSession, path: str, schema: str, max_files: int | Non
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
+#: Buckets of identities that a stream's table keeps.
+BUCKETS = 64
+
+
 def dedupe_stream(messages: DataFrame, out: str, checkpoint: str, identity: Column, order: str = "delivery_id") -> StreamingQuery:
     """Append each batch's messages that are neither repeated in the batch nor stored under ``out``.
 
     A batch's part of ``out`` is a folder of its own, replaced if the batch is run again; so a failure neither loses nor
-    repeats a message. What is stored is compared by identity; its rows aren't read beyond that column.
+    repeats a message. The identities of what is stored are kept beside it (``-identities``) in buckets by their hash, a
+    folder per batch; a batch reads those of the buckets that it touches, and none of the rows.
     """
-    spark = messages.sparkSession
-    schema = messages.schema
+    spark, names = messages.sparkSession, f"{out.rstrip('/')}-identities"
+    bucket = F.pmod(F.xxhash64("seen"), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = None
         jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(out)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(root):
-            past = spark.read.schema(schema).option("basePath", out).parquet(out)
-            folder = F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)/", 1).cast("bigint")
-            stored = past.filter(folder < number).select(identity.alias("__seen")).filter(F.col("__seen").isNotNull()).distinct()
-        kept = dedup.dedupe_messages(batch, None, identity, order)
-        if stored is not None:
-            marked = kept.withColumn("__identity", identity)
-            kept = marked.join(stored, F.col("__identity") == F.col("__seen"), "left_anti").drop("__identity")
-        kept.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        root = jvm.org.apache.hadoop.fs.Path(names)
+        known = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+        kept = dedup.dedupe_messages(batch, None, identity, order).withColumn("__identity", identity)
+        if known:
+            touched = [r[0] for r in batch.select(identity.alias("seen")).filter("seen is not null").select(bucket).distinct().collect()]  # at most BUCKETS
+            stored = spark.read.schema("seen binary, bucket int, batch bigint").option("basePath", names).parquet(names)
+            stored = stored.filter((F.col("batch") < number) & F.col("bucket").isin(touched)).select("seen")
+            kept = kept.join(stored, F.col("__identity") == F.col("seen"), "left_anti")
+        kept.drop("__identity").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        mine = spark.read.schema(batch.schema).parquet(f"{out}/batch={number}").select(identity.cast("binary").alias("seen")).filter("seen is not null")
+        mine.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{names}/batch={number}")
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changes_stream(rows: DataFrame, root: str, checkpoint: str, keys: list[str], content: list[str], sink: Callable[[DataFrame, str], None]) -> StreamingQuery:
-    """Hand each batch's new and changed records to ``sink`` under a ``StateStore``; the batch's number is the run's name."""
+def changes_stream(rows: DataFrame, root: str, checkpoint: str, keys: list[str], content: list[str], sink: Callable[[DataFrame, str], None], order: Sequence[str] = ()) -> StreamingQuery:
+    """Hand each batch's new and changed records to ``sink`` under a ``StateStore``; the batch's number is the run's name. Of a key's rows in a batch the last by ``order`` counts."""
     store = StateStore(rows.sparkSession, root)
 
     def step(batch: DataFrame, number: int) -> None:
-        run_incremental(store, batch, keys, content, f"batch-{number}", sink)
+        run_incremental(store, batch, keys, content, f"batch-{number}", sink, order)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
