@@ -397,20 +397,37 @@ class Query:
     def slice(self, n: int, bookmark: Bookmark | None = None) -> tuple[list[dict], Bookmark | None]:
         """The next ``n`` rows after a bookmark of the same plan, and the bookmark after them (None at the end).
 
-        The rows must have a total order: the given one, made total by all shown columns.
+        The rows must have a total order: the given one, made total by all shown columns. A slice begins behind the keys
+        of the last row read, so that each costs a top-n and not a sort of all rows; where these keys can't be carried
+        (times, decimals, an order by a column that isn't shown), rows before are passed over.
         """
         print_ = self.fingerprint()
         if bookmark:
             bookmark.check(print_)
         at = bookmark.row_offset if bookmark else 0
-        named = {t.column for t in self.order}
-        total = replace(self, order=(*self.order, *(OrderTerm(c) for c in (self.columns or self.base()[0].columns) if c not in named and not c.startswith("__"))))
+        named, shown = {t.column for t in self.order}, [c for c in (self.columns or self.base()[0].columns) if not c.startswith("__")]
+        total = replace(self, order=(*self.order, *(OrderTerm(c) for c in shown if c not in named)))
         left = None if self.most is None else max(0, self.most - at)
         take = n if left is None else min(n, left)
-        found = replace(total, skip=self.skip + at, most=take + 1).to_array()
+        after = bookmark.after if bookmark else None
+        if after:
+            df = replace(total, skip=0, most=None)._built().filter(_from(total.order, after["keys"])).offset(after["repeats"]).limit(take + 1)
+            limit = self.lake.budget.max_elapsed_ms
+            found = timed(self.lake.spark, limit, lambda: [r.asDict(recursive=True) for r in self.lake.budget.within(df).collect()])
+        else:
+            found = replace(total, skip=self.skip + at, most=take + 1).to_array()
         more = len(found) > take and take == n and (left is None or left > n)
+        if not more:
+            return found[:take], None
+        keys = [[r.get(t.column) for t in total.order] for r in found[:take]]
         carried = self.to_json() if self.source.path and not (self.computed or self.windows or self.source.hive) else None
-        return found[:take], Bookmark(print_, at + take, query=carried) if more else None
+        reached = None
+        if keys and all(t.column in found[0] for t in total.order) and all(v is None or isinstance(v, (str, int, float)) and v == v for v in keys[-1]):
+            repeats = next((i for i, k in enumerate(reversed(keys)) if k != keys[-1]), len(keys))
+            if after and repeats == len(keys) and after["keys"] == keys[-1]:
+                repeats += after["repeats"]
+            reached = {"keys": keys[-1], "repeats": repeats}
+        return found[:take], Bookmark(print_, at + take, query=carried, after=reached)
 
     def resumable(self, n: int) -> Iterator[tuple[list[dict], Bookmark | None]]:
         mark: Bookmark | None = None
@@ -441,6 +458,20 @@ class Query:
         return self.explain() | {"rows": n, "elapsedMs": round(1000 * (time.time() - began))}
 
 
+def _from(order: tuple[OrderTerm, ...], keys: list) -> Column:
+    """Whether a row has just these sort keys or comes after them."""
+    found = F.lit(True)
+    for t, v in reversed(list(zip(order, keys))):
+        c, last = F.col(quoted(t.column)), (t.nulls or ("last" if t.direction == "asc" else "first")) == "last"
+        if v is None:
+            beyond = F.lit(False) if last else c.isNotNull()
+        else:
+            beyond = c > F.lit(v) if t.direction == "asc" else c < F.lit(v)
+            beyond = F.coalesce(beyond, F.lit(last))  # only a null isn't compared
+        found = beyond | (c.eqNullSafe(F.lit(v)) & found)
+    return found
+
+
 def _count(n: Any, what: str) -> int:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise LakeError("INVALID_QUERY", f"{what} must be a whole number from 0")

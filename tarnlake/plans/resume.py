@@ -32,7 +32,11 @@ def fingerprint(value: Any) -> str:
 
 @dataclass(frozen=True)
 class Bookmark:
-    """A position in a plan's result: the first row not yet read."""
+    """A position in a plan's result: the first row not yet read.
+
+    ``after`` has the sort keys of the last row read and how many rows with just these keys were read, where they can be
+    written as JSON; reading goes on from there without passing over the rows before.
+    """
 
     plan_fingerprint: str
     row_offset: int
@@ -41,10 +45,11 @@ class Bookmark:
     row_group: int = 0
     query: dict | None = None
     version: int = 1
+    after: dict | None = None
 
     def as_dict(self) -> dict:
         d = {"version": self.version, "planFingerprint": self.plan_fingerprint, "snapshot": self.snapshot, "position": {"fileIndex": self.file_index, "rowGroup": self.row_group, "rowOffset": self.row_offset}}
-        return d | ({"query": self.query} if self.query is not None else {})
+        return d | ({"query": self.query} if self.query is not None else {}) | ({"after": self.after} if self.after is not None else {})
 
     @staticmethod
     def from_dict(d: Any) -> Bookmark:
@@ -52,7 +57,7 @@ class Bookmark:
             p = d["position"]
             if d["version"] != 1 or any(not isinstance(p[k], int) or p[k] < 0 for k in ("fileIndex", "rowGroup", "rowOffset")):
                 raise KeyError("position")
-            return Bookmark(str(d["planFingerprint"]), p["rowOffset"], str(d["snapshot"]), p["fileIndex"], p["rowGroup"], d.get("query"))
+            return Bookmark(str(d["planFingerprint"]), p["rowOffset"], str(d["snapshot"]), p["fileIndex"], p["rowGroup"], d.get("query"), after=d.get("after"))
         except (KeyError, TypeError) as e:
             raise LakeError("INVALID_BOOKMARK", "not a bookmark") from e
 

@@ -529,6 +529,19 @@ def test_budget_of_time_holds_for_late_jobs(spark):
         assert len(q.limit(2).to_array()) == 2
 
 
+@pytest.mark.parametrize("terms", [["a"], [("a", "desc")], [("a", "asc", "first"), ("b", "desc", "last")], []])
+def test_slices_go_on_behind_the_last_keys(spark, terms):
+    rows = [{"a": a, "b": b} for a in (None, 1, 2, 2, 3) for b in (None, "x", "y", "y", "y")]
+    q = Lake(spark).rows(rows, "a bigint, b string").select("a", "b").order_by(*terms)
+    whole, _ = q.slice(100)
+    for n in (1, 2, 3, 7):
+        parts, marks = zip(*q.resumable(n))
+        assert [r for p in parts for r in p] == whole and len(whole) == 25
+        assert all(m.after for m in marks[:-1]) and resume.Bookmark.from_dict(marks[0].as_dict()) == marks[0]
+    assert sum(len(p) for p, _ in q.limit(11).offset(3).resumable(4)) == 11
+    assert [r for p, _ in q.offset(3).resumable(4) for r in p] == whole[3:]
+
+
 def test_median_of_texts_over_ranges(spark):
     words = [f"w{i * 7919 % 501:04d}" for i in range(501)]
     df = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)] + [(1, None), (None, "x")], "k int, w string")
