@@ -363,8 +363,7 @@ built(
 )
 text(
     "agg_over_subqueries",
-    "select o_orderpriority, count(*) as n, sum(o_totalprice) as total from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49) group by o_orderpriority",
-    "select o_orderpriority, count(*) as n, sum(o_totalprice) as total from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49) group by o_orderpriority",
+    "select o_orderpriority, count(*) as n, sum(cast(round(o_totalprice * 100) as bigint)) as cents from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49) group by o_orderpriority",
 )
 text("sql_empty_cte", "with none as (select n_nationkey from nation where n_nationkey < 0) select n_nationkey, n_name from nation where n_nationkey in (select n_nationkey from none)")
 text("sql_empty_cte_aggregate", "with none as (select n_nationkey from nation where n_nationkey < 0) select count(*) as n, max(n_nationkey) as most from none")

@@ -30,6 +30,12 @@ def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_rows(table(spark, d, "file_rows"), table(spark, d, "table_schemas"))
 
 
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Of each field of each schema, under its consistent name, the records and how many have no value."""
+    values = p1_rows(spark, d).select("table_name", "schema_id", F.explode("fields").alias("field", "value"))
+    return values.groupBy("table_name", "schema_id", "field").agg(F.count("*").alias("records"), F.count_if(F.col("value.tag") == "null").alias("missing"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.small_files(table(spark, d, "data_files")).select("entry_id")
 
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_alternatives": p1_alternatives,
         "p1_rows": p1_rows,
+        "p1_fields": p1_fields,
         "p2_found": p2_found,
         "p2_files": p2_files,
         "p2_rows": p2_rows,
@@ -167,15 +174,7 @@ pairs as (
     and not exists (select 1 from fields x where x.table_name = n.table_name and x.schema_id = n.schema_id and x.field_id = n.source_id))"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": f"""with {_PAIRS}
-select table_name, schema_id, field_id, 'added' as change from pairs where was_id is null
-union all select table_name, schema_id, field_id, 'renamed' from pairs where was_name <> name
-union all select table_name, schema_id, field_id, 'retyped' from pairs where was_type <> type
-union all select s.table_name, s.schema_id, f.field_id, 'removed' from schemas s join fields f on f.table_name = s.table_name and f.schema_id = s.before
-where not exists (select 1 from pairs p where p.table_name = s.table_name and p.schema_id = s.schema_id and p.was_id = f.field_id)""",
-        "p1_alternatives": f"""with recursive {_PAIRS},
+_UNIONS = f"""{_PAIRS},
 links as (select table_name, field_id, min(was_id) as up from pairs where was_id <> field_id group by all),
 walk as (
   select table_name, field_id, up as path from links
@@ -192,12 +191,30 @@ measured as (
     len(list_filter(types, lambda t: t not in ('int', 'long'))) as no_whole, len(list_filter(types, lambda t: t not in ('int', 'long') and not t like 'decimal%')) as no_exact,
     len(list_filter(types, lambda t: t not in ('int', 'long', 'float', 'double') and not t like 'decimal%')) as no_number, len(list_filter(types, lambda t: t not in ('date', 'timestamp'))) as no_time,
     count(*) over (partition by table_name, name) as owners
-  from unions)
+  from unions)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"""with {_PAIRS}
+select table_name, schema_id, field_id, 'added' as change from pairs where was_id is null
+union all select table_name, schema_id, field_id, 'renamed' from pairs where was_name <> name
+union all select table_name, schema_id, field_id, 'retyped' from pairs where was_type <> type
+union all select s.table_name, s.schema_id, f.field_id, 'removed' from schemas s join fields f on f.table_name = s.table_name and f.schema_id = s.before
+where not exists (select 1 from pairs p where p.table_name = s.table_name and p.schema_id = s.schema_id and p.was_id = f.field_id)""",
+        "p1_alternatives": f"""with recursive {_UNIONS}
 select a.table_name, a.path, a.field_type, a.first_schema_id, a.last_schema_id,
   case when len(types) = 1 then types[1] when no_whole = 0 then 'long' when no_exact = 0 and head + scale <= 38 then 'decimal(' || (head + scale) || ',' || scale || ')'
     when no_number = 0 then 'double' when no_time = 0 then 'timestamp' else 'string' end as canonical_type,
   case when owners > 1 then m.name || '#' || m.path else m.name end as canonical_name
 from alternatives a join measured m using (table_name, path)""",
+        "p1_fields": f"""with recursive {_UNIONS},
+specs as (
+  select distinct p.table_name, p.schema_id, p.name as written, case when m.owners > 1 then m.name || '#' || m.path else m.name end as field
+  from paths p join measured m using (table_name, path)),
+one as (select distinct row_id, table_name, schema_id, payload from file_rows)
+select o.table_name, o.schema_id, s.field, count(*) as records, count_if(json_extract_string(case when json_valid(o.payload) then o.payload end, '$."' || s.written || '"') is null) as missing
+from one o join specs s using (table_name, schema_id) group by all""",
         "p2_found": f"""with {_LIVE},
 small as (select *, count(*) over (partition by p.t, p.s, p.d) as n from live where size < 1048576)
 select entry_id from small where n >= 2""",
