@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
 from tarnlake.operators.dedup import once_each
-from tarnlake.plans.shared import Pointer, materialized, scratch
+from tarnlake.plans.shared import Pointer, materialized, scratch, tasks
 from tarnlake.plans.skew import salted_join
 
 if TYPE_CHECKING:
@@ -142,7 +142,8 @@ def compact_files(files: DataFrame, group: Sequence[str], out: str, target: int
 
     kinds = ", ".join(f"`{g}` string" for g in group)
     binned = plan_bins(files, group, target).select(*group, "layout", "bin", "path", "rows")
-    return binned.groupBy(*group, "layout", "bin").applyInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
+    keys = [*group, "layout", "bin"]
+    return binned.repartition(tasks(files.sparkSession), *keys).groupBy(*keys).applyInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
 
 
 def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], rows: Callable[[], int]) -> DataFrame:
@@ -184,26 +185,48 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
     planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION])
     columns = rows.columns
 
-    def write(key: tuple, table: pa.Table) -> pa.Table:
+    def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.parquet as pq
 
         from tarnlake.sources.storage import writing
 
-        table = table.sort_by([("row_offset", "ascending"), ("row_id", "ascending")])
-        seen: set = set()
-        once = [not (i in seen or seen.add(i)) or i is None for i in table.column("row_id").to_pylist()]
-        body = table.select(columns).filter(pa.array(once)).combine_chunks()
-        path = f"{out}/{hashlib.md5(key[0].as_py().encode()).hexdigest()}.parquet"
-        with writing(path, uuid.uuid4().hex) as sink, pa.PythonFile(sink, "w") as target:
-            pq.write_table(body, target, compression="zstd", use_dictionary=False, store_schema=False)
-            length = target.tell()
-        values = {c: pa.array([k.as_py()], pa.string()) for c, k in zip(PARTITION, key[1:])}
-        return pa.table({"path": pa.array([path], pa.string()), "length": pa.array([length], pa.int64())} | values)
+        def flush(parts: list[pa.RecordBatch]) -> tuple:
+            table = pa.Table.from_batches(parts)
+            seen: set = set()
+            once = [not (i in seen or seen.add(i)) or i is None for i in table.column("row_id").to_pylist()]
+            body, name = table.select(columns).filter(pa.array(once)).combine_chunks(), table.column("file")[0].as_py()
+            path = f"{out}/{hashlib.md5(name.encode()).hexdigest()}.parquet"
+            with writing(path, uuid.uuid4().hex) as sink, pa.PythonFile(sink, "w") as target:
+                pq.write_table(body, target, compression="zstd", use_dictionary=False, store_schema=False)
+                length = target.tell()
+            return path, length, *(table.column(f"__{c}")[0].as_py() for c in PARTITION)
+
+        kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), *((c, pa.string()) for c in PARTITION)])
+        report = lambda found: pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), kinds.types)], schema=kinds)
+        held: list[pa.RecordBatch] = []
+        current, found = None, []
+        # rows come in order of file; a file may go on in the next batch
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if held and names[begin] != current:
+                    found.append(flush(held))
+                    held = []
+                current = names[begin]
+                held.append(batch.slice(begin, end - begin))
+            if found:
+                yield report(found)
+                found = []
+        if held:
+            yield report([flush(held)])
 
     tagged = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).join(planned, "file")
     kinds = ", ".join(f"{c} string" for c in PARTITION)
-    return tagged.groupBy("file", *[f"__{c}" for c in PARTITION]).applyInArrow(write, f"path string, length bigint, {kinds}")
+    return tagged.repartition(tasks(rows.sparkSession), "file").sortWithinPartitions("file", "row_offset", "row_id").mapInArrow(write, f"path string, length bigint, {kinds}")
 
 
 def compact_lake(rows: DataFrame, entries: DataFrame, out: str, target: int = TARGET) -> DataFrame:

@@ -350,7 +350,7 @@ _OVER = ((col("o_custkey"),), (Order(col("o_orderkey")),), _FRAME)
 built(
     "win_spread_frames",
     "orders",
-    """select o_orderkey, round(var_samp(o_totalprice) over w / 1e6, 4) as v, round(stddev_pop(o_totalprice) over w, 4) as s, first(o_totalprice) over w as f, last(o_totalprice) over w as l, median(o_totalprice) over w as m
+    """select o_orderkey, round(var_samp(o_totalprice) over w / 1e6) as v, round(stddev_pop(o_totalprice) over w) as s, first(o_totalprice) over w as f, last(o_totalprice) over w as l, median(o_totalprice) over w as m
   from orders window w as (partition by o_custkey order by o_orderkey rows between 3 preceding and 1 following)""",
     lambda q: q.select("o_orderkey", "v0", "s0", "f", "l", "m")
     .window("v0", Window("var_samp", ("o_totalprice",), *_OVER))
@@ -359,7 +359,7 @@ built(
     .window("l", Window("last", ("o_totalprice",), *_OVER))
     .window("m", Window("median", ("o_totalprice",), *_OVER))
     .df()
-    .select("o_orderkey", F.round(F.col("v0") / 1e6, 4).alias("v"), F.round("s0", 4).alias("s"), "f", "l", "m"),
+    .select("o_orderkey", F.round(F.col("v0") / 1e6).alias("v"), F.round("s0").alias("s"), "f", "l", "m"),
 )
 text(
     "agg_over_subqueries",

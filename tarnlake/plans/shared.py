@@ -50,6 +50,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work whose cost isn't in the bytes that are shuffled (paths of files, say), which AQE would put into few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that costs far more than moving the rows.
 
