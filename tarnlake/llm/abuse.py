@@ -8,26 +8,30 @@ a positive document are outvoted by their many negative likes.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import pickle
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.plans.shared import materialized, spread
+from tarnlake.plans.shared import materialized, scratch, spread
+from tarnlake.plans.skew import salted_join
 
 #: What readers mark.
 LABELS = ("abusive", "hateful", "sexual")
 
-#: Documented bounds: labelled documents, and characters of theirs, that examples are taken from, about; beyond either
-#: bound they are sampled by a hash of their id.
-MOST_LABELLED, MOST_CHARACTERS = 8000, 40_000_000
+#: Examples in a part of the index; all labelled documents give examples, in as many parts as it takes.
+PART = 32_768
 #: Examples that vote, the power of the cosine that weighs a vote, the weight of the prior, the least cosine of a
 #: positive example that counts, passages in a block, and the vote from which a passage is found.
 VOTERS, SHARPNESS, PRIOR, LEAST, BLOCK, FOUND = 10, 3, 0.12, 0.3, 32, 0.15
@@ -115,10 +119,20 @@ def passages(text: str | None) -> list[str]:
     return found
 
 
+def key_of(passage: str) -> str:
+    """The words of a passage, a space apart; numbers are one word. Passages of one key are the same to the index."""
+    return " ".join(_WORD.findall(_NUMBER.sub(" 0 ", passage)))
+
+
+def terms_of(key: str) -> tuple[str, ...]:
+    """Words and pairs of neighbouring words of a key."""
+    words = key.split()
+    return (*words, *(f"{a} {b}" for a, b in zip(words, words[1:])))
+
+
 def terms(passage: str) -> tuple[str, ...]:
     """Words and pairs of neighbouring words; numbers are one word."""
-    words = _WORD.findall(_NUMBER.sub(" 0 ", passage))
-    return (*words, *(f"{a} {b}" for a, b in zip(words, words[1:])))
+    return terms_of(key_of(passage))
 
 
 #: Passages whose bounds are computed at once, and blocks of each that are read before the rest is bounded by what they gave.
@@ -144,6 +158,39 @@ class Batch:
         return Batch(np.repeat(np.arange(len(chosen)), counts), self.ids[at], self.weights[at], len(chosen))
 
 
+class Vocabulary:
+    """Ids of terms, in how many of all documents each stands, and its weight."""
+
+    def __init__(self, df: dict[str, int], documents: int, more: Iterable[str] = ()):
+        self.documents, self.default = documents, math.log((documents + 1) / 1.0) + 1
+        self.ids = {t: i for i, t in enumerate(dict.fromkeys([*df, *more]))}
+        self.counts = np.array([df.get(t, 0) for t in self.ids], np.int64)
+        self.idf = np.log((documents + 1) / (self.counts + 1)) + 1
+
+    def rarest(self, ts: tuple[str, ...]) -> int:
+        """The documents that the rarest term of ``ts`` stands in."""
+        return min((int(self.counts[self.ids[t]]) if t in self.ids else 0 for t in ts), default=0)
+
+    def weigh(self, passages: Sequence[tuple[str, ...]]) -> Batch:
+        """Term ids and weights of unit length of each passage; terms without id count in the length only."""
+        known, unknown = self.ids, {}
+        ids = np.array([known[t] if t in known else -1 - unknown.setdefault(t, len(unknown)) for ts in passages for t in ts], np.int64)
+        rows = np.repeat(np.arange(len(passages)), [len(ts) for ts in passages])
+        # equal terms of a row are counted
+        order = np.lexsort((ids, rows))
+        ids, rows = ids[order], rows[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
+        at = np.flatnonzero(first)
+        tf = 1 + np.log(np.diff(np.append(at, len(ids))))
+        ids, rows = ids[at], rows[at]
+        w = tf * np.where(ids >= 0, self.idf[np.maximum(ids, 0)] if len(self.idf) else 0.0, self.default)
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(passages)))
+        w = (w / np.maximum(norm, 1e-300)[rows]).astype(np.float32)
+        keep = ids >= 0
+        return Batch(rows[keep], ids[keep], w[keep], len(passages))
+
+
 class VoteIndex:
     """Labelled passages under an inverted index of TF-IDF weights, in blocks with the greatest weight of each term.
 
@@ -152,19 +199,14 @@ class VoteIndex:
     reaches what is needed are multiplied out, block by block.
     """
 
-    def __init__(self, examples: dict[tuple[str, ...], tuple[float, ...]], df: dict[str, int], documents: int):
-        self.documents, self.default = documents, math.log((documents + 1) / 1.0) + 1
+    def __init__(self, examples: dict[tuple[str, ...], tuple[float, ...]], df: dict[str, int] | Vocabulary, documents: int = 0):
+        self.vocabulary = df if isinstance(df, Vocabulary) else Vocabulary(df, documents, (t for ts in examples for t in ts))
         # passages made after one pattern begin alike: in this order they share blocks, which keeps the bounds close;
         # those with positive votes come first, as without one of them nearby nothing else needs to be read
-        order = sorted(examples, key=lambda ts: (examples[ts][0] <= 0, ts))
+        order = sorted(examples, key=lambda ts: (examples[ts][0] <= 0, ts[: (len(ts) + 1) // 2]))
         self.positives = sum(examples[ts][0] > 0 for ts in order)
         self.votes = np.array([examples[ts] for ts in order], np.float64).reshape(len(order), -1 if order else 2 + len(LABELS))
         self.texts = [" ".join(t for t in ts if " " not in t) for ts in order]
-        self.ids: dict[str, int] = {}
-        for ts in order:
-            for t in ts:
-                self.ids.setdefault(t, len(self.ids))
-        self.idf = np.array([math.log((documents + 1) / (df.get(t, 0) + 1)) + 1 for t in self.ids], np.float64)
         weighed = self.weigh(order)
         self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
         terms_of, blocks_of, most = [], [], []
@@ -188,24 +230,20 @@ class VoteIndex:
         # most passages find nothing in the blocks with positive examples, so those have postings of their own
         self._leading, self._all = postings(-(-self.positives // BLOCK)), postings(len(self.blocks))
 
+    def __getstate__(self) -> dict:
+        """Without the vocabulary, which all parts of an index share."""
+        return self.__dict__ | {"vocabulary": None}
+
+    @property
+    def ids(self) -> dict[str, int]:
+        return self.vocabulary.ids
+
+    @property
+    def default(self) -> float:
+        return self.vocabulary.default
+
     def weigh(self, passages: Sequence[tuple[str, ...]]) -> Batch:
-        """Term ids and weights of unit length of each passage; terms without id count in the length only."""
-        known, unknown = self.ids, {}
-        ids = np.array([known[t] if t in known else -1 - unknown.setdefault(t, len(unknown)) for ts in passages for t in ts], np.int64)
-        rows = np.repeat(np.arange(len(passages)), [len(ts) for ts in passages])
-        # equal terms of a row are counted
-        order = np.lexsort((ids, rows))
-        ids, rows = ids[order], rows[order]
-        first = np.ones(len(ids), bool)
-        first[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
-        at = np.flatnonzero(first)
-        tf = 1 + np.log(np.diff(np.append(at, len(ids))))
-        ids, rows = ids[at], rows[at]
-        w = tf * np.where(ids >= 0, self.idf[np.maximum(ids, 0)] if len(self.idf) else 0.0, self.default)
-        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(passages)))
-        w = (w / np.maximum(norm, 1e-300)[rows]).astype(np.float32)
-        keep = ids >= 0
-        return Batch(rows[keep], ids[keep], w[keep], len(passages))
+        return self.vocabulary.weigh(passages)
 
     @staticmethod
     def _bounds(batch: Batch, postings: tuple[int, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -239,13 +277,16 @@ class VoteIndex:
                 found[mine[(sims[:, : self.positives - b * BLOCK] >= LEAST).any(axis=1)]] = True
         return found
 
-    def nearest(self, batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, example, cosine) of the ``k`` examples of greatest cosine above 0 of each passage, exactly; ties by place."""
+    def nearest(self, batch: Batch, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, example, cosine) of the ``k`` examples of greatest cosine above 0 of each passage, exactly; ties by place.
+
+        Examples below the ``least`` cosine of their passage, if that is given, aren't needed and may be missing.
+        """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         if not self.blocks or not len(batch.ids):
             return none
         bounds = self._bounds(batch, self._all)
-        floor, found = np.zeros(batch.size, np.float32), [none]
+        floor, found = np.zeros(batch.size, np.float32) if least is None else least.copy(), [none]
 
         def read(rows: np.ndarray, blocks: np.ndarray) -> None:
             for mine, b, sims in self._cosines(batch, rows, blocks):
@@ -262,41 +303,22 @@ class VoteIndex:
         some = min(FIRST_BLOCKS, len(self.blocks))
         first = np.argpartition(-bounds, some - 1, axis=1)[:, :some]
         rows = np.repeat(np.arange(batch.size), some)
-        good = np.take_along_axis(bounds, first, axis=1).ravel() > 0
+        tops = np.take_along_axis(bounds, first, axis=1).ravel()
+        good = (tops > 0) & (tops + 1e-5 >= floor[rows])
         read(rows[good], first.ravel()[good])
         found[:] = [best()]
         counts = np.bincount(found[0][0], minlength=batch.size)
         full = counts >= k
         ends = np.cumsum(counts)
-        floor[full] = found[0][2][ends[full] - 1]
+        floor[full] = np.maximum(floor[full], found[0][2][ends[full] - 1])
         np.put_along_axis(bounds, first, 0.0, axis=1)
         # the margin covers the rounding of sums of single-precision products
         read(*np.nonzero((bounds > 0) & (bounds + 1e-5 >= floor[:, None])))
         return best()
 
     def ask(self, passages: Sequence[tuple[str, ...]], voters: int = VOTERS, sharpness: float = SHARPNESS) -> tuple[np.ndarray, np.ndarray]:
-        """Of each passage the votes of its nearest examples (positive, all, positive of each label), and the example that weighs most for it.
-
-        Votes weigh the cosine to the power of ``sharpness``; without a positive example of cosine ``LEAST`` all are 0
-        and the example is -1.
-        """
-        sums, evidence = np.zeros((len(passages), self.votes.shape[1])), np.full(len(passages), -1)
-        asked: list[int] = []
-        for at in range(0, len(passages), BATCH):
-            asked += (at + np.flatnonzero(self.likely(self.weigh(passages[at : at + BATCH])))).tolist()
-        for at in range(0, len(asked), BATCH):
-            mine = np.array(asked[at : at + BATCH])
-            rows, places, sims = self.nearest(self.weigh([passages[i] for i in mine]), voters)
-            w = np.minimum(1.0, sims.astype(np.float64)) ** sharpness
-            near = sims >= LEAST
-            for c in range(self.votes.shape[1]):
-                sums[mine, c] = np.bincount(rows, w * self.votes[places, c] * (near if c != 1 else 1), minlength=len(mine))
-            heavy = w * self.votes[places, 0] * near
-            order = np.lexsort((-heavy, rows))
-            top = order[np.searchsorted(rows[order], np.unique(rows))]
-            top = top[heavy[top] > 0]
-            evidence[mine[rows[top]]] = places[top]
-        return sums, evidence
+        """``ask_parts`` of this index alone: votes, and the place of the example that weighs most (-1 if none)."""
+        return ask_parts([(lambda: self, len(self.texts), bool(self.positives))], self.vocabulary, passages, voters, sharpness)[:2]
 
     def vote(self, passages: Sequence[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """The share of positive votes (any label, then each) of each passage, and the example that weighs most for it."""
@@ -304,6 +326,54 @@ class VoteIndex:
         return sums[:, [0, *range(2, sums.shape[1])]] / (sums[:, 1:2] + PRIOR), evidence
 
 
+def ask_parts(parts: Sequence[tuple[Callable[[], VoteIndex], int, bool]], vocabulary: Vocabulary, passages: Sequence[tuple[str, ...]], voters: int, sharpness: float) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """Of each passage the votes of its nearest examples (positive, all, positive of each label), and the place and words of the example that weighs most for it.
+
+    ``parts`` give an index part (loaded when needed), its examples, and whether any is positive; the nearest are those of
+    all parts together, ties in their order. Votes weigh the cosine to the power of ``sharpness``; without a positive
+    example of cosine ``LEAST`` all are 0 and there is no example.
+    """
+    sums, evidence = np.zeros((len(passages), 2 + len(LABELS))), np.full(len(passages), -1)
+    words: list[str | None] = [None] * len(passages)
+    likely = np.zeros(len(passages), bool)
+    batches = [(at, vocabulary.weigh(passages[at : at + BATCH])) for at in range(0, len(passages), BATCH)]
+    for load, _, positive in parts:
+        if positive:
+            for at, batch in batches:
+                likely[at : at + batch.size] |= load().likely(batch)
+    asked = [(at + own, batch.take(own)) for at, batch in batches if len(own := np.flatnonzero(likely[at : at + batch.size]))]
+    # of each batch: passage, place, cosine, votes and words of the nearest so far
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, sums.shape[1])), np.zeros(0, object)) for _ in asked]
+    place = 0
+    for load, size, _ in parts if asked else ():
+        index = load()
+        texts = np.array([*index.texts, None], object)
+        for i, (mine, batch) in enumerate(asked):
+            least, full = np.zeros(batch.size, np.float32), np.bincount(best[i][0], minlength=batch.size) >= voters
+            if full.any():
+                least[full] = best[i][2][np.searchsorted(best[i][0], np.arange(batch.size), "right")[full] - 1]
+            rows, places, sims = index.nearest(batch, voters, least)
+            new = rows, place + places, sims, index.votes[places], texts[places]
+            rows, places, sims, votes, texts_of = (np.concatenate(x) for x in zip(best[i], new))
+            order = np.lexsort((places, -sims, rows))
+            order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < voters]
+            best[i] = rows[order], places[order], sims[order], votes[order], texts_of[order]
+        place += size
+    for (mine, _), (rows, places, sims, votes, texts_of) in zip(asked, best):
+        w = np.minimum(1.0, sims.astype(np.float64)) ** sharpness
+        near = sims >= LEAST
+        for c in range(sums.shape[1]):
+            sums[mine, c] = np.bincount(rows, w * votes[:, c] * (near if c != 1 else 1), minlength=len(mine))
+        heavy = w * votes[:, 0] * near
+        order = np.lexsort((-heavy, rows))
+        top = order[np.searchsorted(rows[order], np.unique(rows))]
+        top = top[heavy[top] > 0]
+        evidence[mine[rows[top]]] = places[top]
+        for at, text in zip(mine[rows[top]].tolist(), texts_of[top]):
+            words[at] = text
+    return sums, evidence, words
+
+
 #: How the witnesses of positive readings are found: examples asked and sharpness (a wide, soft look), the least share of
 #: positive votes of a witness, and how near to a document's most suspicious passage another one must come.
 WIDE, SOFT, SUSPECT, NEAR_BEST = 40, 3, 0.35, 0.85
@@ -323,7 +393,7 @@ def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: d
     Readings (any label, then each) are of whole documents, and readers err. A first index gives each passage its
     document's readings; a wide look at its neighbours, and how rare it is in all documents, tell how suspicious it is. A
     positive reading then goes to the document's most suspicious passages, and to none if nothing stands out; for its
-    other passages it counts as negative.
+    other passages it counts as negative. This is for what one process holds; ``train`` does the same in tasks.
     """
 
     def collect(share) -> dict[tuple[str, ...], tuple[float, ...]]:
@@ -357,11 +427,13 @@ def witnesses(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: d
     return collect(stands_out)
 
 
+@dataclass
 class Model:
-    """The index over all examples, and how a vote maps to the share of positive readings."""
+    """The parts of the index over all examples, and how a vote maps to the share of positive readings."""
 
-    def __init__(self, index: VoteIndex, steps: list[tuple[float, float]]):
-        self.index, self.steps = index, steps
+    parts: list[IndexPart]
+    vocabulary: Broadcast
+    steps: list[tuple[float, float]]
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         """The share of positive readings among documents with about these votes, rising with them."""
@@ -379,79 +451,143 @@ def rising_steps(votes: list[float], readings: list[tuple[float, float]]) -> lis
     return [(a / n, p / n) for a, p, n in pools]
 
 
-def _half(doc: int) -> int:
-    return hashlib.md5(str(doc).encode()).digest()[0] & 1
-
-
-def _held_out(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int, half: int) -> list[tuple[float, float, float]]:
-    """(vote, positive readings, readings) of the documents of one half, by a hash of their id, by an index of the other half."""
-    mine, other = ({d: r for d, r in readings.items() if (_half(d) == half) == own} for own in (True, False))
-    if not mine or not other:
-        return []
-    index = VoteIndex(witnesses(texts, other, df, documents), df, documents)
-    asked = sorted({p for d in mine for p in texts.get(d, ())})
-    known = dict(zip(asked, index.vote(asked)[0][:, 0].tolist()))
-    return [(max((known[p] for p in texts.get(d, ())), default=0.0), sum(r[0] for r in rs), float(len(rs))) for d, rs in mine.items()]
-
-
-def fit(texts: dict[int, list[tuple[str, ...]]], readings: Readings, df: dict[str, int], documents: int, spark: SparkSession) -> Model:
-    """The model of labelled documents, calibrated on halves of them; the index and both halves are each fitted in a task."""
-    shared = spark.sparkContext.broadcast((texts, readings, df, documents))
-
-    def part(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                texts, readings, df, documents = shared.value
-                made = _held_out(texts, readings, df, documents, n) if n < 2 else VoteIndex(witnesses(texts, readings, df, documents), df, documents)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([pickle.dumps(made)], pa.binary())], names=["part", "made"])
-
-    made = {r["part"]: pickle.loads(r["made"]) for r in spark.range(0, 3, 1, 3).mapInArrow(part, "part bigint, made binary").collect()}
-    held_out = made[0] + made[1]
-    return Model(made[2], rising_steps([v for v, _, _ in held_out], [(p, n) for _, p, n in held_out]))
-
-
 def cut_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, passages) of every row, written once: the distinct passages of its text, none for null and blank texts."""
+    """(row, doc_id, source, passages, keys) of every row, written once: the distinct passages of its text with the key of each, none for null and blank texts."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        known: dict[str, str] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = pa.array([list(dict.fromkeys(passages(t))) for t in part.column(2).to_pylist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["doc_id", "source", "passages"])
+                found = [list(dict.fromkeys(passages(t))) for t in part.column(2).to_pylist()]
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                for p in dict.fromkeys(p for own in found for p in own):
+                    if p not in known:
+                        known[p] = key_of(p)
+                texts = pa.list_(pa.string())
+                columns = [part.column(0), part.column(1), pa.array(found, texts), pa.array([[known[p] for p in own] for own in found], texts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "passages", "keys"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return materialized(spread(rows, "doc_id").mapInArrow(cut, "doc_id bigint, source string, passages array<string>"), "passages")
+    made = spread(rows, "doc_id").mapInArrow(cut, "doc_id bigint, source string, passages array<string>, keys array<string>")
+    return materialized(made.select(F.monotonically_increasing_id().alias("row"), "*"), "passages")
 
 
 def _readings(labels: DataFrame) -> DataFrame:
-    """(doc_id, readings): of each reader of a document 1 or 0 for any label and for each; a reading of nulls alone is none."""
+    """(doc_id, n, up): the readings of a document, and how many of them were positive for any label and for each; a reading of nulls alone is none."""
     one = F.greatest(*LABELS)
     each = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "annotator").agg(F.max(one).alias("any"), *[F.max(c).alias(c) for c in LABELS]).filter("any is not null")
-    parts = [F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("any", *LABELS)]
-    return each.groupBy("doc_id").agg(F.collect_list(F.array(*parts)).alias("readings"))
+    return each.groupBy("doc_id").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(F.coalesce(F.col(c), F.lit(0)).cast("double")) for c in ("any", *LABELS)]).alias("up"))
+
+
+class IndexPart(NamedTuple):
+    """A written part of an index: where it is, its examples, and whether they have positive votes."""
 
+    path: str
+    examples: int
+    positive: bool
 
-def train(cut: DataFrame, labels: DataFrame) -> Model:
-    """The model from the labelled ones of ``cut_documents``; document frequencies are counted over all of them.
 
-    Without labels, or without positive ones, all votes are 0. Rows of one id are taken together.
+def _write_index(examples: DataFrame, vocabulary: Broadcast) -> dict[int, list[IndexPart]]:
+    """``examples`` (part, key, up, total) as the parts of the index of each ``part``, in order, each made and written by a task.
+
+    Examples with positive votes come first, then words decide, so the order is the same wherever the parts are cut.
     """
-    labelled = cut.filter(F.size("passages") > 0).select("doc_id", "passages").join(_readings(labels), "doc_id")
-    n, chars = labelled.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("passages", " "))), F.lit(0))).first()
-    share = min(1.0, MOST_LABELLED / max(n, 1), MOST_CHARACTERS / max(chars, 1))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("labelled")), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts: dict[int, list[tuple[str, ...]]] = defaultdict(list)
-    readings: Readings = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["passages"])):
-        texts[row["doc_id"]] += [terms(p) for p in row["passages"]]
-        readings[row["doc_id"]] = sorted(map(tuple, row["readings"]))
-    vocabulary = {t: i for i, t in enumerate(sorted({t for ps in texts.values() for p in ps for t in p}))}
-    shared = cut.sparkSession.sparkContext.broadcast(vocabulary)
+    spark, out, most = examples.sparkSession, scratch(examples.sparkSession, "votes"), PART
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        from tarnlake.sources.storage import writing
+
+        place, held, n = TaskContext.get().partitionId(), {}, 0
+
+        def flush(kind: tuple[int, bool]) -> str:
+            nonlocal n
+            path, n = f"{out}/{kind[0]}-{int(kind[1])}-{place}-{n}.part", n + 1
+            with writing(path, uuid.uuid4().hex) as f:
+                pickle.dump(VoteIndex(held.pop(kind), vocabulary.value), f)
+            return path
+
+        def report(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({k: list(x) for k, x in zip(("part", "negative", "place", "no", "path", "examples"), zip(*found))})
+
+        # rows come in order, so one kind is open at a time
+        for batch in batches:
+            for part, negative, key, up, total in zip(*(batch.column(c).to_pylist() for c in ("part", "negative", "key", "up", "total"))):
+                kind = part, negative
+                for old in [k for k in held if k != kind or len(held[k]) >= most]:
+                    size = len(held[old])
+                    yield report([(*old, place, n, flush(old), size)])
+                held.setdefault(kind, {})[terms_of(key)] = (up[0], total, *up[1:])
+        for old in list(held):
+            size = len(held[old])
+            yield report([(*old, place, n, flush(old), size)])
+
+    ordered = [F.col("part"), F.col("negative"), F.split("key", " ")]
+    ready = materialized(examples.select(F.col("part").cast("bigint").alias("part"), (F.element_at("up", 1) <= 0).alias("negative"), "key", "up", "total"), "examples")
+    spans = max(1, -(-ready.count() // most))
+    made = ready.repartitionByRange(spans, *ordered).sortWithinPartitions(*ordered).mapInArrow(write, "part bigint, negative boolean, place bigint, no bigint, path string, examples bigint")
+    found: dict[int, list[IndexPart]] = defaultdict(list)
+    for r in sorted(made.collect(), key=lambda r: (r["part"], r["negative"], r["place"], r["no"])):
+        found[r["part"]].append(IndexPart(r["path"], r["examples"], not r["negative"]))
+    return found
+
+
+def _ask(keys: DataFrame, parts: dict[int, list[IndexPart]], vocabulary: Broadcast, voters: int, sharpness: float) -> DataFrame:
+    """(part, key, up, total, rarest, likeness) of those distinct ``keys`` (part, key) that have positive votes in the index of their part, written once.
+
+    A task asks the parts of the index one after another for its keys, and holds two of them at most.
+    """
+    keys = materialized(keys.filter("key <> ''").select(F.col("part").cast("bigint").alias("part"), "key").distinct(), "asked")
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from tarnlake.sources.storage import open_read
+
+        @lru_cache(maxsize=2)
+        def load(path: str) -> VoteIndex:
+            file, _ = open_read(path)
+            with file:
+                index = pickle.load(file)
+            index.vocabulary = vocabulary.value
+            return index
+
+        for batch in batches:
+            mine: dict[int, list[str]] = defaultdict(list)
+            for part, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine[part].append(key)
+            for part, own in mine.items():
+                asked = [terms_of(k) for k in own]
+                sums, _, words = ask_parts([(partial(load, p.path), p.examples, p.positive) for p in parts.get(part, ())], vocabulary.value, asked, voters, sharpness)
+                found = np.flatnonzero(sums[:, 0] > 0).tolist()
+                columns = {"part": [part] * len(found), "key": [own[i] for i in found], "up": sums[found][:, [0, *range(2, sums.shape[1])]].tolist(), "total": sums[found, 1]}
+                columns |= {"rarest": [vocabulary.value.rarest(asked[i]) for i in found], "likeness": [words[i] for i in found]}
+                kinds = (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns.values(), kinds)], names=list(columns))
+
+    spans = max(1, -(-keys.count() // BATCH))
+    made = keys.repartition(spans, "part", "key").mapInArrow(ask, "part bigint, key string, up array<double>, total double, rarest bigint, likeness string")
+    return materialized(made, "votes")
+
+
+def _vocabulary(cut: DataFrame, keys: DataFrame) -> Broadcast:
+    """The terms of ``keys`` with the documents of ``cut`` that each stands in."""
+
+    def split(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list({t for k in batch.column(0).to_pylist() for t in terms_of(k)}), pa.string())], names=["term"])
+
+    names = sorted(r["term"] for r in keys.select("key").distinct().mapInArrow(split, "term string").distinct().collect())
+    context = cut.sparkSession.sparkContext
+    shared = context.broadcast({t: i for i, t in enumerate(names)})
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -461,22 +597,82 @@ def train(cut: DataFrame, labels: DataFrame) -> Model:
             for own in batch.column(0).to_pylist():
                 n += 1
                 mine: set[int] = set()
-                for p in own:
-                    found = known.get(p)
+                for key in own:
+                    found = known.get(key)
                     if found is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        found = known[p] = [ids[t] for t in terms(p) if t in ids]
+                        found = known[key] = [ids[t] for t in terms_of(key) if t in ids]
                     mine.update(found)
                 totals[list(mine)] += 1
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *totals[some].tolist()], pa.int64())], names=["term", "n"])
 
-    counts = {r["term"]: r["n"] for r in cut.select("passages").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return fit(texts, readings, {t: counts.get(i, 0) for t, i in vocabulary.items()}, counts.get(-1, 0), cut.sparkSession)
+    counts = {r["term"]: r["n"] for r in cut.select("keys").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return context.broadcast(Vocabulary({t: counts.get(i, 0) for i, t in enumerate(names)}, counts.get(-1, 0)))
+
+
+#: The part of an index that all labelled documents are in; those before it leave out one half, to be asked about it.
+WHOLE = 2
 
 
-_SCORED = ["score", "vote", *LABELS]
+def _summed(column: str) -> Column:
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(1 + len(LABELS))])
+
+
+def train(cut: DataFrame, labels: DataFrame, calibrate: bool = True) -> Model:
+    """The model from all labelled ones of ``cut_documents``; document frequencies are counted over all documents.
+
+    Examples, their witnesses (as ``witnesses`` says) and the index are made by tasks, of every labelled document. It is
+    calibrated on halves of them, by a hash of their id, if ``calibrate``, which votes don't need. Without labels, or
+    without positive ones, all votes are 0. Rows of one id are taken together.
+    """
+    joined = cut.filter(F.size("keys") > 0).select("doc_id", "keys").join(_readings(labels), "doc_id")
+    half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 2, 1), 16, 10).cast("int") % 2
+    one = joined.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.first("n").alias("n"), F.first("up").alias("up"))
+    labelled = materialized(one.withColumn("half", half), "labelled")
+    asks = F.array(F.lit(WHOLE), 1 - F.col("half")) if calibrate else F.array(F.lit(WHOLE))
+    learnt = labelled.withColumn("part", F.explode(asks))
+    own = learnt.select("part", "doc_id", "n", "up", F.explode("keys").alias("key")).filter("key <> ''")
+    vocabulary = _vocabulary(cut, labelled.select(F.explode("keys").alias("key")))
+    examples = materialized(own.groupBy("part", "key").agg(_summed("up").alias("up"), F.sum("n").alias("total")), "readings")
+
+    positive = own.filter(F.col("up")[0] > 0)
+    doubted = _ask(positive.select("part", "key"), _write_index(examples, vocabulary), vocabulary, WIDE, SOFT)
+    shares = learnt.groupBy("part").agg((F.sum(F.col("up")[0]) / F.sum("n")).alias("share"))
+    common, up = F.col("rarest") / F.lit(float(max(vocabulary.value.documents, 1))), F.col("up")[0]
+    at_least_one = F.greatest(F.lit(1.0), up)
+    alone = up / (F.col("total") + F.lit(PRIOR) + F.lit(float(DOUBT)) * common / F.col("share") / (at_least_one * at_least_one))
+    suspicion = doubted.join(F.broadcast(shares), "part").select("part", "key", alone.alias("alone"), common.alias("common")).withColumn("suspicious", F.col("alone") / (1 + F.col("common") / F.lit(COMMON)))
+    best = F.max("suspicious").over(Window.partitionBy("part", "doc_id"))
+    suspects = salted_join(positive, suspicion.select("part", "key", "alone", "suspicious"), ["part", "key"], F.col("doc_id")).withColumn("best", best)
+    chosen = suspects.filter((F.col("alone") >= SUSPECT) & (F.col("suspicious") >= NEAR_BEST * F.col("best"))).groupBy("part", "key").agg(_summed("up").alias("borne"))
+    none = F.array(*[F.lit(0.0)] * (1 + len(LABELS)))
+    parts = _write_index(examples.join(chosen, ["part", "key"], "left").select("part", "key", F.coalesce("borne", none).alias("up"), "total"), vocabulary)
+    if not calibrate or labelled.select("half").distinct().count() < 2:
+        return Model(parts[WHOLE], vocabulary, [])
+
+    held = labelled.select("doc_id", F.col("half").cast("bigint").alias("part"), F.explode("keys").alias("key"))
+    votes = _ask(held.select("part", "key"), parts, vocabulary, VOTERS, SHARPNESS).select("part", "key", _vote(F.col("up")[0]).alias("vote"))
+    tops = salted_join(held, votes, ["part", "key"], F.col("doc_id")).groupBy("doc_id").agg(F.max("vote").alias("vote"))
+    points = labelled.join(tops, "doc_id", "left").groupBy(F.coalesce("vote", F.lit(0.0)).alias("vote")).agg(F.sum(F.col("up")[0]).alias("up"), F.sum("n").alias("n")).collect()
+    return Model(parts[WHOLE], vocabulary, rising_steps([r["vote"] for r in points], [(r["up"], r["n"]) for r in points]))
+
+
+def _vote(up: Column) -> Column:
+    """The share of positive votes."""
+    return up / (F.col("total") + F.lit(PRIOR))
+
+
+def _voted(cut: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, vote, of each label, passage, likeness) of every row of ``cut_documents``; each key is asked once."""
+    asked = _ask(cut.select(F.lit(WHOLE).alias("part"), F.explode("keys").alias("key")), {WHOLE: model.parts}, model.vocabulary, VOTERS, SHARPNESS)
+    votes = asked.select("key", *[_vote(F.col("up")[i]).alias(c) for i, c in enumerate(("vote", *LABELS))], "likeness")
+    stood = cut.select("row", F.posexplode(F.arrays_zip("passages", "keys"))).select("row", "pos", F.col("col.passages").alias("passage"), F.col("col.keys").alias("key"))
+    found = salted_join(stood, votes, ["key"], F.col("row"))
+    top = found.groupBy("row").agg(F.max(F.struct("vote", (-F.col("pos")).alias("place"), *LABELS, "passage", "likeness")).alias("top"))
+    known = [F.coalesce(F.col(f"top.{c}"), F.lit(0.0)).alias(c) for c in ("vote", *LABELS)]
+    return cut.select("row", "doc_id", "source").join(top, "row", "left").select("doc_id", "source", *known, "top.passage", "top.likeness")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -488,41 +684,25 @@ def score_documents(documents: DataFrame, labels: DataFrame, model: Model | None
     most like. Null, empty and blank texts have vote 0; repeated rows stay.
     """
     cut = cut_documents(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model or train(cut, labels))
+    made = model or train(cut, labels)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m, known = shared.value, {}
         for batch in batches:
-            lists = batch.column(2).to_pylist()
-            # each passage is scored once in a task, all new ones of a batch together
-            new = [p for p in dict.fromkeys(p for own in lists for p in own) if p not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(p for own in lists for p in own))
-            votes, evidence = m.index.vote([terms(p) for p in new])
-            known.update(zip(new, zip(votes.tolist(), evidence.tolist())))
-            best = []
-            for own in lists:
-                top, at = [0.0] * (1 + len(LABELS)), (None, None)
-                for p in own:
-                    v, example = known[p]
-                    if v[0] > top[0]:
-                        top, at = v, (p, m.index.texts[example])
-                best.append((top, at))
-            vote = np.array([v for v, _ in best], np.float64).reshape(len(best), -1)
-            found = [pa.array(m.calibrated(vote[:, 0]), pa.float64()), *(pa.array(vote[:, i], pa.float64()) for i in range(vote.shape[1]))]
-            texts = [pa.array([x[i] for _, x in best], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *texts], names=["doc_id", "source", *_SCORED, "passage", "likeness"])
-
-    kinds = ", ".join(f"{c} double" for c in _SCORED)
-    return cut.mapInArrow(score, f"doc_id bigint, source string, {kinds}, passage string, likeness string")
+            found = pa.array(steps.calibrated(batch.column("vote").to_numpy(zero_copy_only=False)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "score"])
+
+    kinds = ", ".join(f"{c} double" for c in ("vote", *LABELS))
+    steps = Model([], None, made.steps)
+    scored = _voted(cut, made).mapInArrow(score, f"doc_id bigint, source string, {kinds}, passage string, likeness string, score double")
+    return scored.select("doc_id", "source", "score", "vote", *LABELS, "passage", "likeness")
 
 
 def found_documents(documents: DataFrame, labels: DataFrame, threshold: float = FOUND) -> DataFrame:
     """The ``doc_id`` of the documents with a vote of ``threshold`` or more."""
-    return score_documents(documents, labels).filter(F.col("vote") >= threshold).select("doc_id")
+    cut = cut_documents(documents)
+    return _voted(cut, train(cut, labels, calibrate=False)).filter(F.col("vote") >= threshold).select("doc_id")
 
 
 def source_rates(scores: DataFrame, threshold: float = FOUND) -> DataFrame:

@@ -92,3 +92,38 @@ def test_held_out_accuracy_and_edges(spark):
     none = spark.createDataFrame([], labelled.schema)
     assert abuse.found_documents(documents, none).count() == 0
     assert abuse.found_documents(documents.limit(0), labelled).count() == 0
+
+
+def word(n):
+    return "".join("ba ko du mi ra ze lo nu".split()[n // 8**i % 8] for i in range(4))
+
+
+def test_every_labelled_document_gives_examples(spark):
+    """Insults that one labelled document each has, among more labelled documents than a sample of 8,000 would keep."""
+    insults = {i: f"{word(7 * i + 100)} {word(11 * i + 3000)}!" for i in range(80)}
+    texts = [(i, f"The committee divided on clause {i}. " + insults.get(i, "")) for i in range(9000)] + [(10_000 + i, f"We met the pilots on day {i}. {x}") for i, x in insults.items()]
+    documents = spark.createDataFrame([(i, t, "plenary") for i, t in texts], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, f"r{a}", int(i in insults), 0, 0) for i in range(9000) for a in range(2)], "doc_id bigint, annotator string, abusive int, hateful int, sexual int")
+    assert {r["doc_id"] for r in abuse.found_documents(documents, labels).collect()} == {*insults, *(10_000 + i for i in insults)}
+
+
+def test_parts_of_an_index_vote_as_one(spark, monkeypatch):
+    docs, truth = corpus(200)
+    docs = [(i, f"{t} Some {word(i % 60)} boats were sold to {word(i % 80 + 900)}.", s) for i, t, s in docs]
+    texts = {i: [abuse.terms(p) for p in abuse.passages(t)] for i, t, _ in docs}
+    df = Counter(t for ps in texts.values() for t in {t for p in ps for t in p})
+    positive = {(i, a): float((i in truth) != ((i + a) % 29 == 0)) for i in texts for a in range(2)}
+    readings = {i: [(positive[i, a], positive[i, a], 0.0, 0.0) for a in range(2)] for i in texts}
+    index = abuse.VoteIndex(abuse.witnesses(texts, readings, df, len(docs)), df, len(docs))
+    expected = {i: max(index.vote(ps)[0][:, 0]) for i, ps in texts.items()}
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, f"r{a}", int(x), 0, 0) for (i, a), x in positive.items()], "doc_id bigint, annotator string, abusive int, hateful int, sexual int")
+    for size in (16, abuse.PART):
+        monkeypatch.setattr(abuse, "PART", size)
+        cut = abuse.cut_documents(documents)
+        model = abuse.train(cut, labels)
+        assert (len(model.parts) > 5) == (size == 16) and sum(p.examples for p in model.parts) == len(index.texts)
+        scores = abuse.score_documents(documents, labels, model).collect()
+        assert all(abs(r["vote"] - expected[r["doc_id"]]) < 1e-5 for r in scores) and any(r["vote"] > 0 for r in scores)
+    # documents without any vote have the share of positive readings of such documents
+    assert all(r["score"] < 0.2 for r in scores if r["vote"] == 0) and any(r["vote"] == 0 for r in scores)
