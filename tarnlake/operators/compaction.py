@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -146,11 +146,12 @@ def compact_files(files: DataFrame, group: Sequence[str], out: str, target: int
     return binned.repartition(tasks(files.sparkSession), *keys).groupBy(*keys).applyInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
 
 
-def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], rows: Callable[[], int]) -> DataFrame:
+def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], rows: Callable[[], int], files: Callable[[], int] | None = None) -> DataFrame:
     """Run ``build``, which writes files under the folder it is given and reports them, and put them in force as the table at ``out``.
 
     Readers (``read_compacted``) see the earlier files or the new ones, never both: a pointer names the snapshot of the
-    files that count, and it is published only when the reported rows are as many as ``rows`` says. The report, which
+    files that count, and it is published only when the reported rows are as many as ``rows`` says, and the files read as
+    many as ``files``. The report, which
     lists the files that each output replaces, is kept beside the files and comes back.
     """
     pointer, snapshot = Pointer(spark, out), f"snap-{uuid.uuid4().hex}"
@@ -160,6 +161,8 @@ def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], ro
     total = report.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("files"), F.lit(0)), F.count("*")).first()
     if total[0] != rows():
         raise LakeError("VALIDATION_ERROR", "compaction has lost or gained rows", {"kept": total[0]})
+    if files and total[1] != files():
+        raise LakeError("VALIDATION_ERROR", "compaction has lost or gained files", {"read": total[1]})
     pointer.publish({"snapshot": snapshot, "rows": total[0], "sources": total[1], "files": total[2]}, began)
     return report
 
@@ -175,12 +178,17 @@ def read_compacted(spark: SparkSession, out: str, schema: StructType | None = No
     return reader.parquet(f"{out.rstrip('/')}/{now['snapshot']}/data")
 
 
-def stage_files(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
-    """The records of ``files`` written as one small Parquet file each: (path, length, partition columns).
+def _staged_name(file: Column) -> Column:
+    return F.md5(file)
+
+
+def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False) -> DataFrame:
+    """The records of ``files`` written as one small Parquet file each, named by ``_staged_name``: (path, length, partition columns).
 
     The test tables have the records of lake files in one table; this makes the files. ``rows`` holds ``file_path``,
     ``row_offset`` and ``row_id`` (unique per record, repeated if delivered twice, and then in the same file; records of
-    null ``row_id`` are all kept). So small a file gains nothing from dictionaries, and without them blocks can be joined.
+    null ``row_id`` are all kept). Files of which it holds no record are written, empty, if ``every``. So small a file gains
+    nothing from dictionaries, and without them blocks can be joined.
     """
     planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION])
     columns = rows.columns
@@ -195,8 +203,9 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
             table = pa.Table.from_batches(parts)
             seen: set = set()
             once = [not (i in seen or seen.add(i)) or i is None for i in table.column("row_id").to_pylist()]
-            body, name = table.select(columns).filter(pa.array(once)).combine_chunks(), table.column("file")[0].as_py()
-            path = f"{out}/{hashlib.md5(name.encode()).hexdigest()}.parquet"
+            once = [i and there for i, there in zip(once, table.column("__there").to_pylist())]
+            body, name = table.select(columns).filter(pa.array(once)).combine_chunks(), table.column("__name")[0].as_py()
+            path = f"{out}/{name}.parquet"
             with writing(path, uuid.uuid4().hex) as sink, pa.PythonFile(sink, "w") as target:
                 pq.write_table(body, target, compression="zstd", use_dictionary=False, store_schema=False)
                 length = target.tell()
@@ -224,17 +233,31 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str) -> DataFrame:
         if held:
             yield report([flush(held)])
 
-    tagged = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).join(planned, "file")
+    there = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).withColumn("__there", F.lit(True))
+    tagged = planned.join(there, "file", "left" if every else "inner").withColumn("__there", F.coalesce("__there", F.lit(False))).withColumn("__name", _staged_name(F.col("file")))
     kinds = ", ".join(f"{c} string" for c in PARTITION)
     return tagged.repartition(tasks(rows.sparkSession), "file").sortWithinPartitions("file", "row_offset", "row_id").mapInArrow(write, f"path string, length bigint, {kinds}")
 
 
-def compact_lake(rows: DataFrame, entries: DataFrame, out: str, target: int = TARGET) -> DataFrame:
-    """Merge the small files (``small_files``) of a lake whose records are in ``rows`` into a table at ``out``; the report of outputs."""
+def compact_lake(rows: DataFrame, entries: DataFrame, out: str, target: int = TARGET, every: bool = False) -> DataFrame:
+    """Merge the small files (``small_files``) of a lake whose records are in ``rows`` into a table at ``out``; the report of outputs.
+
+    Small files of which ``rows`` holds no record are merged too, as empty ones, if ``every``.
+    """
     spark = rows.sparkSession
-    staged = materialized(stage_files(rows, small_files(entries), scratch(spark, "small")), "staged")
+    staged = materialized(stage_files(rows, small_files(entries), scratch(spark, "small"), every), "staged")
     measured = materialized(with_layouts(staged), "layouts")
-    return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], measured.count)
+
+
+def merged_files(rows: DataFrame, entries: DataFrame, out: str) -> DataFrame:
+    """The files of ``current_files`` that compaction replaces, read off the report of a ``compact_lake`` at ``out`` that is in force.
+
+    Every small file has its blocks copied and checked, those without a record in ``rows`` as empty files.
+    """
+    report = compact_lake(rows, entries, out, every=True)
+    replaced = report.select(F.explode("sources").alias("path")).select(F.regexp_extract("path", "([^/]+)\\.parquet$", 1).alias("__name"))
+    return current_files(entries).withColumn("__name", _staged_name(F.col("file"))).join(replaced, "__name").drop("__name")
 
 
 def untouched_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
@@ -291,4 +314,4 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
         merged = compact_files(measured.filter(F.col("length") < below), ["folder"], to, target, "folder")
         return merged.unionByName(measured.filter(F.col("length") >= below).mapInArrow(carry, f"folder string, {_COUNTS}"))
 
-    return publish(spark, out, build, lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    return publish(spark, out, build, lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], measured.count)

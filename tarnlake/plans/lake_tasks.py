@@ -37,7 +37,8 @@ def p1_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.small_files(table(spark, d, "data_files")).select("entry_id")
+    """The small files that compaction has replaced, by the report of the snapshot that it put in force."""
+    return compaction.merged_files(table(spark, d, "file_rows"), table(spark, d, "data_files"), scratch(spark, "compacted")).select("entry_id")
 
 
 def p2_files(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
 from tarnlake.operators import compaction, dedup, incremental, schema_drift
-from tarnlake.plans.shared import scratch
+from tarnlake.plans import lake_tasks
+from tarnlake.plans.shared import Pointer, scratch
 from tarnlake.plans.skew import neighbours, salted_join
 from tarnlake.sources import parquet_blocks
 from tarnlake.sources.storage import local_path
@@ -258,6 +259,20 @@ def test_compaction_keeps_each_record_once(spark):
     assert compaction.read_compacted(spark, f"{out}-empty", df.schema).count() == 0
 
 
+def test_small_files_found_are_those_that_were_merged(spark, tmp_path, monkeypatch):
+    kinds = "row_id bigint, table_name string, file_path string, file_index int, row_offset bigint, snapshot_id bigint, schema_id int, store_id string, sale_date string, record_id bigint, record_version int, payload string, written_at timestamp_ntz"
+    rows = [(i, "t", f"s3://b/{i % 3}", 0, i, 1, 0, "s", "d", i, 1, "{}", None) for i in range(30)]
+    # 3 and 4 have no records in the table; 5 is alone in its partition, 6 is large
+    entries = [(i, "t", f"s3a://b/./{i}", "data", "added", 1, 1, 0, "s" if i != 5 else None, "d", 10, 100 if i < 6 else 10_000_000, "x") for i in range(7)]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/file_rows.parquet")
+    spark.createDataFrame(entries, ENTRY).write.parquet(f"{tmp_path}/data_files.parquet")
+    out = scratch(spark, "found")
+    monkeypatch.setattr(lake_tasks, "scratch", lambda *_: out)
+    assert sorted(r["entry_id"] for r in lake_tasks.p2_found(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
+    assert Pointer(spark, out).current()["sources"] == 5
+    assert sorted(r["row_id"] for r in compaction.read_compacted(spark, out).collect()) == list(range(30))
+
+
 def test_compact_directory(spark):
     root = scratch(spark, "dir")
     spark.range(500).selectExpr("id", "id % 3 as k", "repeat('v', cast(id % 7 as int)) as v").repartition(12).write.partitionBy("k").parquet(f"{root}/in")
