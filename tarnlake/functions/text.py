@@ -36,6 +36,14 @@ def object_name(c: Column) -> Column:
 
     A ``..`` never climbs above the bucket. A path without a scheme is taken as all segments.
     """
+    # most paths are spelled as they are named, which takes no pattern to see
+    rest = F.substr(c, F.lit(6))
+    named = F.startswith(c, F.lit("s3://")) & ~F.startswith(rest, F.lit("/")) & ~F.startswith(rest, F.lit(".")) & ~F.endswith(c, F.lit("/"))
+    named &= ~F.contains(c, F.lit("%")) & ~F.contains(c, F.lit("/.")) & ~F.contains(rest, F.lit("//"))
+    return F.when(named, c).otherwise(_object_name(c))
+
+
+def _object_name(c: Column) -> Column:
     scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     rest = unescaped(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
     parts = F.split(rest, "/")

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from tarnlake.errors import LakeError
 from tarnlake.functions.text import object_name
 from tarnlake.operators.dedup import once_each
-from tarnlake.plans.shared import Pointer, materialized, scratch, tasks
+from tarnlake.plans.shared import Pointer, materialized, scratch, shuffles_released, tasks
 from tarnlake.plans.skew import salted_join
 
 if TYPE_CHECKING:
@@ -67,21 +67,27 @@ def small_files(entries: DataFrame, below: int = SMALL) -> DataFrame:
 
 
 def with_layouts(files: DataFrame) -> DataFrame:
-    """``files`` (path, length and any others) with each file's ``layout`` (digest of its schema as encoded) and ``rows``; footers are read by tasks."""
+    """``files`` (path, start, length and any others) with each file's ``layout`` (digest of its schema as encoded) and ``rows``; footers are read by tasks.
+
+    A file is the whole of ``path``, or, if it has a ``start``, ``length`` bytes of it from there on.
+    """
 
     def read_layouts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import open_read
+        from tarnlake.sources.storage import open_part
 
+        shape, digest = None, ""
         for batch in batches:
             marks, counts = [], []
-            for path in batch.column("path").to_pylist():
-                file, length = open_read(path)
+            for place in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length"))):
+                file, length = open_part(*place)
                 with file:
-                    meta = blocks.footer(file, length)
-                marks.append(hashlib.md5(blocks.layout(meta)).hexdigest())
+                    meta = blocks.outline(file, length)
+                if shape is not (now := blocks.get(meta, blocks.SCHEMA)):
+                    shape, digest = now, hashlib.md5(blocks.layout(meta)).hexdigest()
+                marks.append(digest)
                 counts.append(blocks.row_count(meta))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string()), pa.array(counts, pa.int64())], names=[*batch.schema.names, "layout", "rows"])
 
@@ -97,53 +103,68 @@ def plan_bins(files: DataFrame, group: Sequence[str], target: int = TARGET) -> D
     """
     keys = [*group, "layout"]
     totals = files.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("length") / F.lit(target)), F.lit(1)).alias("bins"))
-    return salted_join(files, totals, keys, F.col("path")).withColumn("bin", F.pmod(F.xxhash64("path"), F.col("bins"))).drop("bins")
+    return salted_join(files, totals, keys, F.col("file")).withColumn("bin", F.pmod(F.xxhash64("file"), F.col("bins"))).drop("bins")
 
 
 _COUNTS = "path string, files bigint, blocks bigint, `groups` bigint, `rows` bigint, bytes bigint, sources array<string>"
 
 
 def compact_files(files: DataFrame, group: Sequence[str], out: str, target: int = TARGET, folder: str | None = None) -> DataFrame:
-    """Merge Parquet ``files`` (``with_layouts``; ``group`` columns are strings) by copying their encoded column blocks; a report row of each output.
+    """Merge Parquet ``files`` (``with_layouts``; ``file`` is unique and ``group`` columns are strings) by copying their encoded column blocks; a report row of each output.
 
-    A task copies the blocks of one bin into one file under ``out`` as it reads them, and checks layout, blocks and rows;
-    only paths are shuffled. ``folder`` is the group column that names the folder of an output, if any. The report has
-    the group, path, files, blocks read, row groups written, rows and bytes of each output and the paths it replaces. The
-    same bin goes to the same path, so a repeated task does no harm.
+    A task copies the blocks of one bin after another into files under ``out`` as it reads them, and checks layout, blocks
+    and rows; only names and places are shuffled. ``folder`` is the group column that names the folder of an output, if any.
+    The report has the group, path, files, blocks read, row groups written, rows and bytes of each output and the files it
+    replaces. The same bin goes to the same path, so a repeated task does no harm.
     """
+    keys = [*group, "layout", "bin"]
+    kinds = ", ".join(f"`{g}` string" for g in group)
 
-    def copy_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    def copy_blocks(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from tarnlake.sources import parquet_blocks as blocks
-        from tarnlake.sources.storage import open_read, writing
-
-        values = [k.as_py() for k in key]
-        named, paths = dict(zip(group, values)), sorted(table.column("path").to_pylist())
+        from tarnlake.sources.storage import open_part, open_read, writing
 
-        def opened() -> Iterator:
-            for path in paths:
-                file, length = open_read(path)
+        def opened(places: list[tuple]) -> Iterator:
+            for _, path, start, length, _ in places:
+                file, n = open_part(path, start, length)
                 with file:
-                    yield file, length
-
-        name = f"part-{hashlib.md5(repr(values).encode()).hexdigest()}.parquet"
-        path = "/".join(x for x in (out.rstrip("/"), named.get(folder), name) if x)
-        with writing(path, uuid.uuid4().hex) as sink:
-            counts = blocks.merge(opened(), sink)
-        file, length = open_read(path)
-        with file:
-            kept = blocks.row_count(blocks.footer(file, length))
-        if length != counts["bytes"] or kept != sum(table.column("rows").to_pylist()):
-            raise LakeError("VALIDATION_ERROR", "a merged file isn't as long as it was written or has lost or gained rows", {"path": path})
-        columns = {g: pa.array([v], pa.string()) for g, v in named.items()} | {"path": pa.array([path], pa.string())}
-        columns |= {k: pa.array([counts[k]], pa.int64()) for k in ("files", "blocks", "groups", "rows", "bytes")}
-        return pa.table(columns | {"sources": pa.array([paths], pa.list_(pa.string()))})
+                    yield file, n
+
+        def copied(values: tuple, places: list[tuple]) -> dict:
+            named = dict(zip(group, values))
+            name = f"part-{hashlib.md5(repr([*values]).encode()).hexdigest()}.parquet"
+            path = "/".join(x for x in (out.rstrip("/"), named.get(folder), name) if x)
+            with writing(path, uuid.uuid4().hex) as sink:
+                counts = blocks.merge(opened(places), sink)
+            file, length = open_read(path)
+            with file:
+                kept = blocks.row_count(blocks.outline(file, length))
+            if length != counts["bytes"] or kept != sum(rows for *_, rows in places):
+                raise LakeError("VALIDATION_ERROR", "a merged file isn't as long as it was written or has lost or gained rows", {"path": path})
+            return named | {"path": path} | counts | {"sources": [place[0] for place in places]}
+
+        fields = [*((g, pa.string()) for g in group), ("path", pa.string()), *((k, pa.int64()) for k in ("files", "blocks", "groups", "rows", "bytes")), ("sources", pa.list_(pa.string()))]
+        report = pa.schema(fields)
+        current, held, found = None, [], []
+        # files come in order of their bins; a bin may go on in the next batch
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for values, place in zip(zip(*(columns[k] for k in keys)), zip(*(columns[c] for c in ("file", "path", "start", "length", "rows")))):
+                if held and values != current:
+                    found.append(copied(current, held))
+                    held = []
+                current = values
+                held.append(place)
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=report)
+                found = []
+        if held:
+            yield pa.RecordBatch.from_pylist([copied(current, held)], schema=report)
 
-    kinds = ", ".join(f"`{g}` string" for g in group)
-    binned = plan_bins(files, group, target).select(*group, "layout", "bin", "path", "rows")
-    keys = [*group, "layout", "bin"]
-    return binned.repartition(tasks(files.sparkSession), *keys).groupBy(*keys).applyInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
+    binned = plan_bins(files, group, target).select(*keys, "file", "path", "start", "length", "rows")
+    return binned.repartition(tasks(files.sparkSession), *keys).sortWithinPartitions(*keys, "file").mapInArrow(copy_blocks, f"{kinds}, {_COUNTS}")
 
 
 def publish(spark: SparkSession, out: str, build: Callable[[str], DataFrame], rows: Callable[[], int], files: Callable[[], int] | None = None) -> DataFrame:
@@ -178,18 +199,20 @@ def read_compacted(spark: SparkSession, out: str, schema: StructType | None = No
     return reader.parquet(f"{out.rstrip('/')}/{now['snapshot']}/data")
 
 
-def _staged_name(file: Column) -> Column:
-    return F.md5(file)
+#: Columns of which staged files keep bounds; in files of a dozen records the bounds of all columns are four tenths of the bytes.
+BOUNDED = ("row_id", "record_id", "written_at")
 
 
 def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False) -> DataFrame:
-    """The records of ``files`` written as one small Parquet file each, named by ``_staged_name``: (path, length, partition columns).
+    """The records of ``files`` written as one small Parquet file each: (file, path, start, length, partition columns), as ``with_layouts`` takes them.
 
     The test tables have the records of lake files in one table; this makes the files. ``rows`` holds ``file_path``,
     ``row_offset`` and ``row_id`` (unique per record, repeated if delivered twice, and then in the same file; records of
     null ``row_id`` are all kept). Files of which it holds no record are written, empty, if ``every``. So small a file gains
-    nothing from dictionaries, and without them blocks can be joined.
+    nothing from dictionaries, and without them blocks can be joined. A task writes its files one behind another into a
+    pack under ``out``: each is whole, with its own footer, but a file system would give each blocks of its own.
     """
+    n = tasks(rows.sparkSession)
     planned = files.select("file", *[F.col(c).alias(f"__{c}") for c in PARTITION])
     columns = rows.columns
 
@@ -199,65 +222,92 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False
 
         from tarnlake.sources.storage import writing
 
-        def flush(parts: list[pa.RecordBatch]) -> tuple:
-            table = pa.Table.from_batches(parts)
-            seen: set = set()
-            once = [not (i in seen or seen.add(i)) or i is None for i in table.column("row_id").to_pylist()]
-            once = [i and there for i, there in zip(once, table.column("__there").to_pylist())]
-            body, name = table.select(columns).filter(pa.array(once)).combine_chunks(), table.column("__name")[0].as_py()
-            path = f"{out}/{name}.parquet"
-            with writing(path, uuid.uuid4().hex) as sink, pa.PythonFile(sink, "w") as target:
-                pq.write_table(body, target, compression="zstd", use_dictionary=False, store_schema=False)
-                length = target.tell()
-            return path, length, *(table.column(f"__{c}")[0].as_py() for c in PARTITION)
-
-        kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), *((c, pa.string()) for c in PARTITION)])
-        report = lambda found: pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), kinds.types)], schema=kinds)
-        held: list[pa.RecordBatch] = []
-        current, found = None, []
-        # rows come in order of file; a file may go on in the next batch
-        for batch in batches:
-            names = batch.column("file").to_pylist()
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            for begin, end in zip(cuts, cuts[1:]):
-                if begin == end:
-                    continue
-                if held and names[begin] != current:
-                    found.append(flush(held))
-                    held = []
-                current = names[begin]
-                held.append(batch.slice(begin, end - begin))
-            if found:
-                yield report(found)
-                found = []
-        if held:
-            yield report([flush(held)])
-
-    there = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).withColumn("__there", F.lit(True))
-    tagged = planned.join(there, "file", "left" if every else "inner").withColumn("__there", F.coalesce("__there", F.lit(False))).withColumn("__name", _staged_name(F.col("file")))
+        kinds = pa.schema([("file", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), *((c, pa.string()) for c in PARTITION)])
+        name = uuid.uuid4().hex
+        path, at, empty = f"{out}/{name}.pack", 0, b""
+
+        def encoded(table: pa.Table) -> pa.Buffer:
+            sink = pa.BufferOutputStream()
+            pq.write_table(table, sink, compression="zstd", use_dictionary=False, store_schema=False, write_statistics=[c for c in BOUNDED if c in columns])
+            return sink.getvalue()
+
+        def written(named: tuple, parts: list[pa.RecordBatch], sink) -> tuple:
+            nonlocal at, empty
+            body = pa.Table.from_batches(parts)
+            if body.num_rows:
+                data = encoded(body.combine_chunks() if len(parts) > 1 else body)
+            else:
+                data = empty = empty or encoded(body)
+            sink.write(data)
+            at += len(data)
+            return named[0], path, at - len(data), len(data), *named[1:]
+
+        def reported(sink) -> Iterator:
+            current, seen, held = None, set(), []
+            # rows come in order of file; a file may go on in the next batch
+            for batch in batches:
+                names, ids, there = (batch.column(c).to_pylist() for c in ("file", "row_id", "__there"))
+                lake = list(zip(*(batch.column(f"__{c}").to_pylist() for c in PARTITION)))
+                keep, ends, kept = [], [], 0  # ends: where the files before the last end among the rows kept
+                for i, (file, row) in enumerate(zip(names, ids)):
+                    if current is None or file != current[0]:
+                        if current is not None:
+                            ends.append((current, kept))
+                        current, seen = (file, *lake[i]), set()
+                    once = there[i] and (row is None or row not in seen)
+                    seen.add(row)
+                    keep.append(once)
+                    kept += once
+                body, found, begin = batch.select(columns).filter(pa.array(keep, pa.bool_())), [], 0
+                for named, end in ends:
+                    found.append(written(named, [*held, body.slice(begin, end - begin)], sink))
+                    held, begin = [], end
+                held.append(body.slice(begin))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), kinds.types)], schema=kinds)
+            if current is not None:
+                last = written(current, held, sink)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, kinds.types)], schema=kinds)
+
+        with writing(path, name) as sink:
+            yield from reported(sink)
+
+    # both sides are spread alike before the join, so that the records of a file come to one task in one shuffle; AQE leaves such partitions whole
+    there = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).withColumn("__there", F.lit(True)).repartition(n, "file")
+    tagged = planned.repartition(n, "file").join(there, "file", "left" if every else "inner").withColumn("__there", F.coalesce("__there", F.lit(False)))
     kinds = ", ".join(f"{c} string" for c in PARTITION)
-    return tagged.repartition(tasks(rows.sparkSession), "file").sortWithinPartitions("file", "row_offset", "row_id").mapInArrow(write, f"path string, length bigint, {kinds}")
+    return tagged.sortWithinPartitions("file", "row_offset", "row_id").mapInArrow(write, f"file string, path string, start bigint, length bigint, {kinds}")
+
+
+def _merge_staged(rows: DataFrame, cases: DataFrame, out: str, target: int, every: bool) -> DataFrame:
+    """``compact_lake`` of the files of ``cases`` (``small_files``, written and read from there)."""
+    spark = rows.sparkSession
+    staged = materialized(stage_files(rows, cases, scratch(spark, "small"), every), "staged")
+    measured = materialized(with_layouts(staged), "layouts")
+    # each file once: as many as there are names
+    files = cases.count if every else measured.select("file").distinct().count
+    return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], files)
 
 
 def compact_lake(rows: DataFrame, entries: DataFrame, out: str, target: int = TARGET, every: bool = False) -> DataFrame:
     """Merge the small files (``small_files``) of a lake whose records are in ``rows`` into a table at ``out``; the report of outputs.
 
-    Small files of which ``rows`` holds no record are merged too, as empty ones, if ``every``.
+    Small files of which ``rows`` holds no record are merged too, as empty ones, if ``every``. The report names the files
+    that an output replaces as ``small_files`` does.
     """
-    spark = rows.sparkSession
-    staged = materialized(stage_files(rows, small_files(entries), scratch(spark, "small"), every), "staged")
-    measured = materialized(with_layouts(staged), "layouts")
-    return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], measured.count)
+    with shuffles_released(rows.sparkSession):
+        return _merge_staged(rows, materialized(small_files(entries), "cases"), out, target, every)
 
 
 def merged_files(rows: DataFrame, entries: DataFrame, out: str) -> DataFrame:
-    """The files of ``current_files`` that compaction replaces, read off the report of a ``compact_lake`` at ``out`` that is in force.
+    """The files of ``small_files`` that compaction replaces, read off the report of a ``compact_lake`` at ``out`` that is in force.
 
     Every small file has its blocks copied and checked, those without a record in ``rows`` as empty files.
     """
-    report = compact_lake(rows, entries, out, every=True)
-    replaced = report.select(F.explode("sources").alias("path")).select(F.regexp_extract("path", "([^/]+)\\.parquet$", 1).alias("__name"))
-    return current_files(entries).withColumn("__name", _staged_name(F.col("file"))).join(replaced, "__name").drop("__name")
+    with shuffles_released(rows.sparkSession):
+        cases = materialized(small_files(entries), "cases")
+        report = _merge_staged(rows, cases, out, TARGET, True)
+    return cases.join(report.select(F.explode("sources").alias("file")), "file")
 
 
 def untouched_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
@@ -275,7 +325,7 @@ def compact_directory(spark: SparkSession, source: str, out: str, target: int =
     counts of files, blocks and rows that were checked. Files of ``below`` bytes or more are carried over as they are, each
     under a name of its own (``kept-``), so that ``out`` alone holds every row of ``source``. Empty folders are left out.
     """
-    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length")
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path", "length").withColumn("file", F.col("path")).withColumn("start", F.lit(None).cast("bigint"))
     bare = lambda p: re.sub("^file:/+", "/", p).rstrip("/")
     prefix = bare(source)
     plain = F.regexp_replace("path", "^file:/+", "/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,44 @@ def open_read(uri: str) -> tuple[BinaryIO, int]:
     return system.open_input_file(path), system.get_file_info(path).size
 
 
+#: Parts of files up to this many bytes are read at once.
+AT_ONCE = 1 << 20
+
+
+class _Part(io.RawIOBase):
+    """``length`` bytes of ``file`` from ``start`` on, as a file."""
+
+    def __init__(self, file: BinaryIO, start: int, length: int):
+        self.file, self.start, self.length, self.at = file, start, length, 0
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = to + (0, self.at, self.length)[whence]
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        left = max(0, self.length - self.at)
+        self.file.seek(self.start + self.at)
+        piece = self.file.read(left if n is None or n < 0 else min(n, left))
+        self.at += len(piece)
+        return piece
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def open_part(uri: str, start: int | None, length: int) -> tuple[BinaryIO, int]:
+    """``open_read`` of the file that is ``length`` bytes of the file at ``uri`` from ``start`` on; without ``start``, of the file itself."""
+    file, whole = open_read(uri)
+    if start is None:
+        return file, whole
+    if length > AT_ONCE:
+        return _Part(file, start, length), length
+    with file:
+        file.seek(start)
+        return io.BytesIO(file.read(length)), length
+
+
 @contextmanager
 def writing(uri: str, attempt: str) -> Iterator[BinaryIO]:
     """A file to write to, that appears whole when the block ends and not at all if it fails, also if two attempts of a task write it."""

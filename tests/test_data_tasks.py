@@ -12,13 +12,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnlake.errors import LakeError
-from tarnlake.functions.text import object_name
+from tarnlake.functions.text import _object_name, object_name
 from tarnlake.operators import compaction, dedup, incremental, schema_drift
 from tarnlake.plans import lake_tasks
-from tarnlake.plans.shared import Pointer, scratch
+from tarnlake.plans.shared import Pointer, scratch, shuffles_released
 from tarnlake.plans.skew import neighbours, salted_join
 from tarnlake.sources import parquet_blocks
-from tarnlake.sources.storage import local_path
+from tarnlake.sources.storage import local_path, open_part
 
 FIELDS = "table_name string, schema_id int, field_pos int, field_id int, source_id int, field_name string, field_type string, required boolean, loaded_at timestamp_ntz, change string"
 
@@ -273,6 +273,77 @@ def test_small_files_found_are_those_that_were_merged(spark, tmp_path, monkeypat
     assert sorted(r["row_id"] for r in compaction.read_compacted(spark, out).collect()) == list(range(30))
 
 
+def test_small_files_are_staged_whole_in_few_packs(spark):
+    kinds = "row_id bigint, table_name string, file_path string, row_offset bigint, payload string"
+    rows = [(i, "t", f"s3://b/{i % 7}", i, f"é{i}") for i in range(70)] + [(i, "t", f"s3a://b/./{i % 7}", i, f"é{i}") for i in range(14)] + [(None, "t", "s3://b/3", 500, "x")] * 2 + [(99, "t", None, 0, ""), (98, "t", "s3://b/other", 0, "")]
+    files = spark.createDataFrame([(f"s3://b/{k}", "t", None if k == 6 else "s", "d") for k in range(60)], "file string, table_name string, store_id string, sale_date string")
+    df, name = spark.createDataFrame(rows, kinds), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 4)  # files go on over several batches
+    try:
+        for every, names in ((True, range(60)), (False, range(7))):
+            out = scratch(spark, "small")
+            staged = compaction.stage_files(df, files, out, every)
+            assert staged._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2  # of either side, before the join; none after it
+            found = compaction.with_layouts(staged).collect()
+            assert {r["file"]: r["store_id"] for r in found} == {f"s3://b/{k}": None if k == 6 else "s" for k in names} and len(found) == len(names)
+            assert len({r["layout"] for r in found}) == 1 and len([x for x in os.listdir(local_path(out)) if x.endswith(".pack")]) <= 16
+            for r in found:
+                with open(local_path(r["path"]), "rb") as pack:
+                    pack.seek(r["start"])
+                    table, k = pq.read_table(io.BytesIO(pack.read(r["length"]))), int(r["file"].rpartition("/")[2])
+                assert table.column("row_id").to_pylist() == (list(range(k, 70, 7)) if k < 7 else []) + [None] * 2 * (k == 3) and table.num_rows == r["rows"]
+    finally:
+        spark.conf.unset(name)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), shuffles_released(spark):
+        assert spark.conf.get(key) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
+
+
+def test_parts_of_files_read_as_files(tmp_path):
+    data = os.urandom(3 << 20)
+    (tmp_path / "pack").write_bytes(data)
+    for start, length in ((5, 1000), (7, 2 << 20), (1, 0)):
+        file, n = open_part(f"file://{tmp_path}/pack", start, length)
+        with file:
+            assert n == length and file.read() == data[start : start + length] and file.read() == b""
+            file.seek(length // 2)
+            assert file.read(100) == data[start + length // 2 :][: min(100, length - length // 2)]
+    file, n = open_part(f"{tmp_path}/pack", None, 0)
+    with file:
+        assert (n, file.read()) == (len(data), data)
+
+
+def test_outlines_are_those_of_footers():
+    files = []
+    for t in (pa.table({"a": [1, 2]}), pa.table({"a": [1]}), pa.table({"a": ["x"]}), pa.table({f"c{i}": pa.array([i] * 3, pa.decimal128(9, 2)) for i in range(900)}), pa.table({"a": [7] * 5})):
+        sink = io.BytesIO()
+        pq.write_table(t, sink)
+        files.append((t.num_rows, sink.getvalue()))
+    layouts = []
+    for rows, data in files:
+        whole, some = (read(io.BytesIO(data), len(data)) for read in (parquet_blocks.footer, parquet_blocks.outline))
+        assert parquet_blocks.row_count(some) == parquet_blocks.row_count(whole) == rows and parquet_blocks.block_count(whole) == 1
+        assert parquet_blocks.get(some, parquet_blocks.BLOCKS) is None and parquet_blocks.layout(some) == parquet_blocks.layout(whole)
+        written = parquet_blocks._Writer()
+        written.struct(whole)
+        assert data[-8 - len(written.out) : -8] == written.out
+        layouts.append(parquet_blocks.layout(whole))
+    assert layouts[0] == layouts[1] == layouts[4] and len(set(layouts)) == 3
+
+
+def test_plain_paths_are_their_names(spark):
+    paths = ["s3://b/a", "s3://b/a/", "s3://b//a", "s3:///a", "s3://./a", "s3://../a", "s3://b/.a", "s3://b/a.b", "s3://b/..", "s3://b/a%20b", "s3://b/s3://c", "s3://", "s3:/b/a", "S3://b/a", "s3a://b/a", "b/a", "", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [tuple(r) for r in df.select(object_name(df["p"]), _object_name(df["p"])).collect()]
+    assert [a for a, _ in got] == [b for _, b in got] and got[0][0] == "s3://b/a"
+
+
 def test_compact_directory(spark):
     root = scratch(spark, "dir")
     spark.range(500).selectExpr("id", "id % 3 as k", "repeat('v', cast(id % 7 as int)) as v").repartition(12).write.partitionBy("k").parquet(f"{root}/in")
