@@ -200,7 +200,7 @@ def read_compacted(spark: SparkSession, out: str, schema: StructType | None = No
 
 
 #: Columns of which staged files keep bounds; in files of a dozen records the bounds of all columns are four tenths of the bytes.
-BOUNDED = ("row_id", "record_id", "written_at")
+BOUNDED = ("row_id", "store_id", "sale_date")
 
 
 def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False) -> DataFrame:
@@ -242,8 +242,8 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False
             at += len(data)
             return named[0], path, at - len(data), len(data), *named[1:]
 
-        def reported(sink) -> Iterator:
-            current, seen, held = None, set(), []
+        current, seen, held, found = None, set(), [], []
+        with writing(path, name) as sink:
             # rows come in order of file; a file may go on in the next batch
             for batch in batches:
                 names, ids, there = (batch.column(c).to_pylist() for c in ("file", "row_id", "__there"))
@@ -258,23 +258,20 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False
                     seen.add(row)
                     keep.append(once)
                     kept += once
-                body, found, begin = batch.select(columns).filter(pa.array(keep, pa.bool_())), [], 0
+                body, begin = batch.select(columns).filter(pa.array(keep, pa.bool_())), 0
                 for named, end in ends:
                     found.append(written(named, [*held, body.slice(begin, end - begin)], sink))
                     held, begin = [], end
                 held.append(body.slice(begin))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), kinds.types)], schema=kinds)
             if current is not None:
-                last = written(current, held, sink)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, kinds.types)], schema=kinds)
-
-        with writing(path, name) as sink:
-            yield from reported(sink)
+                found.append(written(current, held, sink))
+        # told when the pack is there, as what follows in the task may read it
+        for begin in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found[begin : begin + 10_000]), kinds.types)], schema=kinds)
 
     # both sides are spread alike before the join, so that the records of a file come to one task in one shuffle; AQE leaves such partitions whole
-    there = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).withColumn("__there", F.lit(True)).repartition(n, "file")
-    tagged = planned.repartition(n, "file").join(there, "file", "left" if every else "inner").withColumn("__there", F.coalesce("__there", F.lit(False)))
+    there = rows.filter(F.col("file_path").isNotNull()).withColumn("file", object_name(F.col("file_path"))).repartition(n, "file")
+    tagged = planned.repartition(n, "file").join(there, "file", "left" if every else "inner").withColumn("__there", F.col("file_path").isNotNull())
     kinds = ", ".join(f"{c} string" for c in PARTITION)
     return tagged.sortWithinPartitions("file", "row_offset", "row_id").mapInArrow(write, f"file string, path string, start bigint, length bigint, {kinds}")
 
@@ -282,8 +279,7 @@ def stage_files(rows: DataFrame, files: DataFrame, out: str, every: bool = False
 def _merge_staged(rows: DataFrame, cases: DataFrame, out: str, target: int, every: bool) -> DataFrame:
     """``compact_lake`` of the files of ``cases`` (``small_files``, written and read from there)."""
     spark = rows.sparkSession
-    staged = materialized(stage_files(rows, cases, scratch(spark, "small"), every), "staged")
-    measured = materialized(with_layouts(staged), "layouts")
+    measured = materialized(with_layouts(stage_files(rows, cases, scratch(spark, "small"), every)), "layouts")
     # each file once: as many as there are names
     files = cases.count if every else measured.select("file").distinct().count
     return publish(spark, out, lambda to: compact_files(measured, PARTITION, to, target), lambda: measured.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], files)
