@@ -142,15 +142,16 @@ def refusals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, o_totalprice from orders where o_totalprice > 150000")
 def resume_by_token(spark: SparkSession, d: str) -> DataFrame:
-    """Slices handed on as signed tokens that carry the query; each is opened by ``Lake.resume``."""
+    """Parts handed on as signed tokens that carry the query; each is opened by ``Lake.resume``."""
     lake = Lake(spark)
     q = lake.path(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice").where(X.gt("o_totalprice", 150_000)).order_by("o_orderkey")
-    rows, mark = q.slice(1 + q.count() // 3)
+    third = 1 + q.count() // 3
+    rows, mark = q.part(third)
     while mark is not None:
         again, bookmark = lake.resume(resume.verify_token(resume.sign_token(mark, "secret"), "secret"))
-        more, mark = again.slice(1 + q.count() // 3, bookmark)
-        rows += more
-    return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in rows], "o_orderkey bigint, o_totalprice double")
+        more, mark = again.part(third, bookmark)
+        rows = rows.unionByName(more)
+    return rows
 
 
 @query("select true as same_plan, false as other_plan, '{\"a\":1,\"b\":[2,null]}' as stable")

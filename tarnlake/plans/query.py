@@ -17,6 +17,7 @@ from tarnlake.errors import LakeError
 from tarnlake.functions import expr as X
 from tarnlake.operators.aggregates import ORDERED, Agg, aggregate
 from tarnlake.operators.windows import Bound, Frame, Order, Window, add_windows
+from tarnlake.plans import parts
 from tarnlake.plans.compile import Compiler, quoted
 from tarnlake.plans.resume import Bookmark, fingerprint
 from tarnlake.sources import readers
@@ -278,7 +279,8 @@ class Query:
         """The query as a lazy DataFrame; a limit of its rows is checked here."""
         return self.lake.budget.within(self._built())
 
-    def _built(self) -> DataFrame:
+    def _built(self, cut: bool = True) -> DataFrame:
+        """Without ``cut`` all rows, in no order."""
         df, ordinal = self.base(self._needs_place())
         if self.windows:
             guard = self.lake.budget.max_window_partition_rows
@@ -310,6 +312,8 @@ class Query:
                 out = out.withColumn("__first", first).filter("__first = 1").drop("__first")
             else:
                 out = out.distinct()
+        if not cut:
+            return out.drop(*hidden)
         if order:
             out = out.orderBy(*[o.sql() for o in order])
         if self.skip:
@@ -420,14 +424,68 @@ class Query:
         if not more:
             return found[:take], None
         keys = [[r.get(t.column) for t in total.order] for r in found[:take]]
-        carried = self.to_json() if self.source.path and not (self.computed or self.windows or self.source.hive) else None
         reached = None
         if keys and all(t.column in found[0] for t in total.order) and all(v is None or isinstance(v, (str, int, float)) and v == v for v in keys[-1]):
             repeats = next((i for i, k in enumerate(reversed(keys)) if k != keys[-1]), len(keys))
             if after and repeats == len(keys) and after["keys"] == keys[-1]:
                 repeats += after["repeats"]
             reached = {"keys": keys[-1], "repeats": repeats}
-        return found[:take], Bookmark(print_, at + take, query=carried, after=reached)
+        return found[:take], Bookmark(print_, at + take, query=self._carried(), after=reached)
+
+    def _carried(self) -> dict | None:
+        return self.to_json() if self.source.path and not (self.computed or self.windows or self.source.hive) else None
+
+    def part(self, n: int, bookmark: Bookmark | None = None) -> tuple[DataFrame, Bookmark | None]:
+        """The rows of ``slice`` as a DataFrame, in no order, and the bookmark after them, which ``slice`` takes too.
+
+        Of its rows only the last one's sort keys reach the driver, so a part may be of any size. The order is made total by
+        all columns; those that it names must be shown. Rows that are equal in all of them are told apart by their number.
+        Where the keys can't be carried (times, decimals, computed columns), they are found again from the bookmark's position.
+        """
+        print_ = self.fingerprint()
+        if bookmark:
+            bookmark.check(print_)
+        at, n, rows = bookmark.row_offset if bookmark else 0, _count(n, "n"), self._built(False)
+        order = (*self.order, *(OrderTerm(c) for c in rows.columns if c not in {t.column for t in self.order}))
+        for t in order:
+            if t.column not in rows.columns:
+                raise LakeError("INVALID_QUERY", f"parts are cut by columns that the query shows, and {t.column} isn't shown", {"column": t.column})
+            if rows.schema[t.column].dataType.typeName() in ("array", "map", "struct", "variant"):
+                raise LakeError("TYPE_ERROR", f"{t.column} isn't a scalar that rows can be sorted by", {"column": t.column})
+        most = min((m for m in (self.most, self.lake.policy.max_limit) if m is not None), default=None)
+        left = None if most is None else max(0, most - at)
+        take = n if left is None else min(n, left)
+        alike = not (self.computed or self.windows)  # else a slice has other sort keys
+        types = [rows.schema[t.column].dataType for t in order]
+        values = lambda keys: [None if v is None else parts.typed(v, k) for v, k in zip(keys, types)]
+        reach = lambda df, k: parts.reached(df, [t.column for t in order], [t.sql() for t in order], k)
+        copies = lambda keys, k: parts.copies(rows.schema, {t.column: v for t, v in zip(order, keys)}, k, rows)
+
+        def found() -> tuple[DataFrame, bool, parts.Reached | None]:
+            after, passed = bookmark.after if bookmark and alike else None, self.skip + at
+            begun = parts.Reached(after["keys"], after["repeats"]) if after else reach(rows, passed) if passed else None
+            if passed and begun is None:
+                return rows.limit(0), False, None
+            read, ahead, same = 0, rows, F.lit(False)
+            if begun:
+                read, ahead, same = begun.repeats, rows.filter(_from(order, values(begun.keys))), _same(order, values(begun.keys))
+            total, equal = ahead.agg(F.count(F.lit(1)), F.count_if(same)).first()
+            stop = read + take  # numbers count from the first of the rows ahead, of which some are equal to the last one read
+            if total > stop and stop <= equal:
+                return (copies(begun.keys, take) if begun else rows.limit(0)), True, begun and begun._replace(repeats=stop)
+            out, end = ahead.filter(~same), None
+            if total > stop:
+                end = reach(ahead, stop)
+                before, last = ~_from(order, values(end.keys)), _same(order, values(end.keys))
+                out = out.filter(before | last) if end.repeats == end.copies else out.filter(before).unionByName(copies(end.keys, end.repeats))
+            return (out.unionByName(copies(begun.keys, equal - read)) if begun and equal > read else out), end is not None, end
+
+        out, more, end = timed(self.lake.spark, self.lake.budget.max_elapsed_ms, found)
+        out = self.lake.budget.within(out)
+        if not more or take < n or left is not None and left <= n:
+            return out, None
+        kept = end and alike and all(isinstance(k, parts.PLAIN) for k in types) and all(v == v for v in end.keys)
+        return out, Bookmark(print_, at + take, query=self._carried(), after={"keys": list(end.keys), "repeats": end.repeats} if kept else None)
 
     def resumable(self, n: int) -> Iterator[tuple[list[dict], Bookmark | None]]:
         mark: Bookmark | None = None
@@ -472,6 +530,14 @@ def _from(order: tuple[OrderTerm, ...], keys: list) -> Column:
     return found
 
 
+def _same(order: tuple[OrderTerm, ...], keys: list) -> Column:
+    """Whether a row has just these sort keys."""
+    found = F.lit(True)
+    for t, v in zip(order, keys):
+        found &= F.col(quoted(t.column)).eqNullSafe(F.lit(v))
+    return found
+
+
 def _count(n: Any, what: str) -> int:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise LakeError("INVALID_QUERY", f"{what} must be a whole number from 0")

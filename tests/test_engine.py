@@ -542,6 +542,71 @@ def test_slices_go_on_behind_the_last_keys(spark, terms):
     assert [r for p, _ in q.offset(3).resumable(4) for r in p] == whole[3:]
 
 
+def parts_of(q, n):
+    """The rows and bookmarks of a query's parts, the bookmarks handed on as text."""
+    found, mark = [], None
+    while True:
+        df, mark = q.part(n, mark and resume.verify_token(resume.sign_token(mark, "s"), "s"))
+        found.append(([tuple(r) for r in df.collect()], mark))
+        if mark is None:
+            return found
+
+
+@pytest.mark.parametrize("terms, n", [(["a"], 4), ([("a", "desc")], 9), ([("a", "asc", "first"), ("b", "desc", "last")], 2), ([], 12)])
+def test_parts_are_the_rows_of_slices(spark, terms, n):
+    rows = [{"a": a, "b": b} for a in (None, 1, 2, 3) for b in (None, "x", "y", "y", "y", "y", "y")]
+    q = Lake(spark).rows(rows, "a bigint, b string").select("a", "b").order_by(*terms)
+    slices, parts = list(q.resumable(n)), parts_of(q, n)
+    assert [(sorted(p, key=repr), m) for p, m in parts] == [(sorted((tuple(r.values()) for r in p), key=repr), m) for p, m in slices]
+    assert q.slice(n, parts[0][1])[0] == slices[1][0] and all(m.after for _, m in parts[:-1])
+    some = [tuple(r.values()) for r in q.slice(100)[0]][3:14]
+    assert [sorted(p, key=repr) for p, _ in parts_of(q.limit(11).offset(3), n)] == [sorted(some[i : i + n], key=repr) for i in range(0, 11, n)]
+
+
+def test_parts_of_keys_that_no_token_carries(spark):
+    text = "timestamp'2024-01-01 00:00:00.123457' + make_interval(0, 0, 0, 0, 0, 0, v)"
+    df = spark.range(9).selectExpr("id div 3 as v", "id").selectExpr("id", f"{text} as t", f"cast({text} as timestamp_ntz) as n", "date'2024-01-01' + cast(v as int) as d", "v + 0.25 as c", "unhex(concat('ff0', v)) as b", "if(v = 1, double('NaN'), double(v)) as f")
+    q = Lake(spark).frame(df)
+    for k in "tndcbf":
+        parts = parts_of(q.select(k), 4)
+        got = [repr(r) for p, _ in parts for r in p]
+        assert sorted(got) == sorted(repr(tuple(r)) for r in df.select(k).collect()) and [len(p) for p, _ in parts] == [4, 4, 1], k
+    assert sorted(r for p, _ in parts_of(q.project(x=X.mod("id", 2)), 5) for r in p) == [(0,)] * 5 + [(1,)] * 4
+    assert {m.after is None for _, m in parts_of(q.select("t"), 4)[:-1]} == {True}
+    w = q.select("d", "r").window("r", Window("row_number", (), (), (Order(col("id")),)))
+    assert sorted(r[1] for p, _ in parts_of(w, 4) for r in p) == list(range(1, 10))
+
+
+def test_parts_at_the_ends(spark):
+    made = lambda **given: Lake(spark, **given).frame(spark.range(5)).order_by("id")
+    q = made()
+    for cut, n, sizes in ((q, 5, [5]), (q, 9, [5]), (q.limit(4), 2, [2, 2]), (q.limit(0), 2, [0]), (q.offset(5), 2, [0]), (q.offset(9), 2, [0]), (q.offset(4), 1, [1]), (q.where(X.gt("id", 7)), 2, [0])):
+        assert [len(p) for p, _ in parts_of(cut, n)] == sizes
+    assert [len(p) for p, _ in parts_of(made(policy=Policy(max_limit=3)), 2)] == [2, 1]
+    df, mark = q.part(0)
+    assert df.count() == 0 and [r["id"] for r in q.part(2, mark)[0].collect()] == [0, 1]
+    with refused("BUDGET_EXCEEDED"):
+        made(budget=Budget(max_output_rows=3)).part(4)
+    with refused("INVALID_QUERY"):
+        Lake(spark).frame(spark.range(5).selectExpr("id", "-id as k")).select("id").order_by("k").part(2)
+    with refused("STALE_BOOKMARK"):
+        q.part(2, resume.Bookmark("another", 3))
+
+
+def test_resume_by_token_keeps_rows_off_the_driver(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(0, 300_000, 1, 6).selectExpr("id * 7919 % 300007 as o_orderkey", "cast(id % 1000 * 300 as double) as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        df = entry.queries()["resume_by_token"](spark, str(tmp_path))
+        want = spark.read.parquet(f"{tmp_path}/orders.parquet").filter("o_totalprice > 150000")
+        assert df.count() == want.count() == 149_700 and df.exceptAll(want).isEmpty() and want.exceptAll(df).isEmpty()
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+
+
 def test_median_of_texts_over_ranges(spark):
     words = [f"w{i * 7919 % 501:04d}" for i in range(501)]
     df = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)] + [(1, None), (None, "x")], "k int, w string")
